@@ -10,6 +10,7 @@ digits it meets.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,13 +30,19 @@ TFIDF_UNSHARED_IDF = math.log(3.0 / 2.0) + 1.0
 PRICE_SIMILAR_RATIO = 0.8
 
 
+def _bound(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``values`` once per row and hand them to ``body`` as one struct."""
+    packed = F.struct(*[value.alias(name) for name, value in values.items()])
+    return F.element_at(F.transform(F.array(packed), body), 1)
+
+
 def _set_jaccard(a: Column, b: Column, both_empty: float) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return (
-        F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(both_empty))
-        .when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0))
-        .otherwise(shared / F.size(F.array_union(a, b)))
-    )
+    def score(sets: Column) -> Column:
+        shared = F.size(F.array_intersect(sets["a"], sets["b"]))
+        total = F.size(sets["a"]) + F.size(sets["b"]) - shared
+        return F.when(total == 0, F.lit(both_empty)).otherwise(F.try_divide(shared, total))
+
+    return _bound({"a": F.array_distinct(a), "b": F.array_distinct(b)}, score)
 
 
 def jaccard_tokens(a: Column, b: Column) -> Column:
@@ -66,7 +73,7 @@ def cosine_tokens(a: Column, b: Column) -> Column:
             "nb": lambda x, y: y * y,
         },
     )
-    return _cosine(parts)
+    return _bound({"parts": parts}, lambda v: _cosine(v["parts"]))
 
 
 def cosine_tfidf(a: Column, b: Column) -> Column:
@@ -84,7 +91,8 @@ def cosine_tfidf(a: Column, b: Column) -> Column:
             "nb": lambda x, y: (y * idf(x, y)) * (y * idf(x, y)),
         },
     )
-    return F.when(is_blank(a) | is_blank(b), F.lit(0.0)).otherwise(_cosine(parts))
+    score = _bound({"parts": parts}, lambda v: _cosine(v["parts"]))
+    return F.when(is_blank(a) | is_blank(b), F.lit(0.0)).otherwise(score)
 
 
 def tool_bm25(a: Column, b: Column) -> Column:
@@ -108,10 +116,13 @@ def tool_bm25(a: Column, b: Column) -> Column:
         },
         {"norm_a": length_norm(ta), "norm_b": length_norm(tb)},
     )
-    score = (parts["ab"] + parts["ba"]) / 2.0
-    return F.when(is_blank(a) | is_blank(b) | (score <= 0), F.lit(0.0)).otherwise(
-        F.round(score / (score + 1.0), 4)
-    )
+
+    def squash(v: Column) -> Column:
+        score = (v["parts"]["ab"] + v["parts"]["ba"]) / 2.0
+        return F.when(score > 0, F.round(score / (score + 1.0), 4)).otherwise(0.0)
+
+    blank = is_blank(a) | is_blank(b)
+    return F.when(blank, F.lit(0.0)).otherwise(_bound({"parts": parts}, squash))
 
 
 def lev_dist(a: Column, b: Column) -> Column:

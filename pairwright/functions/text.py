@@ -43,7 +43,7 @@ def qgrams(text: Column, q: int = 3) -> Column:
 
 def is_blank(text: Column) -> Column:
     """True for null, empty and whitespace-only texts."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), WHITESPACE, "") == ""
+    return ~F.coalesce(text, F.lit("")).rlike(r"[^\t-\r\x1c-\x1f\x85\p{Z}]")
 
 
 def strip(text: Column) -> Column:

@@ -55,8 +55,8 @@ def feature_columns() -> list[Column]:
 def pair_features(pairs: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """Pair keys, any label carried by ``pairs``, and the fourteen features."""
     kept = [F.col(c) for c in pairs.columns]
-    joined = attach_products(spread(pairs, "source_id", "target_id"), sources, targets)
-    return joined.select(*kept, *feature_columns())
+    joined = attach_products(pairs, sources, targets)
+    return spread(joined, "source_id", "target_id").select(*kept, *feature_columns())
 
 
 def feature_summary(features: DataFrame) -> DataFrame:
