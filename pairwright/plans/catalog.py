@@ -1,4 +1,8 @@
 """Imports every query module, so that the registry is complete."""
 
-from pairwright.plans import blocking_queries, similarity_queries  # noqa: F401
+from pairwright.plans import (  # noqa: F401
+    blocking_queries,
+    evaluation_queries,
+    similarity_queries,
+)
 from pairwright.plans.registry import ORACLES, QUERIES  # noqa: F401
