@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.functions.text import WHITESPACE
@@ -102,11 +102,29 @@ def _by_hints(reasoning: Column, hints: dict[str, tuple[str, ...]]) -> Column:
     return rule.otherwise(OTHER)
 
 
-def false_positive_category() -> Column:
-    """Category of a wrong MATCH, from ``source_*``, ``target_*`` and ``reasoning``."""
-    sn, tn = F.lower("source_name"), F.lower("target_name")
-    sd, td = F.lower("source_description"), F.lower("target_description")
-    reasoning = F.lower("reasoning")
+_LOWERED = {
+    "_sn": "source_name",
+    "_tn": "target_name",
+    "_sd": "source_description",
+    "_td": "target_description",
+    "_why": "reasoning",
+}
+
+
+def with_error_categories(rows: DataFrame) -> DataFrame:
+    """Add ``fp_category`` and ``fn_category`` from the products and the reasoning.
+
+    The texts are lower-cased in their own projection, once per row, because
+    the rules look at them dozens of times.
+    """
+    lowered = rows.withColumns({name: F.lower(F.col(text)) for name, text in _LOWERED.items()})
+    return lowered.withColumns(
+        {"fp_category": _false_positive_category(), "fn_category": _false_negative_category()}
+    ).drop(*_LOWERED)
+
+
+def _false_positive_category() -> Column:
+    sn, tn, sd, td, reasoning = (F.col(c) for c in _LOWERED)
     colors = color_words(F.concat_ws(" ", sn, sd)), color_words(F.concat_ws(" ", tn, td))
     forms = _present(FORM_FACTORS, sn, sd), _present(FORM_FACTORS, tn, td)
     models = model_numbers(sn), model_numbers(tn)
@@ -120,15 +138,14 @@ def false_positive_category() -> Column:
     )
 
 
-def false_negative_category() -> Column:
-    """Category of a wrong NO MATCH; prices are read as numbers where they are."""
-    sn, tn = F.lower("source_name"), F.lower("target_name")
-    reasoning = F.lower("reasoning")
+def _false_negative_category() -> Column:
+    sn, tn, _, _, reasoning = (F.col(c) for c in _LOWERED)
 
     def sparse(side: str) -> Column:
         return F.length(F.col(f"{side}_description")) < SPARSE_BELOW
 
-    prices = [F.col(f"{side}_price").cast("string").try_cast("double") for side in ("source", "target")]
+    numbers = [F.col(f"{side}_price").cast("string").try_cast("double") for side in ("source", "target")]
+    prices = [F.nanvl(n, F.lit(None).cast("double")) for n in numbers]
     gap = F.try_divide(F.greatest(*prices), F.least(*prices))
     far = (prices[0] > 0) & (prices[1] > 0) & (gap > PRICE_RATIO_ABOVE)
     models = model_numbers(sn), model_numbers(tn)

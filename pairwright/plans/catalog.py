@@ -5,5 +5,6 @@ from pairwright.plans import (  # noqa: F401
     evaluation_queries,
     inference_queries,
     similarity_queries,
+    source_queries,
 )
 from pairwright.plans.registry import ORACLES, QUERIES  # noqa: F401
