@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairwright.functions.text import is_blank, merge_token_runs, qgrams, terms, words
+from pairwright.functions.text import is_blank, let, merge_token_runs, qgrams, terms, words
 
 # Okapi BM25 constants, and the corpus of two texts plus three
 # empty ones, in which a shared word has document frequency two.
@@ -32,8 +32,7 @@ PRICE_SIMILAR_RATIO = 0.8
 
 def _bound(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
     """Evaluate ``values`` once per row and hand them to ``body`` as one struct."""
-    packed = F.struct(*[value.alias(name) for name, value in values.items()])
-    return F.element_at(F.transform(F.array(packed), body), 1)
+    return let(F.struct(*[value.alias(name) for name, value in values.items()]), body)
 
 
 def _set_jaccard(a: Column, b: Column, both_empty: float) -> Column:

@@ -19,6 +19,11 @@ WHITESPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}]+"
 TERM = r"[\p{L}\p{N}_]{2,}"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def words(text: Column) -> Column:
     """Lower-cased whitespace tokens, without empty edge tokens."""
     return F.filter(F.split(F.lower(text), WHITESPACE), lambda t: t != "")

@@ -3,6 +3,7 @@
 from pairwright.plans import (  # noqa: F401
     blocking_queries,
     evaluation_queries,
+    forest_queries,
     inference_queries,
     similarity_queries,
     source_queries,
