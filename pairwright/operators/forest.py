@@ -66,7 +66,9 @@ def training_rows(labeled: DataFrame, sources: DataFrame, targets: DataFrame) ->
         *[F.col(k).cast("string").alias(k) for k in KEYS],
         *[c for c in ("split",) if c in labeled.columns],
     )
-    return attach_labels(pair_features(keyed, sources, targets), label_lookup(labeled).distinct())
+    # A pair labeled in both splits takes the later split's label.
+    later = F.col("split") == "valid" if "split" in labeled.columns else F.lit(True)
+    return attach_labels(pair_features(keyed, sources, targets), label_lookup(labeled, later))
 
 
 def balanced_weights(rows: DataFrame) -> DataFrame:

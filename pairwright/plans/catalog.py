@@ -5,6 +5,7 @@ from pairwright.plans import (  # noqa: F401
     evaluation_queries,
     forest_queries,
     inference_queries,
+    matcher_queries,
     similarity_queries,
     source_queries,
 )

@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # File names of a dataset directory.
 DATASET_FILES = {
@@ -18,9 +17,9 @@ DATASET_FILES = {
     "test": "test.csv",
 }
 
-_PRODUCT = T.StructType.fromDDL("id string, name string, description string, price string")
-_PAIR = T.StructType.fromDDL("ltable_id string, rtable_id string, label int")
-_CANDIDATE = T.StructType.fromDDL("source_id string, target_id string, similarity_score double")
+_PRODUCT = {"id": "string", "name": "string", "description": "string", "price": "string"}
+_PAIR = {"ltable_id": "string", "rtable_id": "string", "label": "int"}
+_CANDIDATE = "source_id string, target_id string, similarity_score double"
 
 
 @dataclass(frozen=True)
@@ -34,10 +33,10 @@ class Dataset:
     test: DataFrame
 
 
-def _csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     """CSV by header name: quoted fields may hold commas, quotes and line breaks."""
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    return raw.select(*[F.col(name).cast(kind).alias(name) for name, kind in columns.items()])
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:
