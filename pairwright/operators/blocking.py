@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairwright.functions.text import WHITESPACE
+from pairwright.operators.lookup import spread
 from pairwright.session import checkpointed
 
 # Gram lengths and the similarity a candidate pair must reach.
@@ -101,7 +102,12 @@ def gram_postings(names: DataFrame, threshold: float) -> DataFrame:
 
 
 def _salted_product(source: DataFrame, target: DataFrame) -> DataFrame:
-    """Join two posting lists on the gram; a hot gram is spread over its salts."""
+    """Join two posting lists on the gram; a hot gram is spread over its salts.
+
+    Postings are few bytes but multiply in the join, so both sides are placed by
+    the join key in a fixed number of partitions instead of leaving that number
+    to their size.
+    """
     left = source.select(
         F.col("rep").alias("source_rep"),
         "gram",
@@ -116,7 +122,8 @@ def _salted_product(source: DataFrame, target: DataFrame) -> DataFrame:
         F.col("in_prefix").alias("tp"),
         F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
     )
-    return left.join(right, ["gram", "salt"]).select(
+    keys = ["gram", "salt"]
+    return spread(left, *keys).join(spread(right, *keys), keys).select(
         "source_rep",
         "target_rep",
         (F.col("sw") * F.col("tw")).alias("product"),
@@ -155,7 +162,7 @@ def similar_names(
         raise ValueError("the threshold must be positive: at 0 every pair would qualify")
     left, right = distinct_names(sources, "source"), distinct_names(targets, "target")
     # Six reads follow, so the postings are computed once and kept in the shared folder.
-    postings = checkpointed(gram_postings(left.unionByName(right), threshold))
+    postings = checkpointed(spread(gram_postings(left.unionByName(right), threshold), "rep", "gram"))
     source = postings.filter(F.col("side") == "source")
     target = postings.filter(F.col("side") == "target")
     products = _salted_product(source.filter("in_prefix"), target).unionByName(
@@ -166,6 +173,8 @@ def similar_names(
         .agg(F.sum("product").alias("partial"), F.max("decisive").alias("decisive"))
         .filter("decisive")
     )
+    # Adding the suffixes is per-pair work, so the candidates stay evenly spread.
+    candidates = spread(candidates, "source_rep", "target_rep")
     reachable = F.col("partial") + F.coalesce(
         F.col("source_rest") * F.col("target_rest"), F.lit(0.0)
     )
