@@ -155,7 +155,8 @@ def draw_effects(
     actual = F.col("label") == 1
     w = F.col("weight")
     zero = F.lit(0)
-    cells = runs.join(weights, "replicate").groupBy("replicate", "pipeline", "pick").agg(
+    # A replicate whose draws hit no pair keeps its row, so that it is reported below.
+    cells = runs.join(weights, "replicate", "left").groupBy("replicate", "pipeline", "pick").agg(
         F.sum(F.when(says & actual, w).otherwise(zero)).alias("tp"),
         F.sum(F.when(says != actual, w).otherwise(zero)).alias("wrong"),
     )
