@@ -241,20 +241,24 @@ def cache_lenient_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    _DOCUMENT_SQL + """,
+    """
+WITH have AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_linestatus = 'F'),
+want AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_linestatus = 'O'),
 odd AS (
-  SELECT source_id, target_id, 'missing' AS side FROM one_run WHERE defect < 3
-  UNION ALL SELECT source_id, 'x' || target_id, 'extra' FROM one_run WHERE defect = 99),
+  SELECT CAST(p AS VARCHAR) AS source_id, CAST(s AS VARCHAR) AS target_id, 'missing' AS side
+  FROM (SELECT * FROM want EXCEPT SELECT * FROM have)
+  UNION ALL
+  SELECT CAST(p AS VARCHAR), CAST(s AS VARCHAR), 'extra' FROM (SELECT * FROM have EXCEPT SELECT * FROM want)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY source_id, target_id) AS r FROM odd)
 SELECT side, count(*) AS keys, string_agg(source_id || '/' || target_id, ', ' ORDER BY r) FILTER (r <= 3) AS sample FROM ranked GROUP BY 1
 """
 )
 def cache_key_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = B.decision_labels(spark, sf_dir)
-    defect = (F.col("source_id").cast("bigint") * 7 + F.col("target_id").cast("bigint") * 13) % 100
-    kept = labels.filter(defect >= 3).select("source_id", "target_id")
-    extra = labels.filter(defect == 99).select("source_id", F.concat(F.lit("x"), "target_id").alias("target_id"))
-    return C.key_differences(kept.unionByName(extra), labels)
+    """Keys of finished lines checked against keys of open lines, as cache against split."""
+    lines = B.table(spark, sf_dir, "lineitem")
+    keys = [F.col("l_partkey").cast("string").alias("source_id"), F.col("l_suppkey").cast("string").alias("target_id")]
+    finished = lines.filter("l_linestatus = 'F'").select(*keys)
+    return C.key_differences(finished, lines.filter("l_linestatus = 'O'").select(*keys))
 
 
 _TREE_SQL = """,
