@@ -42,7 +42,7 @@ def run(arguments: list[str] | None = None) -> dict:
     if args.pipeline == "blocking":
         return E.run_blocking(data, f"{args.out}/candidate_pairs")
     if args.pipeline == "magellan":
-        return E.run_forest(data, parameters, args.max_pairs)
+        return E.run_forest(data, parameters, args.max_pairs, debug=args.debug)
     if args.pipeline == "magellan-tune":
         return E.run_tuning(data, parameters)
     if args.pipeline == "evaluate-all":

@@ -14,9 +14,16 @@ from pairwright.matchers.pipelines import (
     single_answers,
 )
 from pairwright.operators import blocking as K
+from pairwright.operators.features import (
+    FEATURE_NAMES,
+    feature_summary,
+    pair_features,
+    sample_rows,
+)
 from pairwright.operators.forest import (
     DEFAULT_SEED,
     SEEDS,
+    feature_importances,
     predict_matches,
     train_matcher,
     tune_forest,
@@ -49,12 +56,22 @@ def _scored(predictions: DataFrame, data: Dataset, started: float) -> dict:
 
 
 def run_forest(
-    data: Dataset, parameters: str | None = None, max_pairs: int | None = None, seed: int = DEFAULT_SEED
+    data: Dataset,
+    parameters: str | None = None,
+    max_pairs: int | None = None,
+    seed: int = DEFAULT_SEED,
+    debug: bool = False,
 ) -> dict:
     started = time.perf_counter()
     spark = data.test.sparkSession
     params, threshold = load_parameters(spark, parameters) if parameters else (None, 0.5)
     matcher = train_matcher(data.train, data.valid, data.sources, data.targets, params, threshold, seed)
+    if debug:
+        features = pair_features(pair_candidates(data.test), data.sources, data.targets)
+        feature_summary(features).show(len(FEATURE_NAMES), False)
+        sample_rows(features).show(truncate=False, vertical=True)
+        for rank, name, value in feature_importances(matcher):
+            print(f"{rank:2d}. {name:<25s} {value:.4f}")
     predictions = predict_matches(matcher, pair_candidates(data.test), data.sources, data.targets, max_pairs)
     return _scored(predictions, data, started)
 

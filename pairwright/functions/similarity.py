@@ -27,6 +27,7 @@ BM25_SHARED_IDF = math.log((BM25_DOCS - 2 + 0.5) / (2 + 0.5))
 # Smoothed inverse document frequency over a two-text corpus.
 TFIDF_UNSHARED_IDF = math.log(3.0 / 2.0) + 1.0
 
+# Fixed value: price ratio from which two prices are similar.
 PRICE_SIMILAR_RATIO = 0.8
 
 

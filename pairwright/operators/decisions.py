@@ -14,6 +14,7 @@ from pairwright.operators.metrics import (
     with_rates,
 )
 
+# Fixed value: confidence from which an agreement counts as confident.
 HIGH_CONFIDENCE = 0.9
 
 

@@ -68,3 +68,8 @@ def feature_summary(features: DataFrame) -> DataFrame:
         F.avg("value").alias("mean_value"),
         F.stddev_pop("value").alias("std_value"),
     )
+
+
+def sample_rows(features: DataFrame, rows: int = 5, seed: int = 0) -> DataFrame:
+    """A few random feature rows, for looking at."""
+    return features.orderBy(F.rand(seed)).limit(rows)

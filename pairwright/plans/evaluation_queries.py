@@ -499,3 +499,14 @@ def pairs_with_missing_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attach_labels(flagged, label_lookup(labeled)).select(
         "source_id", "target_id", "missing_product", "label"
     )
+
+
+@registered(
+    "WITH " + B.DECISIONS_SQL + """
+SELECT source_id, target_id, CASE WHEN (a.verdict = 'MATCH') = (a.label = 1) THEN 'Single' ELSE 'Multi' END AS correct
+FROM decisions a JOIN decisions b USING (source_id, target_id, run)
+WHERE run = 0 AND a.pipeline = 'single_llm' AND b.pipeline = 'multi_agent' AND a.verdict <> b.verdict
+"""
+)
+def disagreement_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.disagreements(_both(spark, sf_dir)).select("source_id", "target_id", "correct")

@@ -112,3 +112,10 @@ def entity_bootstrap_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.withColumns(
         {c: F.round(c, 6) for c in ("mean_effect", "range_lower", "range_upper")}
     )
+
+
+@registered(
+    "SELECT c_name, CAST(row_number() OVER (ORDER BY c_name) - 1 AS BIGINT) AS slot FROM (SELECT DISTINCT c_name FROM customer)"
+)
+def entity_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.dense_slots(B.table(spark, sf_dir, "customer"), "c_name", "slot")

@@ -12,6 +12,7 @@ from pairwright.plans import standins as B
 from pairwright.plans.registry import registered
 from pairwright.sources import cache as C
 from pairwright.sources import timings as W
+from pairwright.sources.reports import error_listing
 
 
 @registered(
@@ -331,3 +332,19 @@ def runtime_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def runtime_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.runtime_ratio(_timing_lines(spark, sf_dir)).select(F.round("ratio", 6).alias("ratio"))
+
+
+@registered(
+    "WITH " + B.DECISIONS_SQL + "," + B.PRODUCTS_SQL + """
+SELECT d.source_id, d.target_id, coalesce(a.name, '?') AS source_name, coalesce(b.name, '?') AS target_name,
+       CASE WHEN a.price = 'nan' THEN 'N/A' ELSE printf('$%.2f', CAST(a.price AS DOUBLE)) END AS source_price
+FROM decisions d LEFT JOIN products a ON a.id = d.source_id LEFT JOIN products b ON b.id = d.target_id
+WHERE run = 0 AND pipeline = 'single_llm' AND (verdict = 'MATCH') <> (label = 1)
+"""
+)
+def described_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrongly decided pairs with the products behind them."""
+    names = B.named_products(spark, sf_dir)
+    decided = B.decisions(spark, sf_dir).filter("run = 0 AND pipeline = 'single_llm'")
+    listed = error_listing(decided.withColumn("reasoning", F.lit("")), names, names)
+    return listed.select("source_id", "target_id", "source_name", "target_name", "source_price")

@@ -88,21 +88,16 @@ def describe_products(rows: DataFrame, sources: DataFrame, targets: DataFrame) -
     return rows.fillna(fill)
 
 
-def error_report(decided: DataFrame, sources: DataFrame, targets: DataFrame) -> str:
-    """Counts, error categories and every error of one labeled run.
+def error_listing(decided: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """Every wrongly decided pair with its category, ready to be written.
 
     ``decided`` has the pair keys, verdict, confidence, reasoning and label.
     """
     matched, actual = M.is_match(F.col("verdict")), F.col("label") == 1
-    totals = M.with_rates(decided.agg(*M.confusion_counts(matched, actual)), harmonic=True).first()
-    lines = ["# Error Analysis", "", "## Summary"]
-    lines += markdown_table(("Metric", "Count"), [(c.upper(), totals[c]) for c in ("tp", "fp", "fn", "tn", "n")])
-    lines += [f"- {c.capitalize()}: {totals[c]:.4f}" for c in ("precision", "recall", "f1")]
     errors = describe_products(decided.filter(matched != actual), sources, targets)
     errors = with_error_categories(errors.withColumn("reasoning", F.coalesce("reasoning", F.lit(""))))
-    kind = F.when(matched, "False Positives").otherwise("False Negatives")
-    listed = errors.select(
-        kind.alias("kind"),
+    return errors.select(
+        F.when(matched, "False Positives").otherwise("False Negatives").alias("kind"),
         F.when(matched, F.col("fp_category")).otherwise(F.col("fn_category")).alias("category"),
         *M.KEYS,
         shortened(F.col("source_name"), 60).alias("source_name"),
@@ -112,17 +107,32 @@ def error_report(decided: DataFrame, sources: DataFrame, targets: DataFrame) ->
         F.coalesce(F.col("confidence").cast("string"), F.lit("?")).alias("confidence"),
         shortened(F.col("reasoning")).alias("reasoning"),
     )
+
+
+def error_report(
+    decided: DataFrame, sources: DataFrame, targets: DataFrame, listing_path: str | None = None
+) -> str:
+    """Counts and error categories of one labeled run.
+
+    The errors themselves can be any number, so executors write them to
+    ``listing_path`` as CSV and the report only names the place.
+    """
+    matched, actual = M.is_match(F.col("verdict")), F.col("label") == 1
+    totals = M.with_rates(decided.agg(*M.confusion_counts(matched, actual)), harmonic=True).first()
+    lines = ["# Error Analysis", "", "## Summary"]
+    lines += markdown_table(("Metric", "Count"), [(c.upper(), totals[c]) for c in ("tp", "fp", "fn", "tn", "n")])
+    lines += [f"- {c.capitalize()}: {totals[c]:.4f}" for c in ("precision", "recall", "f1")]
+    listed = error_listing(decided, sources, targets)
+    if listing_path is not None:
+        listed.write.mode("overwrite").csv(listing_path, header=True)
+        lines.append(f"- Every error: {listing_path}")
+    counts = listed.groupBy("kind", "category").agg(F.count("*").alias("rows")).collect()
     for name in ("False Positives", "False Negatives"):
-        mine = listed.filter(F.col("kind") == name)
-        shares = D.percentage_by(mine, "category").orderBy(F.desc("rows"), "category").collect()
-        lines += ["", f"## {name}", ""]
-        if not shares:
-            lines.append("None")
-            continue
-        lines += markdown_table(("Category", "Count", "%"), [(r["category"], r["rows"], f"{r['percent']:.1f}%") for r in shares])
-        headers = (*M.KEYS, "source_name", "target_name", "source_price", "target_price", "confidence", "reasoning")
-        # toLocalIterator holds one partition of errors at a time.
-        lines += ["", *markdown_table(headers, (tuple(r[h] for h in headers) for r in mine.orderBy(*M.KEYS).toLocalIterator()))]
+        mine = sorted((-r["rows"], r["category"]) for r in counts if r["kind"] == name)
+        total = -sum(n for n, _ in mine)
+        lines += ["", f"## {name} ({total})", ""]
+        cells = [(category, -n, f"{-100 * n / total:.1f}%") for n, category in mine]
+        lines += markdown_table(("Category", "Count", "%"), cells) if cells else ["None"]
     return "\n".join(lines) + "\n"
 
 

@@ -36,14 +36,23 @@ def test_command_line_and_full_evaluation(spark, tmp_path):
     assert "| Precision |" in text and "+/-" in text
 
 
-def test_reports(spark):
+def test_registered_sql_functions(spark):
+    from pairwright.functions.sql import register_functions
+
+    register_functions(spark)
+    row = spark.sql("SELECT needleman_wunsch('abc', 'abc') AS nw, smith_waterman('xabcy', 'abc') AS sw").first()
+    assert (row["nw"], row["sw"]) == (3.0, 3.0)
+
+
+def test_reports(spark, tmp_path):
     rows = B.decisions(spark, SF).cache()
     multi = rows.filter("pipeline = 'multi_agent'")
     assert "agents_disagree" in R.arbitration_report(multi)
     goods = B.named_products(spark, SF)
     one = multi.filter("run = 0").selectExpr("*", "'price differs' AS reasoning")
-    report = R.error_report(one, goods, goods)
+    report = R.error_report(one, goods, goods, str(tmp_path / "errors"))
     assert "## False Positives" in report and "sparse description" in report
+    assert spark.read.csv(str(tmp_path / "errors"), header=True).count() == R.error_listing(one, goods, goods).count()
 
 
 def test_canonical_json_is_stable_and_cells_truncate():
