@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import packing, token_counts
+from pairwright.llm import packing, quality, sharding, token_counts
 from pairwright.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,3 +29,5 @@ def _register(query: Query, oracle: str | None = None) -> None:
 
 _register(packing.op2_best_fit_packing)
 _register(token_counts.op5_token_counts)
+_register(sharding.op7_sharding)
+_register(quality.op8_quality_rules, quality.ORACLE)
