@@ -193,7 +193,7 @@ WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
 ), split AS (
   SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
   FROM d
 ), windows AS (
   SELECT r, i, count(*) OVER (PARTITION BY r, w) AS times FROM (
@@ -209,7 +209,7 @@ WITH d AS (
     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
-    CAST(len(list_filter(words, x -> lower(x) IN ({_STOP_SQL}))) AS BIGINT) AS n_stop_words,
+    CAST(len(list_filter(words, lambda x: lower(x) IN ({_STOP_SQL}))) AS BIGINT) AS n_stop_words,
     length(text) - length(replace(text, '!', '')) AS n_exclamations,
     length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals,
     len(lines) AS n_lines
