@@ -25,7 +25,7 @@ LOOSE = {
     r"(?:(?:\.|\x20?[\[(]dot[\])]\x20?)[A-Za-z0-9-]{1,63}+)++",
     "ip": r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{1,4}+(?::[0-9A-Fa-f]{1,4}+){7}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}(?:[\x20._/-]{1,3}+[0-9]{4}){2}[\x20._/-]{1,3}+[0-9]{1,7}+(?![0-9])",
-    "phone": r"(?<![0-9+])(?:00[1-9][0-9]{0,2}[\x20.-])?\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
+    "phone": r"(?<![0-9+.])(?:00[1-9][0-9]{0,2}[\x20.-])?\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20.-][0-9]{3,4}(?!\.?[0-9])",
 }
 #: A text without these holds no candidate.
 _ANY = r"[0-9@]|[\[(]at[\])]"
