@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import packing, pii, quality, sharding, token_counts, toxicity
+from pairwright.llm import bpe, packing, pii, quality, sharding, token_counts, toxicity
 from pairwright.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,5 +31,6 @@ _register(packing.op2_best_fit_packing)
 _register(toxicity.op4_toxicity)
 _register(token_counts.op5_token_counts)
 _register(pii.op3_personal_data)
+_register(bpe.op9_byte_bpe)
 _register(sharding.op7_sharding)
 _register(quality.op8_quality_rules, quality.ORACLE)
