@@ -253,48 +253,76 @@ def _rest(crowded: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
     )
     slots = len(scheme.kept)
 
-    def compare(group: pa.Table) -> pa.Table:
-        group = group.sort_by("node")
-        node = group["node"].to_numpy()
-        comp = group["comp"].to_numpy()
-        part = group["part"].to_numpy()
-        low, high = group["low"][0].as_py(), group["high"][0].as_py()
-        data = b"".join(group["signature"].to_pylist())
-        value = np.frombuffer(data, "<u2").reshape(len(node), scheme.values)
+    def compare(key: int, node: np.ndarray, comp: np.ndarray, part: np.ndarray, value: np.ndarray, two: bool) -> tuple[list, list]:
         keys = keys_of(value, scheme)
-        key = group["key"][0].as_py()
-        at = np.flatnonzero(keys[0] == key)[0]
+        at = int(np.flatnonzero(keys[0] == key)[0])
         left, right = [], []
         for i in range(len(node) - 1):
-            differ = value[i] != value[i + 1 :]
+            other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+            if two:
+                other = other[part[other] != part[i]]
+            if not len(other):
+                continue
+            differ = value[i] != value[other]
             errors = differ.reshape(len(differ), scheme.chunks, scheme.width).sum(2)
-            agree = 1 - differ.mean(1) >= scheme.least_agreement
+            mine = 1 - differ.mean(1) >= scheme.least_agreement
             # the pair belongs to the first key that both have
-            close = errors <= scheme.errors
-            earlier = close[:, : at // slots].any(1)
-            shared = keys[i, : at + 1] == keys[i + 1 :, : at + 1]
-            mine = agree & ~earlier & (shared.argmax(1) == at) & shared[:, at]
-            mine &= comp[i + 1 :] != comp[i]
-            if low != high:
-                mine &= part[i + 1 :] != part[i]
-            hits = np.flatnonzero(mine) + i + 1
+            mine &= ~(errors[:, : at // slots] <= scheme.errors).any(1)
+            mine &= (keys[i, : at + 1] == keys[other, : at + 1]).argmax(1) == at
+            hits = node[other[mine]]
             left.append(np.full(len(hits), node[i]))
-            right.append(node[hits])
-        a = np.concatenate(left) if left else np.zeros(0, np.int64)
-        b = np.concatenate(right) if right else np.zeros(0, np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            right.append(hits)
+        return left, right
 
-    return rows.groupBy("key", "low", "high").applyInArrow(compare, "a long, b long")
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
 
+        def found(group: pa.Table) -> pa.RecordBatch:
+            node, comp, part, key, low, high = (
+                group[c].to_numpy() for c in ("node", "comp", "part", "key", "low", "high")
+            )
+            data = b"".join(group["signature"].to_pylist())
+            value = np.frombuffer(data, "<u2").reshape(len(node), scheme.values)
+            new = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+            cuts = np.r_[0, np.flatnonzero(new) + 1, len(key)]
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if j - i > 1:
+                    a, b = compare(
+                        key[i], node[i:j], comp[i:j], part[i:j], value[i:j], low[i] != high[i]
+                    )
+                    left += a
+                    right += b
+            one, other = np.concatenate(left), np.concatenate(right)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], ["a", "b"]
+            )
 
-def near_duplicates(docs: DataFrame, *, scheme: Scheme = SCHEME, rounds: int = 3) -> DataFrame:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held = pa.concat_tables([*([held] if held else []), pa.Table.from_batches([batch])])
+            last = tuple(held[c][-1].as_py() for c in ("key", "low", "high"))
+            n = held.num_rows
+            while n and tuple(held[c][n - 1].as_py() for c in ("key", "low", "high")) == last:
+                n -= 1
+            if n:
+                yield found(held.slice(0, n))
+                held = held.slice(n)
+        if held is not None:
+            yield found(held)
+
+    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    return dealt.mapInArrow(stream, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, scheme: Scheme = SCHEME, hubs: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
     1. Equal word sequences are one node, named by its smallest id; only nodes go on.
     2. Every node has a key for each chunk of its signature and each way of leaving
-       values out. In ``rounds`` rounds all nodes of a key are compared with one of them,
-       by a hash of the round, unless they already belong together. So a group of copies
-       costs one comparison a member, not a square.
+       values out. All nodes of a key are compared with ``hubs`` of them, chosen by hashes,
+       so most of a group of copies comes together at a few comparisons a member.
     3. Whatever pairs of different components still share a key are compared, exactly
        once each, in blocks: no pair that the index finds is left out.
 
@@ -321,31 +349,24 @@ def near_duplicates(docs: DataFrame, *, scheme: Scheme = SCHEME, rounds: int = 3
         .where("text IS NOT NULL").distinct(),
         "node-texts",
     )
-    links: DataFrame | None = None
-    labels: DataFrame | None = None
-
-    def labelled(frame: DataFrame) -> DataFrame:
-        if labels is None:
-            return frame.withColumn("comp", F.col("node"))
-        return frame.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-
-    for turn in range(rounds + 1):
-        named = labelled(shared)
-        mixed = named.groupBy("key").agg(
-            F.min("comp").alias("low"), F.max("comp").alias("high"),
-            F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "comp")).alias("hub"),
-        ).where("low <> high")
-        if turn < rounds:
-            found = (
-                named.join(mixed.select("key", "hub"), "key")
-                .where("comp <> hub.comp")
-                .select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
-            )
-        else:
-            found = _rest(named.join(mixed.select("key"), "key"), nodes, scheme)
-        new = stored(_linked(found, texts), "links")
-        links = new if links is None else links.union(new)
-        labels = components(links)
+    places = [
+        F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), F.col("node"))).alias(f"hub{k}")
+        for k in range(hubs)
+    ]
+    starred = shared.groupBy("key").agg(*places).select(
+        "key", F.explode(F.array_distinct(F.array(*[F.col(f"hub{k}.node") for k in range(hubs)]))).alias("a")
+    )
+    star = shared.join(starred, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    links = stored(_linked(star, texts), "links")
+    named = stored(
+        shared.join(components(links), "node", "left")
+        .select("key", "node", "n", F.coalesce("comp", "node").alias("comp")),
+        "named-keys",
+    )
+    mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+    crowded = named.join(mixed.where("low <> high").select("key"), "key")
+    more = _linked(_rest(crowded, nodes, scheme), texts)
+    labels = components(links.union(more))
     return (
         rows.join(nodes.select("digest", "node"), "digest", "left")
         .join(labels, "node", "left")
