@@ -234,142 +234,201 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-_BLOCK = 1024
+#: Keys of more nodes than this are dense: their nodes are compared family by family.
+DENSE = 64
+_BLOCK = 512
+
+
+def _by_group(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """The rows of sorted batches, cut so that no group of equal ``names`` is parted."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.concat_tables([*([held] if held else []), pa.Table.from_batches([batch])])
+        last = tuple(held[c][-1] for c in names)
+        n = held.num_rows
+        while n and tuple(held[c][n - 1] for c in names) == last:
+            n -= 1
+        if n:
+            yield held.slice(0, n)
+            held = held.slice(n)
+    if held is not None:
+        yield held
+
+
+def _bounds(*columns: np.ndarray) -> list[tuple[int, int]]:
+    new = np.zeros(len(columns[0]) - 1, bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    cuts = [0, *(np.flatnonzero(new) + 1).tolist(), len(columns[0])]
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
+def _pairs(left: list[np.ndarray], right: list[np.ndarray]) -> pa.RecordBatch:
+    one = np.concatenate([np.zeros(0, np.int64), *left])
+    other = np.concatenate([np.zeros(0, np.int64), *right])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], ["a", "b"]
+    )
 
 
-def _rest(crowded: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """Pairs of different components that share a key and may be similar, each once.
+def _sparse_candidates(keys: DataFrame, nodes: DataFrame, scheme: Scheme) -> DataFrame:
+    """Pairs that share a key of few nodes and may be similar, each once (a < b).
 
-    ``crowded``: key, node, comp, of the keys that several components share, and n, how
-    many nodes the key has. A key of more than ``_BLOCK`` nodes is cut into blocks, and
-    every two blocks meet in a group of their own, so no group is larger than two blocks.
+    A pair belongs to the first key that both nodes have; where that one is dense, they
+    are of one family.
     """
-    parts = F.ceil(F.col("n") / _BLOCK).cast("int")
-    rows = crowded.join(nodes.select("node", "signature"), "node").withColumn("parts", parts)
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        "key", "node", "comp", "signature", "part",
-        F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"),
-    )
-    slots = len(scheme.kept)
+    ways = len(scheme.kept)
 
-    def compare(key: int, node: np.ndarray, comp: np.ndarray, part: np.ndarray, value: np.ndarray, two: bool) -> tuple[list, list]:
-        keys = keys_of(value, scheme)
-        at = int(np.flatnonzero(keys[0] == key)[0])
+    def compare(key: int, node: np.ndarray, value: np.ndarray) -> tuple[list, list]:
+        own = keys_of(value, scheme)
+        at = int(np.flatnonzero(own[0] == key)[0])
         left, right = [], []
         for i in range(len(node) - 1):
-            other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
-            if two:
-                other = other[part[other] != part[i]]
-            if not len(other):
-                continue
-            differ = value[i] != value[other]
-            errors = differ.reshape(len(differ), scheme.chunks, scheme.width).sum(2)
+            differ = value[i] != value[i + 1 :]
             mine = 1 - differ.mean(1) >= scheme.least_agreement
-            # the pair belongs to the first key that both have
-            mine &= ~(errors[:, : at // slots] <= scheme.errors).any(1)
-            mine &= (keys[i, : at + 1] == keys[other, : at + 1]).argmax(1) == at
-            hits = node[other[mine]]
+            errors = differ.reshape(len(differ), scheme.chunks, scheme.width).sum(2)
+            mine &= ~(errors[:, : at // ways] <= scheme.errors).any(1)
+            mine &= (own[i, : at + 1] == own[i + 1 :, : at + 1]).argmax(1) == at
+            hits = node[i + 1 :][mine]
             left.append(np.full(len(hits), node[i]))
             right.append(hits)
         return left, right
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def found(group: pa.Table) -> pa.RecordBatch:
-            node, comp, part, key, low, high = (
-                group[c].to_numpy() for c in ("node", "comp", "part", "key", "low", "high")
-            )
+        for group in _by_group(batches, ("key",)):
+            node, key = group["node"].to_numpy(), group["key"].to_numpy()
             data = b"".join(group["signature"].to_pylist())
             value = np.frombuffer(data, "<u2").reshape(len(node), scheme.values)
-            new = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1])
-            cuts = np.r_[0, np.flatnonzero(new) + 1, len(key)]
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, j in zip(cuts[:-1], cuts[1:]):
+            left, right = [], []
+            for i, j in _bounds(key):
                 if j - i > 1:
-                    a, b = compare(
-                        key[i], node[i:j], comp[i:j], part[i:j], value[i:j], low[i] != high[i]
-                    )
+                    a, b = compare(key[i], node[i:j], value[i:j])
                     left += a
                     right += b
-            one, other = np.concatenate(left), np.concatenate(right)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], ["a", "b"]
-            )
+            yield _pairs(left, right)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held = pa.concat_tables([*([held] if held else []), pa.Table.from_batches([batch])])
-            last = tuple(held[c][-1].as_py() for c in ("key", "low", "high"))
-            n = held.num_rows
-            while n and tuple(held[c][n - 1].as_py() for c in ("key", "low", "high")) == last:
-                n -= 1
-            if n:
-                yield found(held.slice(0, n))
-                held = held.slice(n)
-        if held is not None:
-            yield found(held)
-
-    dealt = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    rows = keys.join(nodes.select("node", "signature"), "node").select("key", "node", "signature")
+    dealt = rows.repartition("key").sortWithinPartitions("key", "node")
     return dealt.mapInArrow(stream, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, *, scheme: Scheme = SCHEME, hubs: int = 3) -> DataFrame:
+def spanning_links(sets: list[np.ndarray], side: np.ndarray | None) -> list[tuple[int, int]]:
+    """Similar pairs of the sets that connect all that similar pairs connect.
+
+    Intersections of one set with all later ones are counted at once over an inverted
+    index. ``side``: if given, only pairs of different sides are looked at.
+    """
+    sizes = np.array([len(x) for x in sets])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(codes, kind="stable")
+    owners = owner[order]
+    first = np.searchsorted(codes[order], np.arange(codes.max() + 2))
+    ends = np.cumsum(sizes)
+    label = np.arange(len(sets))
+    links = []
+    for i in range(len(sets) - 1):
+        mine = codes[ends[i] - sizes[i] : ends[i]]
+        many = first[mine + 1] - first[mine]
+        stops = np.cumsum(many)
+        at = np.arange(stops[-1]) + np.repeat(first[mine] - (stops - many), many)
+        both = np.bincount(owners[at], minlength=len(sets))
+        close = 100 * both >= SIMILARITY * (sizes[i] + sizes - both)
+        close[: i + 1] = False
+        if side is not None:
+            close &= side != side[i]
+        for j in np.flatnonzero(close & (label != label[i])).tolist():
+            if label[j] != label[i]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _family_links(dense: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links within families: nodes that dense keys connect, compared on their full sets.
+
+    A family is cut into blocks of about ``_BLOCK`` nodes and every two blocks meet in a
+    group of their own; a group names only links that connect what it had not connected.
+    """
+    hubs = dense.groupBy("key").agg(F.min("node").alias("a"))
+    edges = dense.join(hubs, "key").select("a", F.col("node").alias("b")).distinct()
+    member = stored(components(edges).withColumnRenamed("comp", "family"), "families")
+    sized = member.groupBy("family").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("parts"))
+    rows = member.join(sized, "family").withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    )
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select(
+        "family", "node", "part", F.least("part", "other").alias("low"),
+        F.greatest("part", "other").alias("high"),
+    ).join(texts, "node")
+    names = ("family", "low", "high")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _by_group(batches, names):
+            node, part = group["node"].to_numpy(), group["part"].to_numpy()
+            family, low, high = (group[c].to_numpy() for c in names)
+            left, right = [], []
+            for i, j in _bounds(family, low, high):
+                sets = [shingles(words_of(t.as_py())) for t in group["text"].slice(i, j - i)]
+                side = part[i:j] if low[i] != high[i] else None
+                pairs = spanning_links(sets, side) if j - i > 1 else []
+                left.append(node[[i + a for a, _ in pairs]].astype(np.int64))
+                right.append(node[[i + b for _, b in pairs]].astype(np.int64))
+            yield _pairs(left, right)
+
+    dealt = rows.repartition(*names).sortWithinPartitions(*names)
+    return dealt.mapInArrow(stream, "a long, b long").where("a <> b")
+
+
+def near_duplicates(docs: DataFrame, *, scheme: Scheme = SCHEME, dense: int = DENSE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
     1. Equal word sequences are one node, named by its smallest id; only nodes go on.
     2. Every node has a key for each chunk of its signature and each way of leaving
-       values out. All nodes of a key are compared with ``hubs`` of them, chosen by hashes,
-       so most of a group of copies comes together at a few comparisons a member.
-    3. Whatever pairs of different components still share a key are compared, exactly
-       once each, in blocks: no pair that the index finds is left out.
-
-    Candidates count only after their full sets have been compared. Rows without words
-    link with nothing and are their own component; rows with a null id have none
-    (component null, kept). Rows of one id are one document: all of its texts' links
-    count. Empty tables give empty ones; columns other than doc_id and text are ignored.
+       values out; nodes that share a key are candidates.
+    3. Pairs of a key of at most ``dense`` nodes are compared one by one, each pair once.
+    4. Keys of more nodes, as thousands of near copies have, connect their nodes to
+       families. A family is compared in blocks, whose tasks keep only links that
+       connect: the output grows with the members, not with their pairs.
+
+    Links count only on full sets, and no pair that the index finds is left out. Rows
+    without words link with nothing and are their own component; rows with a null id
+    have none (component null, kept). Rows of one id are one document: all of its texts'
+    links count. Empty tables give empty ones; columns other than doc_id and text are
+    ignored.
     """
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    plain = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    )
     rows = stored(signed(plain, scheme), "signatures")
     known = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     nodes = stored(
-        known.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")),
+        known.groupBy("digest")
+        .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")),
         "nodes",
     )
     keys = _keys(nodes, scheme)
-    # only keys that several nodes share can find anything
     counted = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = stored(_keys(nodes, scheme).join(counted, "key"), "keys")
-    node_ids = nodes.select(F.col("node").alias("doc_id")).distinct()
-    texts = plain.join(shared.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    shared = stored(keys.join(counted, "key"), "keys")
+    candidates = _sparse_candidates(shared.where(F.col("n") <= dense), nodes, scheme)
+    candidates = stored(candidates.where("a <> b").distinct(), "candidates")
+    crowded = shared.where(F.col("n") > dense).select("key", "node")
+    wanted = (
+        candidates.select(F.explode(F.array("a", "b")).alias("doc_id"))
+        .union(crowded.select("node")).distinct()
+    )
     texts = stored(
-        texts.join(node_ids, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
-        .where("text IS NOT NULL").distinct(),
+        plain.where("text IS NOT NULL").join(wanted, "doc_id", "left_semi")
+        .select(F.col("doc_id").alias("node"), "text").distinct(),
         "node-texts",
     )
-    places = [
-        F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), F.col("node"))).alias(f"hub{k}")
-        for k in range(hubs)
-    ]
-    starred = shared.groupBy("key").agg(*places).select(
-        "key", F.explode(F.array_distinct(F.array(*[F.col(f"hub{k}.node") for k in range(hubs)]))).alias("a")
-    )
-    star = shared.join(starred, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    links = stored(_linked(star, texts), "links")
-    named = stored(
-        shared.join(components(links), "node", "left")
-        .select("key", "node", "n", F.coalesce("comp", "node").alias("comp")),
-        "named-keys",
-    )
-    mixed = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
-    crowded = named.join(mixed.where("low <> high").select("key"), "key")
-    more = _linked(_rest(crowded, nodes, scheme), texts)
-    labels = components(links.union(more))
+    links = stored(_linked(candidates, texts).union(_family_links(crowded, texts)), "links")
     return (
         rows.join(nodes.select("digest", "node"), "digest", "left")
-        .join(labels, "node", "left")
+        .join(components(links), "node", "left")
         .select(
             "doc_id", "n_shingles",
             F.coalesce("comp", "node", "doc_id").alias("component_id"),
