@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairwright.llm.common import stored, table
+from pairwright.llm.common import stored_by, table
 from pairwright.llm.dictionary import (
     answered, blocks, buckets_for, rows_of, unzip_numbers, unzip_words,
     zip_numbers,
@@ -75,9 +75,10 @@ def encode(
     path = path or vocabulary_file()
     pattern = pattern or public_tokenizers.PATTERN
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != into])
-    cut = stored(
-        blocks(docs, lambda t: _words(pattern)(t), buckets=buckets_for(docs), text=text),
-        "words",
+    buckets = buckets_for(docs)
+    cut = stored_by(
+        blocks(docs, lambda t: _words(pattern)(t), buckets=buckets, text=text),
+        "words", "block", buckets,
     )
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,15 +112,18 @@ def encode(
         starts = np.cumsum(length) - length
         out = []
         for words, rows in zip(order.column("order").to_pylist(), order.column("rows").to_pylist()):
-            number = unzip_numbers(words)
-            many = length[number]
-            ends = np.cumsum(many)
-            total = int(ends[-1]) if len(ends) else 0
-            at = np.arange(total) + np.repeat(starts[number] - (ends - many), many)
-            flat = value[at].astype(np.int32)
-            held = rows_of(rows)
-            stops = np.r_[0, np.cumsum(held.column("_words").to_numpy())]
-            offsets = np.r_[0, ends][stops].astype(np.int32)
+            number, held = unzip_numbers(words), rows_of(rows)
+            stops = np.cumsum(held.column("_words").to_numpy())
+            parts = []
+            for a, b in zip([0, *stops[:-1]], stops):
+                mine = number[a:b]
+                many = length[mine]
+                ends = np.cumsum(many)
+                total = int(ends[-1]) if len(ends) else 0
+                at = np.arange(total) + np.repeat(starts[mine] - (ends - many), many)
+                parts.append(value[at].astype(np.int32))
+            offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int32), *parts])
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             columns = [held.column(n) for n in names]
             out.append(pa.table([*columns, ids], names=[*names, into]))
@@ -143,7 +147,9 @@ def decode(encoded: DataFrame, *, path: str | None = None, ids: str = "ids", int
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = token_bytes(path).__getitem__
         for batch in batches:
-            found = [b"".join(map(token, i or ())) for i in batch.column(ids).to_pylist()]
+            # row by row: lists of whole batches would take many times their size
+            rows = (i.values for i in batch.column(ids))
+            found = [b"" if r is None else b"".join(map(token, r.to_pylist())) for r in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*names, into])
 
     source = encoded.select(*[F.col(f"`{c}`") for c in names])

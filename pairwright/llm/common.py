@@ -76,6 +76,16 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def stored_by(frame: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
+    """Like ``stored``, bucketed: joins and groups by ``column`` read it without a shuffle."""
+    spark = frame.sparkSession
+    table_name = f"llm_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table_name}"
+    frame.write.bucketBy(buckets, column).option("path", path).saveAsTable(table_name)
+    atexit.register(_remove, spark, path)
+    return spark.table(table_name)
+
+
 def forget(frame: DataFrame) -> None:
     """Delete a table that ``stored`` wrote and nothing will read again."""
     _remove(frame.sparkSession, frame._llm_path)  # type: ignore[attr-defined]

@@ -32,7 +32,7 @@ BLOCKS = (
 def zip_numbers(numbers: np.ndarray) -> bytes:
     """Numbers below 2**32, byte plane after byte plane, which compresses well."""
     planes = np.ascontiguousarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.compress(planes.tobytes(), 5)
+    return zstandard.compress(planes.tobytes(), 7)
 
 
 def unzip_numbers(data: bytes) -> np.ndarray:
@@ -42,7 +42,7 @@ def unzip_numbers(data: bytes) -> np.ndarray:
 
 def zip_words(words: list[bytes]) -> bytes:
     lengths = np.array([len(w) for w in words], "<u4").tobytes()
-    return zstandard.compress(len(words).to_bytes(4, "little") + lengths + b"".join(words), 5)
+    return zstandard.compress(len(words).to_bytes(4, "little") + lengths + b"".join(words), 9)
 
 
 def unzip_words(data: bytes) -> list[bytes]:
