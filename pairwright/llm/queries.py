@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import bpe, near_dedup, packing, pii, quality, sharding, token_counts, toxicity
+from pairwright.llm import ann, bpe, near_dedup, packing, pii, quality, sharding, token_counts, toxicity
 from pairwright.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,3 +35,4 @@ _register(bpe.op9_byte_bpe)
 _register(near_dedup.op6_minhash_dedup)
 _register(sharding.op7_sharding)
 _register(quality.op8_quality_rules, quality.ORACLE)
+_register(ann.op10_forest_neighbours)
