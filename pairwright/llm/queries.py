@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import ann, bpe, near_dedup, packing, pii, quality, sharding, token_counts, toxicity
+from pairwright.llm import ann, bpe, lm, near_dedup, packing, pii, quality, sharding, token_counts, toxicity
 from pairwright.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,7 @@ def _register(query: Query, oracle: str | None = None) -> None:
         ORACLES[query.__name__] = oracle
 
 
+_register(lm.op1_lm_scoring)
 _register(packing.op2_best_fit_packing)
 _register(toxicity.op4_toxicity)
 _register(token_counts.op5_token_counts)
