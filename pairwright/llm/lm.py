@@ -45,7 +45,7 @@ class Spelling:
     """A mixture of Markov chains over bytes: the class of a rare word, and its probability."""
 
     symbol: np.ndarray  # of each byte; the last symbol stands for all rare bytes
-    logs: np.ndarray  # (from, to) x class, log10; row _SYMBOLS starts, column _SYMBOLS ends
+    logs: np.ndarray  # (two before, to) x class, log10; symbol _SYMBOLS starts and ends
     share: np.ndarray  # log10 of each class's share
     rare: float  # log10 probability of one of the bytes that share the last symbol
 
@@ -60,7 +60,9 @@ class Spelling:
         before = np.r_[_SYMBOLS, to[:-1]]
         before[np.r_[0, ends[:-1]]] = _SYMBOLS
         other = np.bincount(np.repeat(np.arange(len(words)), lengths), symbols == _SYMBOLS - 1, len(words))
-        return before * (_SYMBOLS + 1) + to, ends, other
+        earlier = np.r_[_SYMBOLS, before[:-1]]
+        earlier[np.r_[0, ends[:-1]]] = _SYMBOLS
+        return (earlier * (_SYMBOLS + 1) + before) * (_SYMBOLS + 1) + to, ends, other
 
     def likelihoods(self, words: list[bytes]) -> np.ndarray:
         steps, ends, other = self._steps(words)
@@ -84,21 +86,25 @@ def fit_spelling(words: list[bytes], classes: int = TAILS, rounds: int = 15) ->
     symbol = np.full(256, _SYMBOLS - 1, np.int64)
     top = np.argsort(-often, kind="stable")[: _SYMBOLS - 1]
     symbol[top] = np.arange(len(top))
-    size = (_SYMBOLS + 1) ** 2
+    size = (_SYMBOLS + 1) ** 3
     rare = -float(np.log10(256 - len(top)))
     flat = Spelling(symbol, np.zeros((size, classes)), np.zeros(classes), rare)
     if not words:
-        return Spelling(symbol, np.full((size, classes), -np.log10(_SYMBOLS + 1)), np.full(classes, -np.log10(classes)), rare)
+        return Spelling(symbol, np.full((size, classes), -np.log10(_SYMBOLS + 1), np.float32), np.full(classes, -np.log10(classes)), rare)
     steps, ends, _ = flat._steps(words)
     owner = np.repeat(np.arange(len(words)), np.diff(np.r_[0, ends]))
     belongs = np.random.default_rng(2).dirichlet(np.full(classes, 0.3), len(words))
     for _ in range(rounds):
         counts = np.stack([np.bincount(steps, belongs[owner, k], size) for k in range(classes)], 1)
-        whole = counts.sum(1).reshape(_SYMBOLS + 1, -1)
-        # a class backs off to the chain of all words, that one to equal chances
-        base = (whole + 0.1) / (whole + 0.1).sum(1, keepdims=True)
-        cells = counts.reshape(_SYMBOLS + 1, _SYMBOLS + 1, classes) + 5.0 * base[:, :, None]
-        logs = np.log10(cells / cells.sum(1, keepdims=True)).reshape(size, classes)
+        cube = counts.reshape(_SYMBOLS + 1, _SYMBOLS + 1, _SYMBOLS + 1, classes)
+        # pairs of a class back off to pairs of all words, triples to the class's pairs
+        pairs = cube.sum(0)
+        base = pairs.sum(2) + 0.1
+        base /= base.sum(1, keepdims=True)
+        pairs = pairs + 5.0 * base[:, :, None]
+        pairs /= pairs.sum(1, keepdims=True)
+        cube = cube + 4.0 * pairs[None]
+        logs = np.log10(cube / cube.sum(2, keepdims=True)).reshape(size, classes).astype(np.float32)
         share = np.log10((belongs.sum(0) + 1) / (len(words) + classes))
         model = Spelling(symbol, logs, share, rare)
         like = (model.likelihoods(words) + share) * np.log(10)
@@ -176,9 +182,9 @@ def coded(cut: DataFrame, known: Vocabulary, *, words: int = WORDS) -> tuple[Dat
         code[at] = words + kind
         spelled[at] = np.ceil(-logs * _MILLI).astype(np.int64)
         often = np.array(list(counts.values()), np.int64)
-        totals = np.zeros((2, words + tails), np.int64)
-        np.add.at(totals[0], code, often)
-        np.add.at(totals[1], code, often == 1)
+        totals = np.zeros((4, words + tails), np.int64)
+        for row, value in zip(totals, (often, often == 1, often == 2, often > 0)):
+            np.add.at(row, code, value)
         rows: list[tuple] = [(None, None, None, None, None, zstandard.compress(totals.tobytes()))]
         for block, numbers, mine in zip(group["block"].to_pylist(), group["numbers"].to_pylist(), packs):
             i = np.array([place[w] for w in mine], np.int64)
@@ -189,11 +195,13 @@ def coded(cut: DataFrame, known: Vocabulary, *, words: int = WORDS) -> tuple[Dat
 
     packs = cut.where("bucket >= 0").select("block", "bucket", "words", "numbers", "counts")
     answers = stored(packs.groupBy("bucket").applyInArrow(answer, _ANSWERS), "answers")
-    totals = np.zeros((2, words + tails), np.int64)
+    totals = np.zeros((4, words + tails), np.int64)
     for row in answers.where("totals IS NOT NULL").select("totals").toLocalIterator():
         totals += np.frombuffer(zstandard.decompress(row["totals"]), np.int64).reshape(totals.shape)
-    of_class, once = totals[0, words:].astype(float), totals[1, words:].astype(float)
-    unseen = np.clip((once + 0.5) / (of_class + 1), 1e-6, 1 - 1e-6)
+    # absolute discounting: what seen words give up goes to spelling
+    of_class, once, twice, types = totals[:, words:].astype(float)
+    discount = np.clip((once + 0.5) / (once + 2 * twice + 1), 0.05, 0.95)
+    unseen = np.where(of_class > 0, discount * types / np.maximum(of_class, 1), 1.0)
     base_of = known.tokens + 0.1 * (known.distinct + 1)
 
     def code(order: pa.Table, found: pa.Table) -> pa.Table:
@@ -209,7 +217,7 @@ def coded(cut: DataFrame, known: Vocabulary, *, words: int = WORDS) -> tuple[Dat
         rare = np.flatnonzero(codes >= words)
         kind = codes[rare] - words
         tail[rare] = np.log10(
-            (1 - unseen[kind]) * counts[rare] / np.maximum(of_class[kind], 1)
+            np.maximum(counts[rare] - discount[kind], 0) / np.maximum(of_class[kind], 1)
             + unseen[kind] * 10.0 ** (-spelled[rare] / _MILLI)
         )
         for block, mine, rows in zip(order["block"].to_pylist(), order["order"].to_pylist(), order["rows"].to_pylist()):
