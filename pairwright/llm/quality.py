@@ -172,7 +172,9 @@ def quality_verdicts(
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass every rule, with the columns of ``docs``."""
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    return quality_verdicts(plain).where("kept").select("row.*")
+    # the row number keeps the optimizer from writing all counts into the filter once more
+    verdicts = quality_verdicts(plain).withColumn("_row", F.monotonically_increasing_id())
+    return verdicts.where("kept").select("row.*")
 
 
 _SHOWN = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
