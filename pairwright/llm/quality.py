@@ -172,9 +172,10 @@ def quality_verdicts(
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass every rule, with the columns of ``docs``."""
     plain = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
-    # the row number keeps the optimizer from writing all counts into the filter once more
+    # a filter isn't pushed below a row number that it asks for: pushed down, it would
+    # hold every count's expression as often as a later one names it
     verdicts = quality_verdicts(plain).withColumn("_row", F.monotonically_increasing_id())
-    return verdicts.where("kept").select("row.*")
+    return verdicts.where("kept AND _row >= 0").select("row.*")
 
 
 _SHOWN = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
