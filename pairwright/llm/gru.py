@@ -7,7 +7,7 @@ import heapq
 import numpy as np
 
 WINDOW = 12
-LANES = 256
+LANES = 512
 
 
 class Network:

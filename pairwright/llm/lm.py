@@ -20,7 +20,7 @@ from pairwright.llm.dictionary import (
 from pairwright.llm.gru import Network, Trainer, log_likelihoods, train
 
 #: Words that the network names one by one; all others are told apart within tail classes.
-WORDS = 2048
+WORDS = 1024
 PER_CLASS = 64
 TAILS = 8
 HIDDEN = 16
@@ -29,7 +29,7 @@ RATE = 0.05
 ROUNDS = 2
 #: Distinct words, drawn by hash from all buckets, that the tail classes are fitted on.
 SPELLING_SAMPLE = 24_000
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 16 << 20
 _SYMBOLS = 48
 _PARTS = 8
 _MILLI = 1000
