@@ -36,8 +36,9 @@ def interleaved_shards(
     The rows of a source are shuffled by a seeded hash and ranked; rank r of n stands at
     (r - u) / n, u a hash of the source, so that sources of one row spread as well. All
     rows in the order of these fractions are cut into ``shards`` runs whose row counts
-    differ by one at most. A source's rows are evenly spaced in that order: each shard has
-    its share of it, give or take one row.
+    differ by one at most. A source's rows are evenly spaced in that order, so each shard has
+    its share of it, give or take a row or two; where thousands of sources have a row
+    or two each, those fall by chance and move the cuts by the square root of their number.
 
     Neither rank needs a source or all rows in one task: the shuffle hash, and later the
     fraction, falls into bins of about ``bin_rows`` rows; a row's rank is the count of the
