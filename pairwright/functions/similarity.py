@@ -136,9 +136,17 @@ def lev_sim(a: Column, b: Column) -> Column:
     )
 
 
+#: Spellings of a number that count as one.
+DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$"
+
+
 def parse_price(price: Column) -> Column:
-    """Number in a price string without ``$`` and ``,``; null when there is none."""
-    number = F.trim(F.translate(price, "$,", "")).try_cast("double")
+    """Number in a price string without ``$`` and ``,``; null when there is none.
+
+    Only decimal spellings count: the cast alone would also take ``5d`` or ``0x1p3``.
+    """
+    bare = F.trim(F.translate(price.cast("string"), "$,", ""))
+    number = F.when(bare.rlike(DECIMAL), bare.try_cast("double"))
     usable = number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf"))
     return F.when(usable, number)
 

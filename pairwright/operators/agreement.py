@@ -3,8 +3,8 @@
 All of them depend on a pair only through its label and through which runs said
 MATCH. One shuffle on the pair key folds the decisions into that pattern; the
 counts per pattern (at most 2 x 32 x 32 rows for five runs each) then answer
-confusion, agreement, kappa and discordance for all 25 run pairings without
-touching the decisions again.
+confusion, agreement, kappa and discordance for all run pairings without
+touching the decisions again. Which runs exist is read from the decisions.
 """
 
 from __future__ import annotations
@@ -14,30 +14,72 @@ from pyspark.sql import functions as F
 
 from pairwright.operators.metrics import KEYS, count_if, is_match, ratio, with_rates
 
-# The two pipelines and the runs of each.
+# The two pipelines, and the runs of a table that doesn't say which it has.
 PIPELINES = ("single_llm", "multi_agent")
 RUNS = (0, 1, 2, 3, 4)
+#: Runs are bits of a 64-bit number.
+LAST_RUN = 62
 
 
 def pair_patterns(decisions: DataFrame, labels: DataFrame) -> DataFrame:
-    """Label and run bitmask of each pipeline per pair."""
-    bit = F.when(is_match(F.col("verdict")), F.expr("shiftleft(1, run)")).otherwise(0)
+    """Label, and per pipeline which runs decided on the pair and which said MATCH.
 
-    def mask(pipeline: str) -> Column:
-        return F.coalesce(F.bit_or(F.when(F.col("pipeline") == pipeline, bit)), F.lit(0))
+    Which runs there are is what the decisions hold: a run without a decision on a pair
+    says nothing about it, and a labeled pair without any decision stays, with no run.
+    ``key_gaps`` counts such holes.
+    """
+    allowed = F.col("run").between(0, LAST_RUN)
+    message = F.concat(F.lit(f"runs must be 0 to {LAST_RUN}, got "), F.col("run").cast("string"))
+    run = F.when(allowed, F.col("run").cast("int")).otherwise(F.raise_error(message).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), run)
+
+    def mask(pipeline: str, condition: Column) -> Column:
+        return F.bit_or(F.when((F.col("pipeline") == pipeline) & condition, bit))
 
+    yes, every = is_match(F.col("verdict")), F.lit(True)
+    names = ("single_mask", "multi_mask", "single_seen", "multi_seen")
     folded = decisions.groupBy(*KEYS).agg(
-        mask(PIPELINES[0]).alias("single_mask"), mask(PIPELINES[1]).alias("multi_mask")
+        mask(PIPELINES[0], yes).alias(names[0]), mask(PIPELINES[1], yes).alias(names[1]),
+        mask(PIPELINES[0], every).alias(names[2]), mask(PIPELINES[1], every).alias(names[3]),
+    )
+    joined = labels.select(*KEYS, "label").join(folded, KEYS, "left")
+    return joined.withColumns({n: F.coalesce(n, F.lit(0).cast("long")) for n in names})
+
+
+def key_gaps(decisions: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per pipeline and run: labeled pairs without a decision, decisions without a label."""
+    runs = decisions.groupBy("pipeline", "run").agg(F.countDistinct(*KEYS).alias("decided"))
+    known = labels.select(*KEYS).distinct()
+    met = (
+        decisions.select("pipeline", "run", *KEYS).distinct().join(known, KEYS)
+        .groupBy("pipeline", "run").agg(F.count("*").alias("met"))
+    )
+    size = known.agg(F.count("*").alias("labeled"))
+    return (
+        runs.join(met, ["pipeline", "run"], "left").join(size)
+        .withColumn("met", F.coalesce("met", F.lit(0).cast("long")))
+        .select(
+            "pipeline", "run", (F.col("labeled") - F.col("met")).alias("missing"),
+            (F.col("decided") - F.col("met")).alias("unlabeled"),
+        )
     )
-    return labels.select(*KEYS, "label").join(folded, KEYS)
 
 
 def pattern_counts(patterns: DataFrame) -> DataFrame:
-    return patterns.groupBy("label", "single_mask", "multi_mask").agg(F.count("*").alias("pairs"))
+    seen = [c for c in ("single_seen", "multi_seen") if c in patterns.columns]
+    return patterns.groupBy("label", "single_mask", "multi_mask", *seen).agg(F.count("*").alias("pairs"))
+
+
+def _runs(counts: DataFrame, seen: str) -> Column:
+    """The runs of a pipeline that a pattern's pairs have decisions of."""
+    if seen not in counts.columns:
+        return F.array(*[F.lit(r) for r in RUNS])
+    every = F.sequence(F.lit(0), F.lit(LAST_RUN))
+    return F.filter(every, lambda r: F.call_function("getbit", F.col(seen), r) == 1)
 
 
 def _says(mask: str, run: str) -> Column:
-    return F.expr(f"(shiftright({mask}, {run}) & 1) = 1")
+    return F.expr(f"getbit({mask}, {run}) = 1")
 
 
 def _weight(condition: Column) -> Column:
@@ -45,16 +87,20 @@ def _weight(condition: Column) -> Column:
 
 
 def _per_run(counts: DataFrame) -> DataFrame:
-    """One row per pattern, pipeline and run, with what that run said."""
-    run = F.explode(F.array(*[F.lit(r) for r in RUNS])).alias("run")
-    exploded = counts.select("*", run)
-    stacked = F.explode(
-        F.array(
-            F.struct(F.lit(PIPELINES[0]).alias("pipeline"), _says("single_mask", "run").alias("says")),
-            F.struct(F.lit(PIPELINES[1]).alias("pipeline"), _says("multi_mask", "run").alias("says")),
+    """One row per pattern, pipeline and run of it, with what that run said."""
+    def rows(pipeline: str, mask: str, seen: str) -> Column:
+        return F.transform(
+            _runs(counts, seen),
+            lambda r: F.struct(
+                F.lit(pipeline).alias("pipeline"), r.alias("run"),
+                (F.call_function("getbit", F.col(mask), r) == 1).alias("says"),
+            ),
         )
-    ).alias("d")
-    return exploded.select("label", "pairs", "run", stacked).select("label", "pairs", "run", "d.*")
+
+    both = F.concat(
+        rows(PIPELINES[0], "single_mask", "single_seen"), rows(PIPELINES[1], "multi_mask", "multi_seen")
+    )
+    return counts.select("label", "pairs", F.explode(both).alias("d")).select("label", "pairs", "d.*")
 
 
 def confusion_by_run(counts: DataFrame) -> DataFrame:
@@ -78,9 +124,13 @@ def kappa(observed: Column, left_rate: Column, right_rate: Column) -> Column:
 
 
 def run_pairings(counts: DataFrame) -> DataFrame:
-    """Agreement, kappa and discordance cells of all 5 x 5 run pairings."""
-    runs = F.array(*[F.lit(r) for r in RUNS])
-    crossed = counts.withColumn("single_run", F.explode(runs)).withColumn("multi_run", F.explode(runs))
+    """Agreement, kappa and discordance cells of all pairings of a run of each pipeline.
+
+    A pairing counts the pairs that both of its runs decided on.
+    """
+    crossed = counts.withColumn("single_run", F.explode(_runs(counts, "single_seen"))).withColumn(
+        "multi_run", F.explode(_runs(counts, "multi_seen"))
+    )
     single, multi = _says("single_mask", "single_run"), _says("multi_mask", "multi_run")
     actual = F.col("label") == 1
     left_ok, right_ok = single == actual, multi == actual
@@ -131,6 +181,8 @@ def pairing_summary(pairings: DataFrame) -> DataFrame:
 def agreement_matrix(counts: DataFrame, single_run: int = 0, multi_run: int = 0) -> DataFrame:
     """The 2 x 2 table of one run pairing, one row per verdict of the first pipeline."""
     runs = counts.withColumns({"single_run": F.lit(single_run), "multi_run": F.lit(multi_run)})
+    if "single_seen" in counts.columns:
+        runs = runs.where(_says("single_seen", "single_run") & _says("multi_seen", "multi_run"))
     multi = _says("multi_mask", "multi_run")
     return runs.groupBy(_says("single_mask", "single_run").cast("int").alias("single")).agg(
         _weight(~multi).alias("multi_no_match"), _weight(multi).alias("multi_match")
