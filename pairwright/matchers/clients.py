@@ -5,31 +5,23 @@ from __future__ import annotations
 import json
 import os
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Protocol
 
 # Fixed value: the model asked for when the environment names none.
 DEFAULT_MODEL = "gpt-oss-120b"
 
 
-@dataclass
-class ToolCall:
-    id: str
-    name: str
-    arguments: str
-
-
 @dataclass
 class Reply:
     content: str | None
     tokens: int = 0
-    tool_calls: list[ToolCall] = field(default_factory=list)
 
 
 class ChatClient(Protocol):
-    """Answers a list of role/content messages, possibly by asking for tools."""
+    """Answers a list of role/content messages."""
 
-    def complete(self, messages: list[dict], tools: list[dict] | None = None) -> Reply: ...
+    def complete(self, messages: list[dict]) -> Reply: ...
 
 
 class ServiceClient:
@@ -49,42 +41,28 @@ class ServiceClient:
         self._client = OpenAI(api_key=key, base_url=base_url)
         self._model = os.environ.get("MODEL_NAME", DEFAULT_MODEL)
 
-    def complete(self, messages: list[dict], tools: list[dict] | None = None) -> Reply:
-        extra = {"tools": tools, "tool_choice": "auto"} if tools else {}
+    def complete(self, messages: list[dict]) -> Reply:
         answer = self._client.chat.completions.create(
             model=self._model,
             messages=messages,
             temperature=0,
             response_format={"type": "json_object"},
-            **extra,
         )
         message = answer.choices[0].message
-        calls = [ToolCall(c.id, c.function.name, c.function.arguments) for c in message.tool_calls or []]
-        return Reply(message.content, answer.usage.total_tokens if answer.usage else 0, calls)
+        return Reply(message.content, answer.usage.total_tokens if answer.usage else 0)
 
 
 class WordOverlapClient:
     """Answers without any network, from the words the two names share.
 
-    With tools on offer it first calls each of them once. It stands in for a
-    service in tests and lets the pipelines run where there is none.
+    It stands in for a service in tests and lets the pipelines run where there is none.
     """
 
     _NAME = re.compile(r"^  Name: (.*)$", re.MULTILINE)
-    _PRICE = re.compile(r"^  Price: (.*)$", re.MULTILINE)
 
-    def complete(self, messages: list[dict], tools: list[dict] | None = None) -> Reply:
+    def complete(self, messages: list[dict]) -> Reply:
         question = next(m["content"] for m in messages if m["role"] == "user")
         names = self._NAME.findall(question)[:2]
-        if tools and not any(m["role"] == "tool" for m in messages):
-            prices = self._PRICE.findall(question)[:2]
-            calls = []
-            for number, tool in enumerate(tools):
-                wanted = tool["function"]["parameters"]["required"]
-                values = prices if wanted[0].startswith("price") else names
-                arguments = json.dumps(dict(zip(wanted, values)))
-                calls.append(ToolCall(f"call-{number}", tool["function"]["name"], arguments))
-            return Reply(None, len(question.split()), calls)
         first, second = (set(n.lower().split()) for n in names)
         score = len(first & second) / len(first | second) if first | second else 0.0
         answer = {

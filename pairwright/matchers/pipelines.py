@@ -1,8 +1,10 @@
 """Matching pairs by asking a model, with decisions kept and replayed.
 
-Only pairs without a kept decision are asked about. Their answers are written to
-the decision table before anything reads them, so no model call is repeated by a
-second action, a recomputed partition of a later stage, or a later run.
+A task sends one prompt a row and returns the raw reply; prompts, the reading of
+replies and what follows from them are Column expressions. Only pairs without a kept
+decision are asked about. Their answers are written to the decision table before
+anything reads them, so no model call is repeated by a second action, a recomputed
+partition of a later stage, or a later run.
 """
 
 from __future__ import annotations
@@ -11,13 +13,13 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.functions.verdict import parse_verdict
 from pairwright.matchers import prompts as P
 from pairwright.matchers.clients import ChatClient
-from pairwright.matchers.replies import UNREADABLE, read_reply
-from pairwright.matchers.tools import SEMANTIC_TOOLS, SYNTACTIC_TOOLS, call_tool, describe
+from pairwright.operators.decisions import consensus_fallback
 from pairwright.operators.lookup import (
     attach_products,
     attach_products_or_flag,
@@ -29,9 +31,6 @@ from pairwright.operators.metrics import KEYS
 
 ClientFactory = Callable[[], ChatClient]
 
-# Fixed value: rounds an agent may take before it counts as unreadable.
-MAX_ROUNDS = 10
-
 _AGENT = "struct<verdict:string,confidence:double,reasoning:string,parse_error:boolean>"
 FIELDS = {
     "source_id": "string",
@@ -48,95 +47,73 @@ FIELDS = {
 DECISION = ", ".join(f"{name} {kind}" for name, kind in FIELDS.items())
 
 
-def agent_answer(client: ChatClient, instructions: str, question: str, tools: tuple) -> tuple[dict, int]:
-    """One agent's verdict on one pair, after as many tool calls as it asks for."""
-    messages = [{"role": "system", "content": instructions}, {"role": "user", "content": question}]
-    offered, spent = describe(tools), 0
-    for _ in range(MAX_ROUNDS):
-        reply = client.complete(messages, offered)
-        spent += reply.tokens
-        if not reply.tool_calls:
-            return read_reply(reply.content), spent
-        requested = [
-            {"id": c.id, "type": "function", "function": {"name": c.name, "arguments": c.arguments}}
-            for c in reply.tool_calls
-        ]
-        messages.append({"role": "assistant", "content": reply.content, "tool_calls": requested})
-        messages += [
-            {"role": "tool", "tool_call_id": c.id, "content": call_tool(tools, c.name, c.arguments)}
-            for c in reply.tool_calls
-        ]
-    return {**UNREADABLE, "reasoning": "max iterations"}, spent
-
-
-def consensus_of(syntactic: dict, semantic: dict) -> dict:
-    """The agents' own consensus; on a split the more confident one, ties to syntactic."""
-    verdict = syntactic["verdict"]
-    if verdict == semantic["verdict"]:
-        mean = (syntactic["confidence"] + semantic["confidence"]) / 2
-        why = f"orchestrator fallback: both agents agreed on {verdict}"
-        return {"verdict": verdict, "confidence": mean, "reasoning": why, "parse_error": False}
-    named = {"syntactic": syntactic, "semantic": semantic}
-    winner = max(named, key=lambda n: (named[n]["confidence"], n == "syntactic"))
-    sure = named[winner]["confidence"]
-    why = f"orchestrator fallback: agents split, sided with {winner} (conf={sure:.2f})"
-    return {"verdict": named[winner]["verdict"], "confidence": sure, "reasoning": why, "parse_error": False}
-
-
-def _ask_once(client: ChatClient, question: str) -> dict:
-    reply = client.complete(
-        [{"role": "system", "content": P.SINGLE_INSTRUCTIONS}, {"role": "user", "content": question}]
-    )
-    return {**read_reply(reply.content), "tokens": reply.tokens, "prediction": None, "syntactic": None, "semantic": None}
-
-
-def _ask_agents(client: ChatClient, question: str) -> dict:
-    syntactic, first = agent_answer(client, P.SYNTACTIC_INSTRUCTIONS, question, SYNTACTIC_TOOLS)
-    semantic, second = agent_answer(client, P.SEMANTIC_INSTRUCTIONS, question, SEMANTIC_TOOLS)
-    fields = [agent[key] for agent in (syntactic, semantic) for key in ("verdict", "confidence", "reasoning")]
-    review = P.REVIEW_LAYOUT % (question, *fields)
-    reply = client.complete(
-        [{"role": "system", "content": P.ORCHESTRATOR_INSTRUCTIONS}, {"role": "user", "content": review}]
-    )
-    final = read_reply(reply.content)
-    if final["parse_error"]:
-        final = consensus_of(syntactic, semantic)
-    return {
-        **final,
-        "prediction": int(final["verdict"] == "MATCH"),
-        "syntactic": syntactic,
-        "semantic": semantic,
-        "parse_error": syntactic["parse_error"] or semantic["parse_error"],
-        "tokens": first + second + reply.tokens,
-    }
-
-
-def _answers(questions: DataFrame, factory: ClientFactory, ask: Callable[[ChatClient, str], dict]) -> DataFrame:
-    """Ask about every row of ``source_id, target_id, question``; one client per task."""
+def _asked(rows: DataFrame, factory: ClientFactory, instructions: str, question: Column, name: str) -> DataFrame:
+    """``rows`` with what the model replied to each question, read, as ``name`` and its tokens."""
+    prompted = rows.withColumn("_question", question)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields]
+    schema = ", ".join([*kept, "_reply string", f"{name}_tokens bigint"])
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = factory()
+        system = {"role": "system", "content": instructions}
         for frame in frames:
-            rows = [
-                {"source_id": s, "target_id": t, **ask(client, q)}
-                for s, t, q in zip(frame["source_id"], frame["target_id"], frame["question"])
-            ]
-            yield pd.DataFrame(rows, columns=list(FIELDS))
+            said = [client.complete([system, {"role": "user", "content": q}]) for q in frame.pop("_question")]
+            yield frame.assign(_reply=[r.content for r in said], **{f"{name}_tokens": [r.tokens for r in said]})
 
-    return questions.mapInPandas(batches, DECISION)
+    replied = prompted.mapInPandas(ask, schema)
+    return replied.withColumn(name, parse_verdict(F.col("_reply"))).drop("_reply")
 
 
 def single_answers(pairs: DataFrame, sources: DataFrame, targets: DataFrame, factory: ClientFactory) -> DataFrame:
     """One call per pair; pairs without both products are dropped."""
     known = spread(attach_products(pairs.select(*KEYS), sources, targets), *KEYS)
-    return _answers(known.select(*KEYS, P.pair_prompt(True).alias("question")), factory, _ask_once)
+    rows = known.select(*KEYS, P.pair_prompt(True).alias("question"))
+    asked = _asked(rows, factory, P.SINGLE_INSTRUCTIONS, F.col("question"), "answer")
+    return _decided(asked, {"tokens": F.col("answer_tokens")}, "answer")
+
+
+def _decided(asked: DataFrame, more: dict[str, Column], final: str) -> DataFrame:
+    """The fields of a decision: keys, the final answer's, and ``more``."""
+    of_final = {n: F.col(f"{final}.{n}") for n in ("verdict", "confidence", "reasoning", "parse_error")}
+    held = {n: F.col(n) for n in KEYS} | of_final | more
+    return asked.select(*[held.get(n, F.lit(None)).cast(kind).alias(n) for n, kind in FIELDS.items()])
+
+
+def _review(agents: tuple[str, ...]) -> Column:
+    fields = [F.col(f"{a}.{n}").cast("string") for a in agents for n in ("verdict", "confidence", "reasoning")]
+    return F.format_string(P.REVIEW_LAYOUT, F.col("question"), *fields)
 
 
 def agent_answers(pairs: DataFrame, sources: DataFrame, targets: DataFrame, factory: ClientFactory) -> DataFrame:
-    """Two agents and an orchestrator per pair; a missing product is an unreadable NO MATCH."""
+    """Two agents and an orchestrator per pair; a missing product is an unreadable NO MATCH.
+
+    Where the orchestrator's reply can't be read, the agents' consensus stands in.
+    """
     flagged = attach_products_or_flag(pairs.select(*KEYS), sources, targets)
     known = spread(flagged.filter(~F.col("missing_product")), *KEYS)
-    asked = _answers(known.select(*KEYS, P.pair_prompt(False).alias("question")), factory, _ask_agents)
+    rows = known.select(*KEYS, P.pair_prompt(False).alias("question"))
+    rows = _asked(rows, factory, P.SYNTACTIC_INSTRUCTIONS, F.col("question"), "syntactic")
+    rows = _asked(rows, factory, P.SEMANTIC_INSTRUCTIONS, F.col("question"), "semantic")
+    rows = _asked(rows, factory, P.ORCHESTRATOR_INSTRUCTIONS, _review(("syntactic", "semantic")), "final")
+    named = rows.withColumns(
+        {f"{short}_{n}": F.col(f"{agent}.{n}") for short, agent in (("syn", "syntactic"), ("sem", "semantic")) for n in ("verdict", "confidence")}
+    ).withColumns(consensus_fallback())
+    lost = F.col("final.parse_error")
+    verdict = F.when(lost, F.col("fallback_verdict")).otherwise(F.col("final.verdict"))
+    asked = _decided(
+        named,
+        {
+            "verdict": verdict,
+            "confidence": F.when(lost, F.col("fallback_confidence")).otherwise(F.col("final.confidence")),
+            "reasoning": F.when(lost, F.lit("consensus of the agents")).otherwise(F.col("final.reasoning")),
+            "parse_error": F.col("syntactic.parse_error") | F.col("semantic.parse_error"),
+            "prediction": (verdict == "MATCH").cast("int"),
+            "syntactic": F.col("syntactic"),
+            "semantic": F.col("semantic"),
+            "tokens": F.col("syntactic_tokens") + F.col("semantic_tokens") + F.col("final_tokens"),
+        },
+        "final",
+    )
     fixed = {
         "verdict": F.lit("NO MATCH"),
         "confidence": F.lit(0.0),
@@ -158,7 +135,9 @@ def kept_decisions(spark: SparkSession, path: str) -> DataFrame:
     """The decision table, empty where none was written yet."""
     try:
         return spark.read.schema(DECISION).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], DECISION)
 
 

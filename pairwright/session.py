@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -26,19 +27,43 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+_OWN: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; only where unset, one of our own."""
+    """The shared folder the cluster names.
+
+    Only where none is named and everything runs in this process, as in tests, one of our
+    own; on a cluster each executor would write to its own disk, so there it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="pairwright-checkpoint-")
+    if named:
+        return named
+    context = spark.sparkContext
+    if not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="pairwright-checkpoint-")
+    return _OWN[context.applicationId]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None:  # the session has ended
+        return
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:
     """Cut the lineage of ``frame`` by writing it to the shared checkpoint folder.
 
     A parquet table rather than an RDD checkpoint: later reads prune columns,
-    push filters down, and know the table's size when they choose a join.
+    push filters down, and know the table's size when they choose a join. It is
+    deleted when the driver's process ends.
     """
     spark = frame.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/pairwright-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -3,71 +3,36 @@ import json
 import pytest
 
 from pairwright.matchers import pipelines as P
-from pairwright.matchers import tools as T
-from pairwright.matchers.clients import Reply, ServiceClient, ToolCall, WordOverlapClient
+from pairwright.matchers.clients import Reply, ServiceClient, WordOverlapClient
 
 
-class Scripted:
-    def __init__(self, replies):
-        self.replies, self.seen = list(replies), []
+def _scripted(syntactic, semantic, final):
+    """A client whose reply depends on the instructions it gets; local, so that it travels."""
+    by = {P.P.SYNTACTIC_INSTRUCTIONS: syntactic, P.P.SEMANTIC_INSTRUCTIONS: semantic, P.P.ORCHESTRATOR_INSTRUCTIONS: final}
+    reply_of = Reply
 
-    def complete(self, messages, tools=None):
-        self.seen.append([dict(m) for m in messages])
-        return self.replies.pop(0)
+    class Scripted:
+        def complete(self, messages):
+            return reply_of(by[messages[0]["content"]], 1)
+
+    return Scripted
 
 
 def _verdict(verdict, confidence=0.9):
     return json.dumps({"verdict": verdict, "confidence": confidence, "reasoning": "r"})
 
 
-def test_agent_calls_tools_then_answers():
-    calls = [ToolCall("1", "compute_jaccard_similarity", '{"name1": "a b", "name2": "a c", "extra": 1}')]
-    client = Scripted([Reply(None, 5, calls), Reply(_verdict("MATCH"), 7)])
-    answer, tokens = P.agent_answer(client, "i", "q", T.SYNTACTIC_TOOLS)
-    assert answer["verdict"] == "MATCH" and tokens == 12
-    assert client.seen[1][-1] == {"role": "tool", "tool_call_id": "1", "content": str(1 / 3)}
-
-
-def test_agent_gives_up_after_ten_rounds():
-    endless = [Reply(None, 1, [ToolCall("1", "compare_prices", "{")]) for _ in range(20)]
-    answer, tokens = P.agent_answer(Scripted(endless), "i", "q", T.SEMANTIC_TOOLS)
-    assert answer["reasoning"] == "max iterations" and answer["parse_error"] and tokens == 10
-
-
-@pytest.mark.parametrize(
-    "name, arguments, expected",
-    [
-        ("compute_edit_distance", "{bad", "error: malformed arguments"),
-        ("compute_edit_distance", '{"x": 1}', "error: missing required arguments: name1, name2"),
-        ("compute_edit_distance", '{"name1": "a", "name2": "a"}', "0.0"),
-    ],
-)
-def test_tool_calls_never_raise(name, arguments, expected):
-    assert T.call_tool(T.SYNTACTIC_TOOLS, name, arguments) == expected
-
-
-def test_tools_outside_the_allow_list_and_failures():
-    assert T.call_tool(T.SEMANTIC_TOOLS, "compute_edit_distance", "{}").startswith("error: tool call failed")
-    text = T.call_tool(T.SEMANTIC_TOOLS, "compute_embedding_cosine", '{"text1": "a", "text2": "b"}')
-    assert text.startswith("error: tool call failed")
-    T.use_encoder(lambda texts: [[1.0, 0.0], [0.6, 0.8]])
-    assert T.compute_embedding_cosine("a", "b") == pytest.approx(0.6)
-    T.use_encoder(None)
-
-
-def test_schemas_name_every_parameter():
-    described = T.describe(T.SYNTACTIC_TOOLS + T.SEMANTIC_TOOLS)
-    assert len(described) == 5
-    assert all(d["function"]["parameters"]["required"] for d in described)
+def test_orchestrator_fallback_and_agent_errors(spark):
+    goods = _goods(spark)
+    pairs = spark.createDataFrame([("1", "2")], "source_id string, target_id string")
 
+    def decided(*replies):
+        return P.agent_answers(pairs, goods, goods, _scripted(*replies)).first()
 
-def test_orchestrator_fallback_and_agent_errors():
-    replies = [Reply(_verdict("MATCH", 0.6), 1), Reply(_verdict("NO MATCH", 0.6), 1), Reply("garbage", 1)]
-    decision = P._ask_agents(Scripted(replies), "q")
-    assert (decision["verdict"], decision["parse_error"], decision["tokens"]) == ("MATCH", False, 3)
-    replies = [Reply("garbage", 1), Reply(_verdict("NO MATCH"), 1), Reply(_verdict("MATCH"), 1)]
-    decision = P._ask_agents(Scripted(replies), "q")
-    assert (decision["prediction"], decision["parse_error"]) == (1, True)
+    row = decided(_verdict("MATCH", 0.6), _verdict("NO MATCH", 0.6), "garbage")
+    assert (row["verdict"], row["parse_error"], row["tokens"]) == ("MATCH", False, 3)
+    row = decided("garbage", _verdict("NO MATCH"), _verdict("MATCH"))
+    assert (row["prediction"], row["parse_error"]) == (1, True)
 
 
 def test_service_client_needs_a_key(monkeypatch):
