@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +19,9 @@ from pairwright.session import checkpointed
 BOOTSTRAP_REPLICATES = 50_000
 BOOTSTRAP_SEED = 20260730
 RUNS_PER_GROUP = len(RUNS)
+#: Replicates whose counts share an array, and draws of each of them that one row makes.
+CHUNK = 500
+DRAWS = 4096
 
 
 def _total(values: Column) -> Column:
@@ -170,15 +178,87 @@ def draw_effects(
     return means.withColumn("effect", F.col("single_f1") - F.col("multi_f1"))
 
 
+def _drawn(size: int, last: list[bytes], *parts: object) -> np.ndarray:
+    """``_draw`` modulo ``size`` of the parts with each of the last coordinates."""
+    head = b"".join(f"{part}|".encode() for part in parts)
+    digests = b"".join([hashlib.md5(head + c).digest()[:8] for c in last])
+    return (np.frombuffer(digests, ">u8") >> 4) % size
+
+
+def entity_counts(
+    spark: SparkSession, kind: str, entities: int, replicates: int, seed: int, chunk: int = CHUNK
+) -> DataFrame:
+    """The counts of ``entity_draws`` as one array of bytes per slot and chunk of replicates.
+
+    A row names the replicates of its draws slot by slot; what rows name for a slot is
+    gathered and counted. Slots that a chunk never draws have no row.
+    """
+    blocks = -(-entities // DRAWS)
+    total = -(-replicates // chunk) * blocks
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch["id"].to_pylist():
+                at, block = divmod(number, blocks)
+                mine = range(at * chunk, min((at + 1) * chunk, replicates))
+                names = [b"%d" % j for j in range(block * DRAWS, min((block + 1) * DRAWS, entities))]
+                slots = np.concatenate([_drawn(entities, names, kind, seed, b) for b in mine]).astype(np.int64)
+                order = np.argsort(slots, kind="stable")
+                hits = np.repeat(np.arange(len(mine), dtype="<u2"), len(names))[order]
+                found, starts = np.unique(slots[order], return_index=True)
+                parts = [h.tobytes() for h in np.split(hits, starts[1:])]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(found), pa.array(np.full(len(found), at, np.int64)), pa.array(parts, pa.binary())],
+                    ["slot", "chunk", "hits"],
+                )
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for hits in batch["hits"].to_pylist():
+                counts = np.bincount(np.frombuffer(b"".join(hits), "<u2"), minlength=chunk)
+                if counts.max() > 255:
+                    raise OverflowError("an entity was drawn more than 255 times in a replicate")
+                out.append(counts.astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch["slot"], batch["chunk"], pa.array(out, pa.binary())], ["slot", "chunk", "counts"]
+            )
+
+    rows = spark.range(0, total, 1, max(1, min(total, 4 * spark.sparkContext.defaultParallelism)))
+    hits = rows.mapInArrow(draw, "slot long, chunk long, hits binary")
+    gathered = hits.groupBy("slot", "chunk").agg(F.collect_list("hits").alias("hits"))
+    return gathered.mapInArrow(count, "slot long, chunk long, counts binary").select(
+        F.col("slot").alias(f"{kind}_slot"), "chunk", F.col("counts").alias(f"{kind}_counts")
+    )
+
+
+def _outcomes(labels: np.ndarray, masks: list[np.ndarray]) -> np.ndarray:
+    """Per pipeline and run, whether a pair is a true positive, and whether it is wrong."""
+    actual, known = labels == 1, labels >= 0
+    rows = []
+    for mask in masks:
+        for run in range(RUNS_PER_GROUP):
+            says = (mask >> run & 1).astype(bool)
+            rows += [says & actual, (says != actual) & known]
+    return np.array(rows, np.float64)
+
+
+_SUMS = "chunk long, sums binary"
+
+
 def bootstrap_effects(
     patterns: DataFrame,
     replicates: int = BOOTSTRAP_REPLICATES,
     seed: int = BOOTSTRAP_SEED,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """Pigeonhole bootstrap: resample sources, targets and runs independently.
 
     Every draw is a function of the seed and its coordinates, so a lost task
     recomputes the same numbers and the partitioning cannot change the result.
+    The result is that of ``draw_effects``, but an entity's counts are arrays over
+    chunks of replicates: pairs meet them by slot, arrays are multiplied element by
+    element and summed up per run, and no shuffle is keyed by replicate.
     """
     if replicates < 1:
         raise ValueError("replicates must be positive")
@@ -187,13 +267,68 @@ def bootstrap_effects(
     sources = dense_slots(kept, "source_id", "source_slot")
     targets = dense_slots(kept, "target_id", "target_slot")
     slotted = kept.join(sources, "source_id").join(targets, "target_id").select(
-        "source_slot", "target_slot", "label", "single_mask", "multi_mask"
+        "source_slot", "target_slot", F.coalesce("label", F.lit(-1)).alias("label"), "single_mask", "multi_mask"
+    )
+    weighed = slotted.join(
+        entity_counts(spark, "source", sources.count(), replicates, seed, chunk), "source_slot"
+    ).join(entity_counts(spark, "target", targets.count(), replicates, seed, chunk), ["target_slot", "chunk"])
+    cells = 4 * RUNS_PER_GROUP
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for whole in batches:
+            for batch in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
+                label, single, multi, at = (
+                    batch[c].to_numpy() for c in ("label", "single_mask", "multi_mask", "chunk")
+                )
+                hit = _outcomes(label, [single, multi])
+                left, right = (
+                    np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, chunk)
+                    for c in ("source_counts", "target_counts")
+                )
+                order = np.argsort(at, kind="stable")
+                names, starts = np.unique(at[order], return_index=True)
+                for name, rows in zip(names.tolist(), np.split(order, starts[1:])):
+                    weights = left[rows].astype(np.float64) * right[rows]
+                    sums[name] = sums.get(name, 0) + hit[:, rows] @ weights
+        if sums:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
+                ["chunk", "sums"],
+            )
+
+    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for name, data in zip(batch["chunk"].to_pylist(), batch["sums"].to_pylist()):
+                mine = np.zeros((cells, chunk)) if data is None else np.frombuffer(data).reshape(cells, chunk)
+                sums[name] = sums.get(name, 0) + mine
+        picks = [b"%d" % k for k in range(RUNS_PER_GROUP)]
+        for name, mine in sums.items():
+            ids = np.arange(name * chunk, min((name + 1) * chunk, replicates))
+            shaped = mine[:, : len(ids)].reshape(len(PIPELINES), RUNS_PER_GROUP, 2, len(ids))
+            means = []
+            for pipeline, of_runs in zip(PIPELINES, shaped):
+                drawn = [_drawn(RUNS_PER_GROUP, picks, "run", seed, pipeline, b) for b in ids.tolist()]
+                runs = np.array(drawn).T.astype(np.int64)
+                tp, wrong = (of_runs[runs, i, np.arange(len(ids))] for i in (0, 1))
+                below = 2 * tp + wrong
+                if (below == 0).any():
+                    raise ValueError("weighted F1 is undefined: no positive label and no positive prediction was drawn")
+                means.append((2 * tp / below).sum(0) / RUNS_PER_GROUP)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), *map(pa.array, means), pa.array(means[0] - means[1])],
+                ["replicate", "single_f1", "multi_f1", "effect"],
+            )
+
+    # A chunk whose draws hit no pair keeps its row, so that it is reported.
+    every = spark.range(-(-replicates // chunk)).select(
+        F.col("id").alias("chunk"), F.lit(None).cast("binary").alias("sums")
     )
-    return draw_effects(
-        slotted,
-        entity_draws(spark, "source", sources.count(), replicates, seed),
-        entity_draws(spark, "target", targets.count(), replicates, seed),
-        run_draws(spark, replicates, seed),
+    inputs = ("label", "single_mask", "multi_mask", "chunk", "source_counts", "target_counts")
+    found = weighed.select(*inputs).mapInArrow(weigh, _SUMS)
+    return found.unionByName(every).repartition("chunk").mapInArrow(
+        effects, "replicate long, single_f1 double, multi_f1 double, effect double"
     )
 
 

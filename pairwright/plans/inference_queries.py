@@ -10,8 +10,8 @@ from pairwright.operators import inference as I
 from pairwright.plans import standins as B
 from pairwright.plans.registry import registered
 
-# Replicates of the registered bootstrap: a Monte Carlo parameter, not a cut of the data.
-REPLICATES = 20
+# Replicates of the registered bootstrap: those of the operator.
+REPLICATES = I.BOOTSTRAP_REPLICATES
 
 _F1_SQL = "WITH RECURSIVE " + B.DECISIONS_SQL + """,
 runs AS (

@@ -8,6 +8,7 @@ from pairwright.operators import decisions as D
 from pairwright.operators import inference as I
 from pairwright.operators import metrics as M
 from pairwright.operators import thresholds as T
+from pairwright.plans import inference_queries
 
 # Published per-run F1 values of the two configurations.
 SINGLE_F1 = (0.9061784897025172, 0.9041095890410958, 0.9016018306636155, 0.9103448275862068, 0.9103448275862068)
@@ -173,6 +174,22 @@ def test_bootstrap_is_deterministic_and_partition_free(spark):
     assert all(math.isclose(r["effect"], 0.0, abs_tol=1e-12) for r in I.bootstrap_effects(mirrored, 5).collect())
 
 
+def test_bootstrap_in_chunks_equals_the_draws_one_by_one(spark):
+    pairs = _graph(spark).withColumn("multi_mask", F.when(F.col("label") == 1, 27).otherwise(4))
+    ids = {kind: I.dense_slots(pairs, f"{kind}_id", f"{kind}_slot") for kind in ("source", "target")}
+    slotted = pairs.join(ids["source"], "source_id").join(ids["target"], "target_id")
+    draws = [I.entity_draws(spark, kind, 40, 13, I.BOOTSTRAP_SEED) for kind in ("source", "target")]
+    wanted = I.draw_effects(slotted, *draws, I.run_draws(spark, 13, I.BOOTSTRAP_SEED)).orderBy("replicate").collect()
+    got = I.bootstrap_effects(pairs, 13, chunk=4).orderBy("replicate").collect()
+    assert [r["replicate"] for r in got] == list(range(13))
+    for mine, other in zip(got, wanted):
+        assert list(mine) == pytest.approx([other[c] for c in got[0].asDict()])
+
+
+def test_registered_bootstrap_draws_all_replicates():
+    assert inference_queries.REPLICATES == I.BOOTSTRAP_REPLICATES == 50_000
+
+
 def test_draws_add_up_to_the_entities(spark):
     sums = I.entity_draws(spark, "source", 37, 4, 9).groupBy("replicate").agg(F.sum("source_count").alias("n")).collect()
     assert [r["n"] for r in sums] == [37] * 4
