@@ -17,7 +17,7 @@ def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, valid, test = (
         labeled.filter(f"split = '{name}'").drop("split") for name in ("train", "valid", "test")
     )
-    matcher = train_matcher(train, valid, goods, goods, {"max_depth": 10})
+    matcher = train_matcher(train, valid, goods, goods)
     return predict_matches(matcher, pair_candidates(test), goods, goods)
 
 

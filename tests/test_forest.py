@@ -1,3 +1,5 @@
+import pytest
+
 from pairwright.operators.features import FEATURE_NAMES
 from pairwright.operators.forest import (
     feature_importances,
@@ -5,6 +7,7 @@ from pairwright.operators.forest import (
     train_matcher,
     tune_forest,
 )
+from pairwright.plans import forest_queries
 
 
 def _goods(spark):
@@ -35,3 +38,16 @@ def test_train_predict_and_tune(spark):
     grid = {"n_estimators": [3], "max_depth": [3, 5], "class_weight": ["balanced", None]}
     tuned = tune_forest(train, valid, goods, goods, grid)
     assert set(tuned) == {"best_params", "valid_f1", "best_threshold", "threshold_f1"} and tuned["valid_f1"] > 0.9
+
+
+def test_registered_forest_trains_with_the_default_parameters(spark, monkeypatch):
+    asked = []
+
+    def fit(rows, params=None, seed=None):
+        asked.append(params)
+        raise StopIteration
+
+    monkeypatch.setattr("pairwright.operators.forest.fit_forest", fit)
+    with pytest.raises(StopIteration):
+        forest_queries.forest_metrics(spark, "/root/testdata/sf0.001")
+    assert asked == [None]
