@@ -20,7 +20,7 @@ from pairwright.llm.dictionary import (
 from pairwright.llm.gru import Network, Trainer, log_likelihoods, train
 
 #: Words that the network names one by one; all others are told apart within tail classes.
-WORDS = 1024
+WORDS = 2048
 PER_CLASS = 64
 TAILS = 8
 HIDDEN = 16

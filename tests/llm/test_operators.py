@@ -337,3 +337,18 @@ def test_forest_neighbours(spark):
     merged = some.merge(found, on=["query_id", "vec_id"])
     assert len(merged) / len(found) > 0.9
     assert ann.nearest(frame.where("false"), asked).count() == 0
+
+
+def _many_words(spark):
+    """30,000 words, the first 2,500 twice."""
+    words = [f"w{i * 7919:x}é" for i in range(30_000)]
+    texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)] + [" ".join(words[:2500])]
+    docs = spark.createDataFrame([(t, True) for t in texts], "text string, learn boolean")
+    cut = lm.blocks(docs, lm.words_and_end, buckets=64, counted="learn")
+    return words, lm.stored(cut, "test-words").where("bucket >= 0")
+
+
+def test_lm_names_2048_words(spark):
+    words, packs = _many_words(spark)
+    heads = lm.vocabulary(packs, 64).heads
+    assert set(heads) == {b"", *sorted(w.encode() for w in words[:2500])[:2047]}
