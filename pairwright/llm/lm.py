@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +14,7 @@ from pyspark.sql import types as T
 
 from pairwright.llm.common import remainder, stored, stored_by, table
 from pairwright.llm.dictionary import (
-    blocks, buckets_for, rows_of, unzip_numbers, unzip_words, zip_numbers,
+    blocks, buckets_for, rows_of, unzip_numbers, unzip_words, zip_numbers, zip_words,
 )
 from pairwright.llm.gru import Network, Trainer, log_likelihoods, train
 
@@ -27,10 +26,11 @@ HIDDEN = 16
 RATE = 0.05
 #: Every round trains on its share of the learned documents and averages the tasks' models.
 ROUNDS = 2
-#: Distinct words, drawn by hash from all buckets, that the tail classes are fitted on.
-SPELLING_SAMPLE = 24_000
+#: Distinct words that a pack holds, and a step of the spelling takes up, at most.
+PACK = 20_000
 BLOCK_BYTES = 16 << 20
 _SYMBOLS = 48
+_TRIPLES = (_SYMBOLS + 1) ** 3
 _PARTS = 8
 _MILLI = 1000
 
@@ -72,31 +72,31 @@ class Spelling:
     def classes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Class of each word, and the log10 probability of spelling it within its class."""
         out_class, out_log = [np.zeros(0, np.int64)], [np.zeros(0)]
-        for i in range(0, len(words), 20_000):
-            logs = self.likelihoods(words[i : i + 20_000])
+        for i in range(0, len(words), PACK):
+            logs = self.likelihoods(words[i : i + PACK])
             best = (logs + self.share).argmax(1)
             out_class.append(best)
             out_log.append(logs[np.arange(len(best)), best])
         return np.concatenate(out_class), np.concatenate(out_log)
 
 
-def fit_spelling(words: list[bytes], classes: int = TAILS, rounds: int = 15) -> Spelling:
-    """EM over distinct words; one class starts from each of the most different words."""
-    often = np.bincount(np.frombuffer(b"".join(words), np.uint8), minlength=256)
-    symbol = np.full(256, _SYMBOLS - 1, np.int64)
-    top = np.argsort(-often, kind="stable")[: _SYMBOLS - 1]
-    symbol[top] = np.arange(len(top))
-    size = (_SYMBOLS + 1) ** 3
-    rare = -float(np.log10(256 - len(top)))
-    flat = Spelling(symbol, np.zeros((size, classes)), np.zeros(classes), rare)
-    if not words:
-        return Spelling(symbol, np.full((size, classes), -np.log10(_SYMBOLS + 1), np.float32), np.full(classes, -np.log10(classes)), rare)
-    steps, ends, _ = flat._steps(words)
-    owner = np.repeat(np.arange(len(words)), np.diff(np.r_[0, ends]))
-    belongs = np.random.default_rng(2).dirichlet(np.full(classes, 0.3), len(words))
-    for _ in range(rounds):
-        counts = np.stack([np.bincount(steps, belongs[owner, k], size) for k in range(classes)], 1)
-        cube = counts.reshape(_SYMBOLS + 1, _SYMBOLS + 1, _SYMBOLS + 1, classes)
+    def belongs(self, words: list[bytes]) -> np.ndarray:
+        """How likely each class is for each word."""
+        like = (self.likelihoods(words) + self.share) * np.log(10)
+        belongs = np.exp(like - like.max(1, keepdims=True))
+        return belongs / belongs.sum(1, keepdims=True)
+
+    def sums(self, words: list[bytes], belongs: np.ndarray) -> np.ndarray:
+        """Triples by class, weighted by how much words belong to it; the words by class come last."""
+        steps, ends, _ = self._steps(words)
+        owner = np.repeat(np.arange(len(words)), np.diff(np.r_[0, ends]))
+        counts = [np.bincount(steps, belongs[owner, k], _TRIPLES) for k in range(belongs.shape[1])]
+        return np.vstack([np.stack(counts, 1), belongs.sum(0)])
+
+    def refitted(self, sums: np.ndarray) -> Spelling:
+        """The chains that follow from the ``sums`` of all words."""
+        classes = sums.shape[1]
+        cube = sums[:-1].reshape(_SYMBOLS + 1, _SYMBOLS + 1, _SYMBOLS + 1, classes)
         # pairs of a class back off to pairs of all words, triples to the class's pairs
         pairs = cube.sum(0)
         base = pairs.sum(2) + 0.1
@@ -104,12 +104,69 @@ def fit_spelling(words: list[bytes], classes: int = TAILS, rounds: int = 15) ->
         pairs = pairs + 5.0 * base[:, :, None]
         pairs /= pairs.sum(1, keepdims=True)
         cube = cube + 4.0 * pairs[None]
-        logs = np.log10(cube / cube.sum(2, keepdims=True)).reshape(size, classes).astype(np.float32)
-        share = np.log10((belongs.sum(0) + 1) / (len(words) + classes))
-        model = Spelling(symbol, logs, share, rare)
-        like = (model.likelihoods(words) + share) * np.log(10)
-        belongs = np.exp(like - like.max(1, keepdims=True))
-        belongs /= belongs.sum(1, keepdims=True)
+        logs = np.log10(cube / cube.sum(2, keepdims=True)).reshape(_TRIPLES, classes).astype(np.float32)
+        share = np.log10((sums[-1] + 1) / (sums[-1].sum() + classes))
+        return Spelling(self.symbol, logs, share, self.rare)
+
+
+_SPELLED = "part int, sums binary"
+
+
+def fit_spelling(
+    packs: DataFrame, heads: dict[bytes, int], often: np.ndarray, classes: int = TAILS, rounds: int = 15
+) -> Spelling:
+    """EM over all distinct words of the ``packs`` but the ``heads``.
+
+    ``often`` counts the bytes of those words. A round is a pass over the packs. Every task
+    adds up a table bounded by symbols and classes, and tables are added part by part in a
+    shuffle. Classes start from shares drawn for each word.
+    """
+    symbol = np.full(256, _SYMBOLS - 1, np.int64)
+    top = np.argsort(-often, kind="stable")[: _SYMBOLS - 1]
+    symbol[top] = np.arange(len(top))
+    rare = -float(np.log10(256 - len(top)))
+    model = Spelling(
+        symbol, np.full((_TRIPLES, classes), -np.log10(_SYMBOLS + 1), np.float32), np.full(classes, -np.log10(classes)), rare
+    )
+    if not often.any():
+        return model
+
+    def rows(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        data = [zstandard.compress(v.tobytes(), 1) for v in sums.values()]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int32()), pa.array(data, pa.binary())], ["part", "sums"]
+        )
+
+    for turn in range(rounds):
+
+        def expect(batches: Iterator[pa.RecordBatch], turn: int = turn, model: Spelling = model) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((_TRIPLES + 1, classes))
+            for batch in batches:
+                for seed, packed in zip(batch["n"].to_pylist(), batch["word"].to_pylist()):
+                    words = [w for w in unzip_words(packed) if w not in heads]
+                    if not words:
+                        continue
+                    if turn:
+                        belongs = model.belongs(words)
+                    else:
+                        belongs = np.random.default_rng([2, seed]).dirichlet(np.full(classes, 0.3), len(words))
+                    sums += model.sums(words, belongs)
+            if sums[-1].any():
+                yield rows(dict(enumerate(np.array_split(sums, _PARTS))))
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for part, data in zip(batch["part"].to_pylist(), batch["sums"].to_pylist()):
+                    sums[part] = sums.get(part, 0) + np.frombuffer(zstandard.decompress(data)).reshape(-1, classes)
+            if sums:
+                yield rows(sums)
+
+        sent = packs.select("n", "word").mapInArrow(expect, _SPELLED)
+        found = sorted(sent.repartition("part").mapInArrow(add, _SPELLED).collect(), key=lambda r: r["part"])
+        model = model.refitted(
+            np.concatenate([np.frombuffer(zstandard.decompress(r["sums"])).reshape(-1, classes) for r in found])
+        )
     return model
 
 
@@ -143,16 +200,20 @@ def _bucket_counts(group: pa.Table) -> tuple[list[list[bytes]], dict[bytes, int]
     return words, counts
 
 
-def vocabulary(packs: DataFrame, buckets: int, *, words: int = WORDS, sample: int = SPELLING_SAMPLE) -> Vocabulary:
-    """Counts of all learned words; the most frequent ones and a sample come to the driver."""
-    each = sample // buckets + 1
+def vocabulary(packs: DataFrame, *, words: int = WORDS, tails: int = TAILS) -> Vocabulary:
+    """Counts of all learned words; the most frequent ones come to the driver, all others
+    stay in packs, on which the spelling is fitted."""
 
     def count(group: pa.Table) -> pa.Table:
         _, counts = _bucket_counts(group)
         known = [(w, n) for w, n in counts.items() if n]
         top = sorted(known, key=lambda x: (-x[1], x[0]))[:words]
-        drawn = sorted((w for w, _ in known if w), key=lambda w: (crc32(w, 1), w))[:each]
-        rows = [("top", w, n) for w, n in top] + [("sample", w, 0) for w in drawn]
+        learned = sorted(w for w, _ in known if w)
+        first = group["bucket"][0].as_py() << 32
+        rows = [("top", w, n) for w, n in top]
+        rows += [("pack", zip_words(learned[i : i + PACK]), first + i) for i in range(0, len(learned), PACK)]
+        often = np.bincount(np.frombuffer(b"".join(learned), np.uint8), minlength=256)
+        rows += [("bytes", often.astype("<i8").tobytes(), 0)]
         rows += [("tokens", None, sum(n for _, n in known)), ("distinct", None, len(known))]
         kinds = (pa.string(), pa.binary(), pa.int64())
         return pa.table([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["kind", "word", "n"])
@@ -161,9 +222,12 @@ def vocabulary(packs: DataFrame, buckets: int, *, words: int = WORDS, sample: in
     sums = {r["kind"]: r["n"] for r in found.where("kind IN ('tokens', 'distinct')").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
     top = found.where("kind = 'top'").orderBy(F.desc("n"), "word").limit(words).collect()
     heads = {bytes(r["word"]): i for i, r in enumerate(top)}
-    drawn = found.where("kind = 'sample'").select("word").orderBy("word").limit(sample + buckets).collect()
-    rare = [w for w in (bytes(r["word"]) for r in drawn) if w not in heads]
-    return Vocabulary(heads, fit_spelling(rare), sums.get("tokens", 0), sums.get("distinct", 0))
+    often = np.zeros(256, np.int64)
+    for row in found.where("kind = 'bytes'").select("word").toLocalIterator():
+        often += np.frombuffer(row["word"], "<i8")
+    often -= np.bincount(np.frombuffer(b"".join(heads), np.uint8), minlength=256)
+    spelling = fit_spelling(found.where("kind = 'pack'"), heads, often, tails)
+    return Vocabulary(heads, spelling, sums.get("tokens", 0), sums.get("distinct", 0))
 
 
 def coded(cut: DataFrame, known: Vocabulary, *, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
@@ -330,7 +394,7 @@ def scored(docs: DataFrame, *, learn: Column, text: str = "text", words: int = W
         blocks(marked, words_and_end, buckets=buckets, text=text, counted="_learn", block_bytes=BLOCK_BYTES),
         "lm-words", "block", buckets,
     )
-    known = vocabulary(cut.where("bucket >= 0"), buckets, words=words)
+    known = vocabulary(cut.where("bucket >= 0"), words=words)
     texts, counts = coded(cut, known, words=words)
     net = trained(texts, counts, words=words)
     flat, hidden = net.flat(), net.hidden

@@ -350,5 +350,24 @@ def _many_words(spark):
 
 def test_lm_names_2048_words(spark):
     words, packs = _many_words(spark)
-    heads = lm.vocabulary(packs, 64).heads
+    heads = lm.vocabulary(packs).heads
     assert set(heads) == {b"", *sorted(w.encode() for w in words[:2500])[:2047]}
+
+
+def test_lm_spelling_learns_from_all_words(spark):
+    words, packs = _many_words(spark)
+    known = lm.vocabulary(packs, tails=1)
+    rare = [w.encode() for w in words if w.encode() not in known.heads]
+    assert len(rare) == 30_000 - 2047
+    model, end = known.spelling, lm._SYMBOLS
+    cube = np.zeros((end + 1,) * 3)
+    for word in rare:
+        seen = [end, end, *model.symbol[list(word)], end]
+        for triple in zip(seen, seen[1:], seen[2:]):
+            cube[triple] += 1
+    pairs = cube.sum(0)
+    base = (pairs + 0.1) / (pairs + 0.1).sum(1, keepdims=True)
+    pairs = (pairs + 5 * base) / (pairs + 5 * base).sum(1, keepdims=True)
+    cube += 4 * pairs
+    wanted = np.log10(cube / cube.sum(2, keepdims=True)).ravel()
+    assert np.allclose(model.logs[:, 0], wanted, atol=1e-4)
