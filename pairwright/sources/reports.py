@@ -89,7 +89,7 @@ def describe_products(rows: DataFrame, sources: DataFrame, targets: DataFrame) -
 
 
 def error_listing(decided: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
-    """Every wrongly decided pair with its category, ready to be written.
+    """Every wrongly decided pair with its category and its whole names, ready to be written.
 
     ``decided`` has the pair keys, verdict, confidence, reasoning and label.
     """
@@ -100,8 +100,8 @@ def error_listing(decided: DataFrame, sources: DataFrame, targets: DataFrame) ->
         F.when(matched, "False Positives").otherwise("False Negatives").alias("kind"),
         F.when(matched, F.col("fp_category")).otherwise(F.col("fn_category")).alias("category"),
         *M.KEYS,
-        shortened(F.col("source_name"), 60).alias("source_name"),
-        shortened(F.col("target_name"), 60).alias("target_name"),
+        "source_name",
+        "target_name",
         dollars(F.nullif("source_price", F.lit("nan"))).alias("source_price"),
         dollars(F.nullif("target_price", F.lit("nan"))).alias("target_price"),
         F.coalesce(F.col("confidence").cast("string"), F.lit("?")).alias("confidence"),

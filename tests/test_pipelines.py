@@ -80,3 +80,12 @@ def test_following_a_cache_counts_each_pair_once(spark, tmp_path):
     assert query.awaitTermination(60)
     row = spark.table("running_confusion").first()
     assert (row["tp"], row["fp"], row["fn"], row["tn"]) == (1, 0, 1, 0)
+
+
+def test_listed_errors_keep_whole_names(spark):
+    name = "sony dvd player " * 10
+    goods = spark.createDataFrame([("1", name, "", "5")], "id string, name string, description string, price string")
+    rows = [("1", "1", "NO MATCH", 0.9, "", 1)]
+    decided = spark.createDataFrame(rows, "source_id string, target_id string, verdict string, confidence double, reasoning string, label int")
+    row = R.error_listing(decided, goods, goods).first()
+    assert (row["source_name"], row["target_name"]) == (name, name)
