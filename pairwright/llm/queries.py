@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairwright.llm import ann, bpe, lm, near_dedup, packing, pii, quality, sharding, token_counts, toxicity
+from pairwright.llm import (
+    ann, bpe, lm, near_dedup, packing, phrases, pii, quality, repair, secrets, sharding, token_counts, toxicity,
+)
 from pairwright.session import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,3 +39,6 @@ _register(near_dedup.op6_minhash_dedup)
 _register(sharding.op7_sharding)
 _register(quality.op8_quality_rules, quality.ORACLE)
 _register(ann.op10_forest_neighbours)
+_register(phrases.op11_phrase_collocations, phrases.ORACLE)
+_register(repair.op12_conversation_repair, repair.ORACLE)
+_register(secrets.op13_secret_scan)
