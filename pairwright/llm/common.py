@@ -65,15 +65,13 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     """``frame`` written as a Parquet table in the shared folder, and read again.
 
     Cuts the lineage: a lost executor costs the tasks it was running, not the
-    steps before. The table goes when the driver's process ends, or by ``forget``.
+    steps before. The table goes when the driver's process ends.
     """
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     atexit.register(_remove, spark, path)
-    back = spark.read.schema(frame.schema).parquet(path)
-    back._llm_path = path  # type: ignore[attr-defined]
-    return back
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 def stored_by(frame: DataFrame, name: str, column: str, buckets: int) -> DataFrame:
@@ -82,15 +80,10 @@ def stored_by(frame: DataFrame, name: str, column: str, buckets: int) -> DataFra
     table_name = f"llm_{name.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{table_name}"
     frame.write.bucketBy(buckets, column).option("path", path).saveAsTable(table_name)
-    atexit.register(_remove, spark, path)
+    atexit.register(_drop, spark, table_name, path)
     return spark.table(table_name)
 
 
-def forget(frame: DataFrame) -> None:
-    """Delete a table that ``stored`` wrote and nothing will read again."""
-    _remove(frame.sparkSession, frame._llm_path)  # type: ignore[attr-defined]
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     context = spark.sparkContext
     if context._jsc is None:  # the session has ended
@@ -100,6 +93,12 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _drop(spark: SparkSession, name: str, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        _remove(spark, path)
+
+
 def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """Slices of the batches, each of about ``limit`` bytes of the text column or one row."""
     for batch in batches:

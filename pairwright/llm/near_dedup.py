@@ -352,8 +352,14 @@ def _family_links(dense: DataFrame, texts: DataFrame) -> DataFrame:
     A family is cut into blocks of about ``_BLOCK`` nodes and every two blocks meet in a
     group of their own; a group names only links that connect what it had not connected.
     """
-    hubs = dense.groupBy("key").agg(F.min("node").alias("a"))
-    edges = dense.join(hubs, "key").select("a", F.col("node").alias("b")).distinct()
+    # a hot key's nodes meet in salted groups, and the groups' hubs the key's hub
+    salted = dense.withColumn(
+        "salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / _BLOCK).cast("long"))
+    )
+    hubs = salted.groupBy("key", "salt").agg(F.min("node").alias("a"))
+    near = salted.join(hubs, ["key", "salt"]).select("a", F.col("node").alias("b"))
+    first = hubs.groupBy("key").agg(F.min("a").alias("hub"))
+    edges = near.union(hubs.join(first, "key").select("hub", "a")).distinct()
     member = stored(components(edges).withColumnRenamed("comp", "family"), "families")
     sized = member.groupBy("family").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("parts"))
     rows = member.join(sized, "family").withColumn(
@@ -383,21 +389,47 @@ def _family_links(dense: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(stream, "a long, b long").where("a <> b")
 
 
+def _node_texts(plain: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and text of the wanted nodes: the text of their smallest id with their words.
+
+    An id may have other texts, so the words' digest decides, not the id.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", _BATCH):
+            found = [xxhash.xxh3_128_digest(b" ".join(words_of(t.as_py()))) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("text")], ["digest", "text"])
+
+    rows = plain.where("text IS NOT NULL").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    named = rows.select("text").mapInArrow(digest, "digest binary, text string")
+    return named.join(wanted.select("digest", "node"), "digest").select("node", "text").distinct()
+
+
+def _same_ids(members: DataFrame) -> DataFrame:
+    """Edges between the nodes of an id that has several."""
+    several = (
+        members.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("last"))
+        .where("a <> last").select("doc_id", "a")
+    )
+    return members.join(several, "doc_id").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, *, scheme: Scheme = SCHEME, dense: int = DENSE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
-    1. Equal word sequences are one node, named by its smallest id; only nodes go on.
+    1. Equal word sequences are one node, numbered; only nodes go on.
     2. Every node has a key for each chunk of its signature and each way of leaving
        values out; nodes that share a key are candidates.
     3. Pairs of a key of at most ``dense`` nodes are compared one by one, each pair once.
     4. Keys of more nodes, as thousands of near copies have, connect their nodes to
        families. A family is compared in blocks, whose tasks keep only links that
        connect: the output grows with the members, not with their pairs.
+    5. Components of the links are named by the smallest id of their documents.
 
     Links count only on full sets, and no pair that the index finds is left out. Rows
     without words link with nothing and are their own component; rows with a null id
-    have none (component null, kept). Rows of one id are one document: all of its texts'
-    links count. Empty tables give empty ones; columns other than doc_id and text are
+    have none (component null, kept). Rows of one id are one document: the links of all
+    its texts count. Empty tables give empty ones; columns other than doc_id and text are
     ignored.
     """
     plain = docs.select(
@@ -407,7 +439,8 @@ def near_duplicates(docs: DataFrame, *, scheme: Scheme = SCHEME, dense: int = DE
     known = rows.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     nodes = stored(
         known.groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature")),
+        .agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
+        .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     keys = _keys(nodes, scheme)
@@ -415,34 +448,46 @@ def near_duplicates(docs: DataFrame, *, scheme: Scheme = SCHEME, dense: int = DE
     shared = stored(keys.join(counted, "key"), "keys")
     candidates = _sparse_candidates(shared.where(F.col("n") <= dense), nodes, scheme)
     candidates = stored(candidates.where("a <> b").distinct(), "candidates")
-    crowded = shared.where(F.col("n") > dense).select("key", "node")
-    wanted = (
-        candidates.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    crowded = shared.where(F.col("n") > dense).select("key", "node", "n")
+    named = (
+        candidates.select(F.explode(F.array("a", "b")).alias("node"))
         .union(crowded.select("node")).distinct()
     )
-    texts = stored(
-        plain.where("text IS NOT NULL").join(wanted, "doc_id", "left_semi")
-        .select(F.col("doc_id").alias("node"), "text").distinct(),
-        "node-texts",
+    wanted = nodes.select("digest", "node", "doc_id").join(named, "node")
+    texts = stored(_node_texts(plain, wanted), "node-texts")
+    members = known.select("doc_id", "digest").join(nodes.select("digest", "node"), "digest").select("doc_id", "node")
+    linked = _linked(candidates, texts).union(_family_links(crowded, texts)).union(_same_ids(members))
+    component = components(stored(linked, "links"))
+    least = (
+        nodes.select("node", "doc_id").join(component, "node")
+        .groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     )
-    links = stored(_linked(candidates, texts).union(_family_links(crowded, texts)), "links")
+    owner = nodes.select("digest", "node", F.col("doc_id").alias("own")).join(component, "node", "left").join(least, "comp", "left")
     return (
-        rows.join(nodes.select("digest", "node"), "digest", "left")
-        .join(components(links), "node", "left")
-        .select(
-            "doc_id", "n_shingles",
-            F.coalesce("comp", "node", "doc_id").alias("component_id"),
-        )
+        rows.select("doc_id", "digest", "n_shingles").join(owner.select("digest", "own", "component_id"), "digest", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component_id", "own", "doc_id").alias("component_id"))
         .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its group; one row of each."""
-    keep = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(keep, docs["doc_id"].cast("long") == keep["doc_id"], "left_semi")
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """One row of every group: of the rows whose document stands for it.
+
+    Where that document has several rows, the one of the least text stays. Rows with a
+    null id stay all, as nothing is known of their group.
+    """
+    kept = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("kept_rows"))
+    kept = stored(kept.withColumnRenamed("doc_id", "kept_id"), "kept")
+    whole = docs.where("doc_id IS NOT NULL")
+    same = F.col("doc_id").cast("long") == F.col("kept_id")
+    single = whole.join(kept.where("kept_rows = 1"), same, "left_semi")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    several = (
+        whole.join(kept.where("kept_rows > 1").select("kept_id"), same)
+        .groupBy("kept_id").agg(F.min_by(F.struct(*columns), F.struct("text")).alias("kept_row")).select("kept_row.*")
+    )
+    return single.unionByName(several).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,6 +140,22 @@ def _shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
     return source.mapInArrow(number, _SHARDS)
 
 
+def _numbered(words: DataFrame) -> DataFrame:
+    """``words`` with ``id``: 0 for the most frequent, and on without a hole.
+
+    Small numbers keep the shuffled phrases small. Words are sorted by ranges, numbered
+    inside their partition, and shifted by the sizes of the partitions before.
+    """
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = stored(
+        words.orderBy(F.desc("f"), "lang", "word").select("*", F.spark_partition_id().alias("part"), within.alias("place")),
+        "frequent-words",
+    )
+    before = "sum(size) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    shifts = placed.groupBy("part").agg(F.count("*").alias("size")).select("part", F.expr(f"coalesce({before}, 0)").alias("shift"))
+    return placed.join(shifts, "part").select("lang", "word", "f", (F.col("shift") + F.col("place")).alias("id"))
+
+
 def _counted(shards: DataFrame, frequent: DataFrame, words: int) -> list[DataFrame]:
     """Counts of the phrases of 2 to ``words`` frequent words in every shard, as ids."""
     names = [f"w{i}" for i in range(words)]
@@ -177,7 +193,7 @@ def _counted(shards: DataFrame, frequent: DataFrame, words: int) -> list[DataFra
     every = answers.select("shard", F.lit(0).alias("kind"), "number", "id", F.lit(None).cast("binary").alias("order")).union(
         shards.where("word IS NULL").select("shard", F.lit(1), F.lit(None).cast("int"), F.lit(None).cast("long"), "order")
     )
-    tasks = max(1, shards.where("word IS NULL").count() // 2)
+    tasks = max(1, shards.where("word IS NULL").count())
     dealt = every.repartition(tasks, "shard").sortWithinPartitions("shard", "kind")
     return dealt.mapInArrow(search, ", ".join(f"{n} long" for n in (*names, "n")))
 
@@ -214,10 +230,8 @@ def collocations(
     """
     shards = stored(_shards(docs, shard_bytes), "shards")
     found = shards.where("word IS NOT NULL")
-    frequent = stored(
+    frequent = _numbered(
         found.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        .withColumn("id", F.monotonically_increasing_id()),
-        "frequent-words",
     )
     names = [f"w{i}" for i in range(words)]
     summed = stored(

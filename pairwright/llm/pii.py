@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,20 +48,33 @@ VOTES = ("regex", "gazetteer", "context", "against", "shape")
 FEATURES = ("bias", *VOTES, "loose", "long")
 ROUNDS = 30
 _CONTEXT_CHARS = 40
-_BLOCK = 256
+_BLOCK = 64
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also where lambdas of ``use`` read it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
 def _starts(lengths: Column) -> Column:
-    """Running sums before each element, over blocks so that no prefix is summed whole."""
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int")),
-        lambda b: _sum(F.slice(lengths, b * _BLOCK + 1, _BLOCK)),
-    )
-    return F.transform(
-        lengths,
-        lambda _, i: _sum(F.slice(blocks, 1, F.floor(i / _BLOCK).cast("int")))
-        + _sum(F.slice(lengths, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK)),
-    )
+    """Running sums before each element, over blocks so that no prefix is summed whole.
+
+    ``lengths`` and what is read in lambdas have to be values bound by ``_let``.
+    """
+    block = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _BLOCK).cast("int"))
+    sums = F.transform(block, lambda b: _sum(F.slice(lengths, b * _BLOCK + 1, _BLOCK)))
+
+    def before(shifts: Column) -> Column:
+        return F.transform(
+            lengths,
+            lambda _, i: F.get(shifts, F.floor(i / _BLOCK).cast("int"))
+            + _sum(F.slice(lengths, F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK)),
+        )
+
+    def shifted(held: Column) -> Column:
+        return _let(F.transform(held, lambda _, b: _sum(F.slice(held, 1, b))), before)
+
+    return _let(sums, shifted)
 
 
 def _sum(numbers: Column) -> Column:
@@ -140,13 +154,11 @@ def _found(text: Column, kind: str, strict: bool) -> Column:
 
 def _spans(found: Column, kind: str, strict: bool) -> Column:
     """Structs of the matches in ``found`` (zipped with gaps, one gap more than matches)."""
-    matched = F.slice(found, 1, F.size(found) - 1)
-    ends = _starts(F.transform(found, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0))))
 
-    def span(x: Column, i: Column) -> Column:
-        start = F.get(ends, i) + F.length(x["gap"])
+    def span(x: Column) -> Column:
+        start = x["start"]
         before = F.substring(x["gap"], -_CONTEXT_CHARS, _CONTEXT_CHARS)
-        after = F.substring(F.get(found, i + 1)["gap"], 1, 1)
+        after = x["after"]
         holds = _holds(kind, x["match"])
         votes = _votes(kind, strict, x["match"], holds, before, after)
         return F.struct(
@@ -158,20 +170,32 @@ def _spans(found: Column, kind: str, strict: bool) -> Column:
             F.when(F.length(x["match"]) > 20, 1).otherwise(0).alias("long"),
         )
 
-    return F.when(found.isNotNull(), F.transform(matched, span))
+    def placed(every: Column, ends: Column) -> Column:
+        matched = F.slice(every, 1, F.size(every) - 1)
+        return F.transform(matched, lambda x, i: F.struct(
+            x["match"].alias("match"), x["gap"].alias("gap"),
+            (F.get(ends, i) + F.length(x["gap"])).alias("start"),
+            F.substring(F.get(every, i + 1)["gap"], 1, 1).alias("after"),
+        ))
+
+    def spans(every: Column) -> Column:
+        lengths = F.transform(every, lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["match"]), F.lit(0)))
+        return _let(_let(lengths, _starts), lambda ends: F.transform(placed(every, ends), span))
+
+    return F.when(found.isNotNull(), _let(found, spans))
 
 
 def _rebuilt(found: Column, text: Column, spans: Column, drop, fill) -> Column:
     """The text with the matches that ``drop`` names written as ``fill`` says."""
-    parts = F.transform(
+    parts = _let(spans, lambda held: F.transform(
         found,
         lambda x, i: F.concat(
             x["gap"],
             F.when(x["match"].isNull(), "")
-            .when(drop(F.get(spans, i)), fill(x["match"]))
+            .when(drop(F.get(held, i)), fill(x["match"]))
             .otherwise(x["match"]),
         ),
-    )
+    ))
     return F.when(found.isNull(), text).otherwise(F.array_join(parts, ""))
 
 
@@ -193,18 +217,23 @@ def _with_candidates(docs: DataFrame, text: Column) -> DataFrame:
 
 @dataclass(frozen=True)
 class SpanModel:
-    """Weights of the final classifier, and how reliable EM found the labelers."""
+    """Weights of the final classifier, and how reliable EM found the labelers, by kind."""
 
-    weights: tuple[float, ...]
-    reliabilities: dict[str, float]
+    weights: dict[str, tuple[float, ...]]
+    reliabilities: dict[str, dict[str, float]]
 
-    def accepts(self, span: Column) -> Column:
+    def accepts(self, kind: str) -> Callable[[Column], Column]:
         """A base span stays; another needs a probability of at least one half."""
-        score = F.lit(self.weights[0])
-        for name, weight in zip(FEATURES[1:], self.weights[1:]):
-            value = F.when(span[name] == 1, 1.0).when(span[name] == 0, -1.0).otherwise(0.0)
-            score = score + (span[name] if name in ("loose", "long") else value) * F.lit(weight)
-        return span["base"] | (score >= 0)
+        bias, *weights = self.weights[kind]
+
+        def accepted(span: Column) -> Column:
+            score = F.lit(bias)
+            for name, weight in zip(FEATURES[1:], weights):
+                value = F.when(span[name] == 1, 1.0).when(span[name] == 0, -1.0).otherwise(0.0)
+                score = score + (span[name] if name in ("loose", "long") else value) * F.lit(weight)
+            return span["base"] | (score >= 0)
+
+        return accepted
 
 
 def reliabilities(votes: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
@@ -242,27 +271,35 @@ def _logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, ridge: floa
 def fit_spans(docs: DataFrame, *, text: str = "text") -> SpanModel:
     """Weigh the labelers by EM over all candidates of ``docs``, and train the classifier.
 
-    Spark counts the vote patterns (at most a few hundred, whatever the corpus); only
-    those counts come to the driver, where EM and the regression are small sums.
+    Each kind has labelers, and so reliabilities and weights, of its own. Spark counts the
+    vote patterns (at most a few hundred a kind, whatever the corpus); only those counts
+    come to the driver, where EM and the regression are small sums.
     """
     found = _with_candidates(docs.select(F.col(text).alias("text")), text_of(F.col("text")))
-    both = [F.coalesce(F.col(f"_{p}_{k}"), F.array()) for k in KINDS for p in "sl"]
     columns = (*VOTES, "loose", "long")
+
+    def patterns(kind: str) -> Column:
+        spans = F.concat(*[F.coalesce(F.col(f"_{p}_{kind}"), F.array()) for p in "sl"])
+        return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), *[s[c].alias(c) for c in columns]))
+
     rows = (
-        found.select(F.explode(F.concat(*both)).alias("s"))
-        .groupBy(*[F.col(f"s.{c}").alias(c) for c in columns])
+        found.select(F.explode(F.concat(*map(patterns, KINDS))).alias("s"))
+        .groupBy(*[F.col(f"s.{c}").alias(c) for c in ("kind", *columns)])
         .agg(F.count("*").alias("n"))
-        .orderBy(*columns)
+        .orderBy("kind", *columns)
         .collect()
     )
-    data = np.array([list(r) for r in rows], float).reshape(len(rows), len(columns) + 1)
-    votes, counts = data[:, : len(VOTES)].astype(int), data[:, -1]
-    posterior, rates = reliabilities(votes, counts)
-    signed = np.where(votes < 0, 0, 2 * votes - 1)
-    x = np.column_stack([np.ones(len(rows)), signed, data[:, len(VOTES) : -1]])
-    weights = _logistic(x, posterior, counts)
-    right = {n: float(rates[1, j, 2] / (rates[1, j, 1] + rates[1, j, 2])) for j, n in enumerate(VOTES)}
-    return SpanModel(tuple(map(float, weights)), right)
+    weights, right = {}, {}
+    for kind in KINDS:
+        mine = [list(r)[1:] for r in rows if r["kind"] == kind]
+        data = np.array(mine, float).reshape(len(mine), len(columns) + 1)
+        votes, counts = data[:, : len(VOTES)].astype(int), data[:, -1]
+        posterior, rates = reliabilities(votes, counts)
+        signed = np.where(votes < 0, 0, 2 * votes - 1)
+        x = np.column_stack([np.ones(len(mine)), signed, data[:, len(VOTES) : -1]])
+        weights[kind] = tuple(map(float, _logistic(x, posterior, counts)))
+        right[kind] = {n: float(rates[1, j, 2] / (rates[1, j, 1] + rates[1, j, 2])) for j, n in enumerate(VOTES)}
+    return SpanModel(weights, right)
 
 
 def _joined(spans: Column) -> Column:
@@ -276,8 +313,9 @@ def personal_spans(docs: DataFrame, model: SpanModel, *, text: str = "text") ->
 
     Ordered by kind as listed, then by start; positions count code points, ends are
     exclusive. Spans of one kind don't overlap. Null and empty texts have none, repeated
-    rows each have theirs. Every step is linear in the text (and one square root of the
-    number of matches), also for a text that is one run of digits or dots.
+    rows each have theirs. Patterns take time linear in the text, also for a text that is
+    one run of digits or dots; places are sums over blocks of matches, and arrays that
+    lambdas read are computed once, so thousands of matches in a text cost in proportion.
     """
     found = _with_candidates(docs, text_of(F.col(text)))
 
@@ -289,18 +327,17 @@ def personal_spans(docs: DataFrame, model: SpanModel, *, text: str = "text") ->
     for kind in KINDS:
         strict, loose = F.col(f"_s_{kind}"), F.col(f"_l_{kind}")
         base.append(of(kind, strict, lambda s: s["base"]))
-        more = F.concat(of(kind, strict, model.accepts), of(kind, loose, model.accepts))
+        more = F.concat(of(kind, strict, model.accepts(kind)), of(kind, loose, model.accepts(kind)))
         every.append(F.array_sort(more))
     for kind, spans in zip(KINDS, every):
         found = found.withColumn(f"_a_{kind}", spans)
 
     def apart(kind: str) -> Column:
         # an accepted span that fails its check may reach into a loose one: the first stays
-        accepted = F.col(f"_a_{kind}")
-        return F.filter(
+        return _let(F.col(f"_a_{kind}"), lambda accepted: F.filter(
             accepted,
             lambda s, i: F.coalesce(F.get(accepted, i - 1)["end"] <= s["start"], F.lit(True)),
-        )
+        ))
 
     return (
         found.withColumn("base_spans", F.concat(*base))
@@ -325,7 +362,7 @@ def redacted(docs: DataFrame, model: SpanModel, *, text: str = "text") -> DataFr
             mark = F.lit(f"[{kind.upper()}]")
             out = out.withColumn(
                 "_text",
-                _rebuilt(F.col("_f"), F.col("_text"), F.col("_s"), model.accepts, lambda _, m=mark: m),
+                _rebuilt(F.col("_f"), F.col("_text"), F.col("_s"), model.accepts(kind), lambda _, m=mark: m),
             )
     replaced = {text: F.col("_text")}
     if "n_chars" in names:
