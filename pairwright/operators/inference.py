@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pairwright.operators.agreement import PIPELINES, RUNS
+from pairwright.functions.mixing import MASK, mixed, mixed_array, mixed_int
+from pairwright.operators.agreement import LAST_RUN, PIPELINES, RUNS
 from pairwright.operators.metrics import ratio
 from pairwright.session import checkpointed
 
@@ -19,9 +19,14 @@ from pairwright.session import checkpointed
 BOOTSTRAP_REPLICATES = 50_000
 BOOTSTRAP_SEED = 20260730
 RUNS_PER_GROUP = len(RUNS)
-#: Replicates whose counts share an array, and draws of each of them that one row makes.
+#: Replicates of a chunk, at most, slots of a block, and draws made at once.
 CHUNK = 500
-DRAWS = 4096
+BLOCK = 512
+DRAWS = 1 << 16
+#: Counts that a task holds; with more entities, a chunk has fewer replicates.
+_COUNT_BYTES = 64 << 20
+_DRAWN_ROWS = 16
+_PAIR_ROWS = 4096
 
 
 def _total(values: Column) -> Column:
@@ -113,10 +118,32 @@ def dense_slots(ids: DataFrame, column: str, slot: str) -> DataFrame:
     )
 
 
-def _draw(kind: str, seed: int, *parts: Column) -> Column:
-    """A 60-bit number from the seed, the kind of draw and its coordinates."""
-    text = F.concat_ws("|", F.lit(kind), F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+#: What is drawn; a number keeps the draws of each apart.
+_KINDS = {"source": 1, "target": 2, PIPELINES[0]: 3, PIPELINES[1]: 4}
+_STEP = 0x9E3779B9
+
+
+def stream_seed(kind: str, seed: int) -> int:
+    """What the draws of a kind start from."""
+    return mixed_int((seed + _KINDS[kind] * _STEP) & MASK)
+
+
+def _draw(kind: str, seed: int, replicate: Column, draw: Column, size: Column | int) -> Column:
+    """A number below ``size`` from the seed and the coordinates of a draw."""
+    start = F.lit(stream_seed(kind, seed)).cast("long")
+    of_replicate = mixed(start.bitwiseXOR(replicate.cast("long")))
+    first = mixed(of_replicate.bitwiseXOR(mixed(draw.cast("long"))))
+    second = mixed((first + F.lit(_STEP).cast("long")).bitwiseAND(F.lit(MASK)))
+    return (F.shiftleft(first, 31) + F.shiftrightunsigned(second, 1)) % size
+
+
+def _drawn(kind: str, seed: int, replicates: np.ndarray, draws: np.ndarray, size: int) -> np.ndarray:
+    """The same numbers, replicates by draws."""
+    of_replicate = mixed_array(np.uint32(stream_seed(kind, seed)) ^ replicates.astype(np.uint32))
+    first = mixed_array(of_replicate[:, None] ^ mixed_array(draws.astype(np.uint32))[None, :])
+    second = mixed_array(first + np.uint32(_STEP))
+    wide = (first.astype(np.uint64) << np.uint64(31)) + (second >> np.uint32(1))
+    return (wide % np.uint64(size)).astype(np.int64)
 
 
 def entity_draws(
@@ -127,19 +154,25 @@ def entity_draws(
         F.floor(F.col("id") / entities).cast("bigint").alias("replicate"),
         (F.col("id") % entities).alias("draw"),
     )
-    slot = _draw(kind, seed, F.col("replicate"), F.col("draw")) % entities
+    slot = _draw(kind, seed, F.col("replicate"), F.col("draw"), entities)
     return draws.select("replicate", slot.alias(f"{kind}_slot")).groupBy("replicate", f"{kind}_slot").agg(
         F.count("*").alias(f"{kind}_count")
     )
 
 
-def run_draws(spark: SparkSession, replicates: int, seed: int) -> DataFrame:
-    """Five runs with replacement per replicate and pipeline, independently."""
-    picks = F.explode(F.sequence(F.lit(0), F.lit(RUNS_PER_GROUP - 1))).alias("pick")
-    pipelines = F.explode(F.array(*[F.lit(p) for p in PIPELINES])).alias("pipeline")
-    rows = spark.range(replicates).select(F.col("id").alias("replicate"), picks).select("*", pipelines)
-    run = _draw("run", seed, F.col("pipeline"), F.col("replicate"), F.col("pick")) % RUNS_PER_GROUP
-    return rows.withColumn("run", run.cast("int"))
+def run_draws(
+    spark: SparkSession, replicates: int, seed: int, runs: dict[str, list[int]] | None = None
+) -> DataFrame:
+    """As many runs as a pipeline has, drawn with replacement per replicate, independently."""
+    parts = []
+    for pipeline in PIPELINES:
+        known = list(RUNS) if runs is None else runs[pipeline]
+        picks = F.explode(F.sequence(F.lit(0), F.lit(len(known) - 1))).alias("pick")
+        rows = spark.range(replicates).select(F.col("id").alias("replicate"), picks)
+        at = _draw(pipeline, seed, F.col("replicate"), F.col("pick"), len(known))
+        run = F.get(F.array(*[F.lit(r) for r in known]), at.cast("int"))
+        parts.append(rows.select("replicate", "pick", F.lit(pipeline).alias("pipeline"), run.alias("run")))
+    return parts[0].union(parts[1])
 
 
 def draw_effects(
@@ -178,69 +211,69 @@ def draw_effects(
     return means.withColumn("effect", F.col("single_f1") - F.col("multi_f1"))
 
 
-def _drawn(size: int, last: list[bytes], *parts: object) -> np.ndarray:
-    """``_draw`` modulo ``size`` of the parts with each of the last coordinates."""
-    head = b"".join(f"{part}|".encode() for part in parts)
-    digests = b"".join([hashlib.md5(head + c).digest()[:8] for c in last])
-    return (np.frombuffer(digests, ">u8") >> 4) % size
-
-
 def entity_counts(
-    spark: SparkSession, kind: str, entities: int, replicates: int, seed: int, chunk: int = CHUNK
+    spark: SparkSession, kind: str, entities: int, replicates: int, seed: int, chunk: int
 ) -> DataFrame:
-    """The counts of ``entity_draws`` as one array of bytes per slot and chunk of replicates.
+    """The counts of ``entity_draws``: bytes of slots by replicates, per block and chunk.
 
-    A row names the replicates of its draws slot by slot; what rows name for a slot is
-    gathered and counted. Slots that a chunk never draws have no row.
+    A row draws a chunk of replicates whole, so nothing is gathered afterwards.
     """
-    blocks = -(-entities // DRAWS)
-    total = -(-replicates // chunk) * blocks
-
-    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number in batch["id"].to_pylist():
-                at, block = divmod(number, blocks)
-                mine = range(at * chunk, min((at + 1) * chunk, replicates))
-                names = [b"%d" % j for j in range(block * DRAWS, min((block + 1) * DRAWS, entities))]
-                slots = np.concatenate([_drawn(entities, names, kind, seed, b) for b in mine]).astype(np.int64)
-                order = np.argsort(slots, kind="stable")
-                hits = np.repeat(np.arange(len(mine), dtype="<u2"), len(names))[order]
-                found, starts = np.unique(slots[order], return_index=True)
-                parts = [h.tobytes() for h in np.split(hits, starts[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found), pa.array(np.full(len(found), at, np.int64)), pa.array(parts, pa.binary())],
-                    ["slot", "chunk", "hits"],
-                )
+    chunks = -(-replicates // chunk)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for hits in batch["hits"].to_pylist():
-                counts = np.bincount(np.frombuffer(b"".join(hits), "<u2"), minlength=chunk)
-                if counts.max() > 255:
-                    raise OverflowError("an entity was drawn more than 255 times in a replicate")
-                out.append(counts.astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch["slot"], batch["chunk"], pa.array(out, pa.binary())], ["slot", "chunk", "counts"]
-            )
-
-    rows = spark.range(0, total, 1, max(1, min(total, 4 * spark.sparkContext.defaultParallelism)))
-    hits = rows.mapInArrow(draw, "slot long, chunk long, hits binary")
-    gathered = hits.groupBy("slot", "chunk").agg(F.collect_list("hits").alias("hits"))
-    return gathered.mapInArrow(count, "slot long, chunk long, counts binary").select(
-        F.col("slot").alias(f"{kind}_slot"), "chunk", F.col("counts").alias(f"{kind}_counts")
+            for at in batch["id"].to_pylist():
+                mine = np.arange(at * chunk, min((at + 1) * chunk, replicates))
+                counts = np.zeros((-(-entities // BLOCK) * BLOCK, chunk), np.uint8)
+                for r in range(0, len(mine), _DRAWN_ROWS):
+                    part = mine[r : r + _DRAWN_ROWS]
+                    found = np.zeros((len(part), entities), np.int64)
+                    for first in range(0, entities, DRAWS):
+                        draws = np.arange(first, min(first + DRAWS, entities))
+                        slots = _drawn(kind, seed, part, draws, entities)
+                        slots += np.arange(len(part))[:, None] * entities
+                        found += np.bincount(slots.ravel(), minlength=found.size).reshape(found.shape)
+                    if found.max() > 255:
+                        raise OverflowError("an entity was drawn more than 255 times in a replicate")
+                    counts[:entities, r : r + len(part)] = found.T
+                for block in range(0, entities, BLOCK):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([block // BLOCK]), pa.array([at]), pa.array([counts[block : block + BLOCK].tobytes()], pa.binary())],
+                        ["block", "chunk", "counts"],
+                    )
+
+    rows = spark.range(0, chunks, 1, max(1, min(chunks, 4 * spark.sparkContext.defaultParallelism)))
+    return rows.mapInArrow(count, "block long, chunk long, counts binary").select(
+        F.col("block").alias(f"{kind}_block"), "chunk", F.col("counts").alias(f"{kind}_counts")
     )
 
 
-def _outcomes(labels: np.ndarray, masks: list[np.ndarray]) -> np.ndarray:
-    """Per pipeline and run, whether a pair is a true positive, and whether it is wrong."""
-    actual, known = labels == 1, labels >= 0
+def known_runs(patterns: DataFrame) -> dict[str, list[int]]:
+    """The runs that the decisions hold, per pipeline; every pair has to have all of them."""
+    masks = dict(zip(PIPELINES, ("single_seen", "multi_seen")))
+    if not set(masks.values()) <= set(patterns.columns):
+        return {p: list(RUNS) for p in PIPELINES}
+    seen = patterns.agg(*[f(m).alias(f"{n}_{m}") for m in masks.values() for n, f in (("any", F.bit_or), ("all", F.bit_and))]).first()
+    runs = {}
+    for pipeline, mask in masks.items():
+        some, every = seen[f"any_{mask}"] or 0, seen[f"all_{mask}"] or 0
+        if some != every:
+            raise ValueError(f"{pipeline}: some pairs lack a decision of some runs; key_gaps names them")
+        runs[pipeline] = [r for r in range(LAST_RUN + 1) if some >> r & 1]
+        if not runs[pipeline]:
+            raise ValueError(f"{pipeline} has no runs")
+    return runs
+
+
+def _cells(patterns: np.ndarray, runs: dict[str, list[int]]) -> np.ndarray:
+    """Cells by patterns (label, masks): true positives and errors of every pipeline's runs."""
+    label, *masks = patterns.T
     rows = []
-    for mask in masks:
-        for run in range(RUNS_PER_GROUP):
+    for mask, of in zip(masks, runs.values()):
+        for run in of:
             says = (mask >> run & 1).astype(bool)
-            rows += [says & actual, (says != actual) & known]
-    return np.array(rows, np.float64)
+            rows += [says & (label == 1), (says != (label == 1)) & (label >= 0)]
+    return np.array(rows, np.float64).reshape(-1, len(patterns))
 
 
 _SUMS = "chunk long, sums binary"
@@ -255,42 +288,66 @@ def bootstrap_effects(
     """Pigeonhole bootstrap: resample sources, targets and runs independently.
 
     Every draw is a function of the seed and its coordinates, so a lost task
-    recomputes the same numbers and the partitioning cannot change the result.
-    The result is that of ``draw_effects``, but an entity's counts are arrays over
-    chunks of replicates: pairs meet them by slot, arrays are multiplied element by
-    element and summed up per run, and no shuffle is keyed by replicate.
+    recomputes the same numbers and the partitioning cannot change the result, which is
+    that of ``draw_effects``. Slots are cut into blocks and replicates into chunks; the
+    pairs of two blocks are one sparse matrix, which meets the blocks' counts once per
+    chunk. So what is shuffled grows with the block pairs that hold pairs, not with pairs
+    times replicates, and an entity with many pairs is spread over its block pairs.
+
+    The runs are those that the decisions hold. Pairs that lack some, and replicates
+    whose weighted F1 is undefined, are errors.
     """
     if replicates < 1:
         raise ValueError("replicates must be positive")
     spark = patterns.sparkSession
     kept = checkpointed(patterns)
-    sources = dense_slots(kept, "source_id", "source_slot")
-    targets = dense_slots(kept, "target_id", "target_slot")
-    slotted = kept.join(sources, "source_id").join(targets, "target_id").select(
-        "source_slot", "target_slot", F.coalesce("label", F.lit(-1)).alias("label"), "single_mask", "multi_mask"
+    runs = known_runs(kept)
+    sources = checkpointed(dense_slots(kept, "source_id", "source_slot"))
+    targets = checkpointed(dense_slots(kept, "target_id", "target_slot"))
+    sizes = {"source": sources.count(), "target": targets.count()}
+    chunk = max(1, min(chunk, replicates, _COUNT_BYTES // max(1, *sizes.values())))
+    slotted = kept.join(sources, "source_id").join(targets, "target_id")
+    blocks = {f"{k}_block": F.floor(F.col(f"{k}_slot") / BLOCK).cast("long") for k in sizes}
+    packed = (
+        slotted.withColumns(blocks)
+        .select(*blocks, F.struct(
+            (F.col("source_slot") % BLOCK).cast("int").alias("s"), (F.col("target_slot") % BLOCK).cast("int").alias("t"),
+            F.coalesce("label", F.lit(-1)).cast("long").alias("label"),
+            F.col("single_mask").cast("long").alias("single"), F.col("multi_mask").cast("long").alias("multi"),
+        ).alias("pair"))
+        .groupBy(*blocks).agg(F.collect_list("pair").alias("pairs"))  # at most BLOCK x BLOCK pairs
+    )
+    counted = {k: entity_counts(spark, k, n, replicates, seed, chunk) for k, n in sizes.items()}
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    met = (
+        packed.join(counted["source"], "source_block")
+        .repartition(tasks, "target_block", "chunk").join(counted["target"], ["target_block", "chunk"])
+        .select("chunk", "pairs", "source_counts", "target_counts")
     )
-    weighed = slotted.join(
-        entity_counts(spark, "source", sources.count(), replicates, seed, chunk), "source_slot"
-    ).join(entity_counts(spark, "target", targets.count(), replicates, seed, chunk), ["target_slot", "chunk"])
-    cells = 4 * RUNS_PER_GROUP
+    cells = 2 * sum(map(len, runs.values()))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for whole in batches:
-            for batch in (whole.slice(i, 2000) for i in range(0, whole.num_rows, 2000)):
-                label, single, multi, at = (
-                    batch[c].to_numpy() for c in ("label", "single_mask", "multi_mask", "chunk")
-                )
-                hit = _outcomes(label, [single, multi])
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pair = batch["pairs"][i].values
                 left, right = (
-                    np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, chunk)
+                    np.frombuffer(batch[c][i].as_py(), np.uint8).reshape(-1, chunk)
                     for c in ("source_counts", "target_counts")
                 )
-                order = np.argsort(at, kind="stable")
-                names, starts = np.unique(at[order], return_index=True)
-                for name, rows in zip(names.tolist(), np.split(order, starts[1:])):
-                    weights = left[rows].astype(np.float64) * right[rows]
-                    sums[name] = sums.get(name, 0) + hit[:, rows] @ weights
+                s, t, *fields = (pair.field(c).to_numpy() for c in ("s", "t", "label", "single", "multi"))
+                known, of = np.unique(np.column_stack(fields), axis=0, return_inverse=True)
+                order = np.argsort(of.ravel(), kind="stable")
+                of = of.ravel()[order]
+                weights = np.zeros((len(known), chunk))
+                for first in range(0, len(order), _PAIR_ROWS):
+                    rows = order[first : first + _PAIR_ROWS]
+                    mine = of[first : first + _PAIR_ROWS]
+                    starts = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+                    product = left[s[rows]].astype(np.int64) * right[t[rows]]
+                    weights[mine[starts]] += np.add.reduceat(product, starts, axis=0)
+                at = batch["chunk"][i].as_py()
+                sums[at] = sums.get(at, 0) + _cells(known, runs) @ weights
         if sums:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())],
@@ -303,19 +360,18 @@ def bootstrap_effects(
             for name, data in zip(batch["chunk"].to_pylist(), batch["sums"].to_pylist()):
                 mine = np.zeros((cells, chunk)) if data is None else np.frombuffer(data).reshape(cells, chunk)
                 sums[name] = sums.get(name, 0) + mine
-        picks = [b"%d" % k for k in range(RUNS_PER_GROUP)]
         for name, mine in sums.items():
             ids = np.arange(name * chunk, min((name + 1) * chunk, replicates))
-            shaped = mine[:, : len(ids)].reshape(len(PIPELINES), RUNS_PER_GROUP, 2, len(ids))
-            means = []
-            for pipeline, of_runs in zip(PIPELINES, shaped):
-                drawn = [_drawn(RUNS_PER_GROUP, picks, "run", seed, pipeline, b) for b in ids.tolist()]
-                runs = np.array(drawn).T.astype(np.int64)
-                tp, wrong = (of_runs[runs, i, np.arange(len(ids))] for i in (0, 1))
+            means, row = [], 0
+            for pipeline, of in runs.items():
+                shaped = mine[row : row + 2 * len(of), : len(ids)].reshape(len(of), 2, len(ids))
+                row += 2 * len(of)
+                drawn = _drawn(pipeline, seed, ids, np.arange(len(of)), len(of)).T
+                tp, wrong = (shaped[drawn, i, np.arange(len(ids))] for i in (0, 1))
                 below = 2 * tp + wrong
                 if (below == 0).any():
                     raise ValueError("weighted F1 is undefined: no positive label and no positive prediction was drawn")
-                means.append((2 * tp / below).sum(0) / RUNS_PER_GROUP)
+                means.append((2 * tp / below).sum(0) / len(of))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids), *map(pa.array, means), pa.array(means[0] - means[1])],
                 ["replicate", "single_f1", "multi_f1", "effect"],
@@ -325,9 +381,7 @@ def bootstrap_effects(
     every = spark.range(-(-replicates // chunk)).select(
         F.col("id").alias("chunk"), F.lit(None).cast("binary").alias("sums")
     )
-    inputs = ("label", "single_mask", "multi_mask", "chunk", "source_counts", "target_counts")
-    found = weighed.select(*inputs).mapInArrow(weigh, _SUMS)
-    return found.unionByName(every).repartition("chunk").mapInArrow(
+    return met.mapInArrow(weigh, _SUMS).unionByName(every).repartition("chunk").mapInArrow(
         effects, "replicate long, single_f1 double, multi_f1 double, effect double"
     )
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.functions.mixing import MASK, mixed_sql
 from pairwright.operators import agreement as G
 from pairwright.operators import inference as I
 from pairwright.plans import standins as B
@@ -49,8 +50,32 @@ def exact_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_HASH = "('0x' || substr(md5({text}), 1, 15))::BIGINT"
-_BOOTSTRAP_SQL = "WITH " + B.DECISIONS_SQL + f""",
+
+
+def _draws_sql(kind: str, replicate: str, draw: str, size: str, rows: str) -> str:
+    """SQL of ``inference._draw`` over rows that name replicate, draw and size."""
+    first = "SELECT *, {} AS h1 FROM ({})".format(mixed_sql("x"), (
+        f"SELECT *, xor({mixed_sql('k')}, {mixed_sql('j')}) AS x FROM "
+        f"(SELECT *, xor({replicate}, {I.stream_seed(kind, I.BOOTSTRAP_SEED)}) AS k, {draw} AS j FROM {rows})"
+    ))
+    second = f"SELECT *, (h1 + {0x9E3779B9}) & {MASK} AS y FROM ({first})"
+    return f"(SELECT *, ((h1 << 31) + ({mixed_sql('y')} >> 1)) % {size} AS drawn FROM ({second}))"
+
+
+def _counts_sql(kind: str, ids: str) -> str:
+    rows = (
+        f"(SELECT b, d, n FROM (SELECT unnest(range({REPLICATES})) AS b), "
+        f"(SELECT n, unnest(range(n)) AS d FROM (SELECT count(DISTINCT {ids}) AS n FROM patterns)))"
+    )
+    return f"(SELECT b, drawn AS slot, count(*) AS c FROM {_draws_sql(kind, 'b', 'd', 'n', rows)} GROUP BY 1, 2)"
+
+
+_PICKS_SQL = " UNION ALL ".join(
+    f"SELECT b, '{p}' AS pipeline, pick AS k, drawn AS run FROM "
+    + _draws_sql(p, "b", "pick", "5", f"(SELECT b, pick FROM (SELECT unnest(range({REPLICATES})) AS b), (SELECT unnest(range(5)) AS pick))")
+    for p in G.PIPELINES
+)
+_BOOTSTRAP_SQL = "WITH " + B.SUPPLIER_DECISIONS_SQL + f""",
 patterns AS (
   SELECT source_id, target_id, any_value(label) AS label,
          sum(CASE WHEN pipeline = 'single_llm' AND verdict = 'MATCH' THEN 1 << run ELSE 0 END)::BIGINT AS sm,
@@ -59,20 +84,12 @@ patterns AS (
 slotted AS (
   SELECT dense_rank() OVER (ORDER BY source_id) - 1 AS ss, dense_rank() OVER (ORDER BY target_id) - 1 AS ts, label, sm, mm
   FROM patterns),
-ns AS (SELECT count(DISTINCT source_id) AS n FROM patterns), nt AS (SELECT count(DISTINCT target_id) AS n FROM patterns),
-sd AS (
-  SELECT b, {_HASH.format(text=f"'source|{I.BOOTSTRAP_SEED}|' || b || '|' || j")} % n AS slot, count(*) AS c
-  FROM (SELECT unnest(range({REPLICATES})) AS b), (SELECT n, unnest(range(n)) AS j FROM ns) GROUP BY 1, 2),
-td AS (
-  SELECT b, {_HASH.format(text=f"'target|{I.BOOTSTRAP_SEED}|' || b || '|' || j")} % n AS slot, count(*) AS c
-  FROM (SELECT unnest(range({REPLICATES})) AS b), (SELECT n, unnest(range(n)) AS j FROM nt) GROUP BY 1, 2),
+sd AS {_counts_sql("source", "source_id")},
+td AS {_counts_sql("target", "target_id")},
 weights AS (
   SELECT sd.b, label, sm, mm, sum(sd.c * td.c) AS w
   FROM slotted JOIN sd ON sd.slot = ss JOIN td ON td.slot = ts AND td.b = sd.b GROUP BY 1, 2, 3, 4),
-picks AS (
-  SELECT b, pipeline, k, {_HASH.format(text=f"'run|{I.BOOTSTRAP_SEED}|' || pipeline || '|' || b || '|' || k")} % 5 AS run
-  FROM (SELECT unnest(range({REPLICATES})) AS b), (SELECT unnest(range(5)) AS k),
-       (SELECT unnest(['single_llm', 'multi_agent']) AS pipeline)),
+picks AS ({_PICKS_SQL}),
 cells AS (
   SELECT b, pipeline, k,
          sum(CASE WHEN says AND label = 1 THEN w ELSE 0 END) AS tp, sum(CASE WHEN says <> (label = 1) THEN w ELSE 0 END) AS wrong
@@ -86,8 +103,8 @@ effects AS (
 
 
 def _effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patterns = G.pair_patterns(B.decisions(spark, sf_dir), B.decision_labels(spark, sf_dir))
-    return I.bootstrap_effects(patterns, REPLICATES)
+    keys = B.supplier_keys(spark, sf_dir)
+    return I.bootstrap_effects(G.pair_patterns(B.key_decisions(keys), B.key_labels(keys)), REPLICATES)
 
 
 @registered(

@@ -10,9 +10,9 @@ bound to a whole table that has its shape:
 * two shops for blocking: parts by size, up to 25 and above;
 * labeled decision keys: every (part, supplier) of ``lineitem``, labeled 1 when
   a quantity of 46 or more was ever ordered;
-* decisions: two pipelines times five runs over those keys, where integer
-  arithmetic on the ids decides which verdicts are wrong, so that both engines
-  derive the same rows;
+* decisions: two pipelines times five runs over those keys, where hashes of the
+  ids decide which verdicts are wrong, so that both engines derive the same rows;
+* a bootstrap that SQL can follow: the same decisions over (supplier, nation);
 * text pairs: every document with its successor, whole texts.
 """
 
@@ -21,9 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.functions.mixing import MASK, mixed, mixed_sql
 from pairwright.operators.lookup import spread
 
 RUNS = 5
+#: Factors of the sums that are hashed to decide what goes wrong.
+_P, _S, _RUN, _PIPELINE, _WHAT = 2654435761, 2246822519, 3266489917, 668265263, 374761393
 PIPELINES = ("single_llm", "multi_agent")
 
 
@@ -96,26 +99,35 @@ def decision_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labeled (part, supplier) keys with integer key columns kept."""
     return (
         table(spark, sf_dir, "lineitem")
-        .groupBy("l_partkey", "l_suppkey")
+        .groupBy(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"))
         .agg((F.max("l_quantity") >= 46).cast("int").alias("label"))
     )
 
 
-def _keyed(keys: DataFrame) -> list[Column]:
-    return [
-        F.col("l_partkey").cast("string").alias("source_id"),
-        F.col("l_suppkey").cast("string").alias("target_id"),
-    ]
+def supplier_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labeled (supplier, nation) keys, few enough to follow a bootstrap in SQL."""
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("p"), F.col("s_nationkey").alias("s"),
+        (F.col("s_acctbal") >= 4000).cast("int").alias("label"),
+    )
+
+
+def _keyed() -> list[Column]:
+    return [F.col("p").cast("string").alias("source_id"), F.col("s").cast("string").alias("target_id")]
+
+
+def key_labels(keys: DataFrame) -> DataFrame:
+    return keys.select(*_keyed(), "label")
 
 
 def decision_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = decision_keys(spark, sf_dir)
-    return keys.select(*_keyed(keys), "label")
+    return key_labels(decision_keys(spark, sf_dir))
 
 
-def _scrambled(salt: Column | int) -> Column:
-    mixed = F.col("l_partkey") * 7919 + F.col("l_suppkey") * 104729 + salt
-    return mixed % 1000
+def _chance(what: int) -> Column:
+    """0 to 999 from key, pipeline and run, on its own for each thing it decides."""
+    sums = F.col("p") * _P + F.col("s") * _S + F.col("run") * _RUN + F.col("pipeline_no") * _PIPELINE
+    return mixed((sums + what * _WHAT).bitwiseAND(F.lit(MASK))) % 1000
 
 
 def _verdict(wrong: Column) -> Column:
@@ -123,29 +135,28 @@ def _verdict(wrong: Column) -> Column:
     return F.when(says_match, "MATCH").otherwise("NO MATCH")
 
 
-def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per key, pipeline and run, agents filled for the second pipeline."""
-    keys = decision_keys(spark, sf_dir)
+def key_decisions(keys: DataFrame) -> DataFrame:
+    """One row per key, pipeline and run, agents filled for the second pipeline.
+
+    Pipelines, runs and agents err on their own, so that every combination occurs.
+    """
     rows = keys.withColumn("pipeline_no", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
         "run", F.explode(F.sequence(F.lit(0), F.lit(RUNS - 1)))
     )
-    salt = F.col("run") * 1299709 + F.col("pipeline_no") * 15485863
-    h = _scrambled(salt)
-    wrong = h < F.when(F.col("label") == 1, 40 + F.col("pipeline_no") * 60).otherwise(8)
-    syn_wrong = _scrambled(salt + 433494437) < F.when(F.col("label") == 1, 90).otherwise(9)
-    sem_wrong = _scrambled(salt + 179424673) < F.when(F.col("label") == 1, 160).otherwise(12)
+    rows = rows.withColumns({f"h{what}": _chance(what) for what in range(4)})
+    wrong = F.col("h0") < F.when(F.col("label") == 1, 40 + F.col("pipeline_no") * 60).otherwise(8)
+    syn_wrong = F.col("h1") < F.when(F.col("label") == 1, 90).otherwise(9)
+    sem_wrong = F.col("h2") < F.when(F.col("label") == 1, 160).otherwise(12)
     multi = F.col("pipeline_no") == 1
-    cents = (
-        F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("run") * 7 + F.col("pipeline_no") * 3
-    )
+    cents = F.col("p") * 31 + F.col("s") * 17 + F.col("run") * 7 + F.col("pipeline_no") * 3
     return rows.select(
         F.when(multi, PIPELINES[1]).otherwise(PIPELINES[0]).alias("pipeline"),
         F.col("run"),
-        *_keyed(keys),
+        *_keyed(),
         F.col("label"),
         _verdict(wrong).alias("verdict"),
         ((cents % 51 + 50) / F.lit(100.0)).alias("confidence"),
-        (h == 999).alias("parse_error"),
+        (F.col("h3") == 999).alias("parse_error"),
         ((500 + cents % 300) * F.when(multi, 8).otherwise(1)).cast("bigint").alias("tokens"),
         F.when(multi, _verdict(syn_wrong)).alias("syn_verdict"),
         F.when(multi, ((cents * 3) % 51 + 50) / F.lit(100.0)).alias("syn_confidence"),
@@ -154,6 +165,10 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return key_decisions(decision_keys(spark, sf_dir))
+
+
 # The same inputs as DuckDB common table expressions, for the oracles.
 
 PRODUCTS_SQL = """
@@ -198,30 +213,36 @@ decision_keys AS (
   FROM lineitem GROUP BY 1, 2)
 """
 
-DECISIONS_SQL = (
-    DECISION_KEYS_SQL
-    + """,
+SUPPLIER_KEYS_SQL = """
+decision_keys AS (
+  SELECT s_suppkey AS p, s_nationkey AS s, CAST(s_acctbal >= 4000 AS INT) AS label FROM supplier)
+"""
+
+_CHANCES_SQL = ", ".join(f"{mixed_sql(f'x{what}')} % 1000 AS h{what}" for what in range(4))
+_SUMS_SQL = ", ".join(f"(sums + {what * _WHAT}) & {MASK} AS x{what}" for what in range(4))
+_OF_KEYS_SQL = f""",
 salted AS (
-  SELECT k.*, pipeline_no, run,
-         (p * 7919 + s * 104729 + run * 1299709 + pipeline_no * 15485863) AS mix,
-         (p * 31 + s * 17 + run * 7 + pipeline_no * 3) AS cents
-  FROM decision_keys k, (SELECT unnest(range(2)) AS pipeline_no), (SELECT unnest(range(5)) AS run)),
+  SELECT *, {_CHANCES_SQL} FROM (SELECT *, {_SUMS_SQL} FROM (
+    SELECT k.*, pipeline_no, run, p * {_P} + s * {_S} + run * {_RUN} + pipeline_no * {_PIPELINE} AS sums,
+           (p * 31 + s * 17 + run * 7 + pipeline_no * 3) AS cents
+    FROM decision_keys k, (SELECT unnest(range(2)) AS pipeline_no), (SELECT unnest(range(5)) AS run)))),
 decisions AS (
   SELECT CASE WHEN pipeline_no = 1 THEN 'multi_agent' ELSE 'single_llm' END AS pipeline,
          CAST(run AS INT) AS run, CAST(p AS VARCHAR) AS source_id, CAST(s AS VARCHAR) AS target_id, label,
-         CASE WHEN (label = 1) <> (mix % 1000 < CASE WHEN label = 1 THEN 40 + 60 * pipeline_no ELSE 8 END)
+         CASE WHEN (label = 1) <> (h0 < CASE WHEN label = 1 THEN 40 + 60 * pipeline_no ELSE 8 END)
               THEN 'MATCH' ELSE 'NO MATCH' END AS verdict,
          (cents % 51 + 50) / 100.0::DOUBLE AS confidence,
-         mix % 1000 = 999 AS parse_error,
+         h3 = 999 AS parse_error,
          CAST((500 + cents % 300) * CASE WHEN pipeline_no = 1 THEN 8 ELSE 1 END AS BIGINT) AS tokens,
          CASE WHEN pipeline_no = 1 THEN
-           CASE WHEN (label = 1) <> ((mix + 433494437) % 1000 < CASE WHEN label = 1 THEN 90 ELSE 9 END)
+           CASE WHEN (label = 1) <> (h1 < CASE WHEN label = 1 THEN 90 ELSE 9 END)
                 THEN 'MATCH' ELSE 'NO MATCH' END END AS syn_verdict,
          CASE WHEN pipeline_no = 1 THEN (cents * 3 % 51 + 50) / 100.0::DOUBLE END AS syn_confidence,
          CASE WHEN pipeline_no = 1 THEN
-           CASE WHEN (label = 1) <> ((mix + 179424673) % 1000 < CASE WHEN label = 1 THEN 160 ELSE 12 END)
+           CASE WHEN (label = 1) <> (h2 < CASE WHEN label = 1 THEN 160 ELSE 12 END)
                 THEN 'MATCH' ELSE 'NO MATCH' END END AS sem_verdict,
          CASE WHEN pipeline_no = 1 THEN (cents * 7 % 51 + 50) / 100.0::DOUBLE END AS sem_confidence
   FROM salted)
 """
-)
+DECISIONS_SQL = DECISION_KEYS_SQL + _OF_KEYS_SQL
+SUPPLIER_DECISIONS_SQL = SUPPLIER_KEYS_SQL + _OF_KEYS_SQL

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,3 +221,28 @@ def test_fallback_prefers_syntactic_on_ties(spark):
     frame = spark.createDataFrame(rows, "syn_verdict string, syn_confidence double, sem_verdict string, sem_confidence double")
     got = frame.withColumns(D.consensus_fallback()).collect()
     assert [(r["fallback_verdict"], r["fallback_confidence"]) for r in got] == [("MATCH", 0.6), ("NO MATCH", 0.9), ("MATCH", 0.6)]
+
+
+def test_bootstrap_takes_its_runs_from_the_data(spark):
+    rng = random.Random(2)
+    keys = sorted({(f"s{rng.randrange(700):03d}", f"t{rng.randrange(30):02d}") for _ in range(1500)})
+    label = {k: rng.randrange(2) for k in keys}
+    rows = [
+        (*k, p, run, "MATCH" if rng.random() < (0.8 if label[k] else 0.1) else "NO MATCH")
+        for k in keys for p, runs in (("single_llm", (1, 4, 9)), ("multi_agent", (0, 62))) for run in runs
+    ]
+    schema = "source_id string, target_id string, pipeline string, run int, verdict string"
+    labels = spark.createDataFrame([(*k, v) for k, v in label.items()], "source_id string, target_id string, label int")
+    decisions = spark.createDataFrame(rows, schema)
+    patterns = G.pair_patterns(decisions, labels)
+    got = I.bootstrap_effects(patterns, 6, chunk=4).orderBy("replicate").collect()
+    ids = {kind: I.dense_slots(patterns, f"{kind}_id", f"{kind}_slot") for kind in ("source", "target")}
+    slotted = patterns.join(ids["source"], "source_id").join(ids["target"], "target_id")
+    runs = I.known_runs(patterns)
+    assert runs == {"single_llm": [1, 4, 9], "multi_agent": [0, 62]}
+    draws = [I.entity_draws(spark, kind, ids[kind].count(), 6, I.BOOTSTRAP_SEED) for kind in ids]
+    wanted = I.draw_effects(slotted, *draws, I.run_draws(spark, 6, I.BOOTSTRAP_SEED, runs)).orderBy("replicate").collect()
+    for mine, other in zip(got, wanted, strict=True):
+        assert list(mine) == pytest.approx([other[c] for c in got[0].asDict()])
+    with pytest.raises(ValueError, match="lack a decision"):
+        I.bootstrap_effects(G.pair_patterns(decisions.limit(len(rows) - 1), labels), 2)
