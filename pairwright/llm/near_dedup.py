@@ -352,14 +352,8 @@ def _family_links(dense: DataFrame, texts: DataFrame) -> DataFrame:
     A family is cut into blocks of about ``_BLOCK`` nodes and every two blocks meet in a
     group of their own; a group names only links that connect what it had not connected.
     """
-    # a hot key's nodes meet in salted groups, and the groups' hubs the key's hub
-    salted = dense.withColumn(
-        "salt", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / _BLOCK).cast("long"))
-    )
-    hubs = salted.groupBy("key", "salt").agg(F.min("node").alias("a"))
-    near = salted.join(hubs, ["key", "salt"]).select("a", F.col("node").alias("b"))
-    first = hubs.groupBy("key").agg(F.min("a").alias("hub"))
-    edges = near.union(hubs.join(first, "key").select("hub", "a")).distinct()
+    hubs = dense.groupBy("key").agg(F.min("node").alias("a"))
+    edges = dense.join(hubs, "key").select("a", F.col("node").alias("b")).where("a <> b").distinct()
     member = stored(components(edges).withColumnRenamed("comp", "family"), "families")
     sized = member.groupBy("family").agg(F.ceil(F.count("*") / _BLOCK).cast("int").alias("parts"))
     rows = member.join(sized, "family").withColumn(
@@ -448,7 +442,7 @@ def near_duplicates(docs: DataFrame, *, scheme: Scheme = SCHEME, dense: int = DE
     shared = stored(keys.join(counted, "key"), "keys")
     candidates = _sparse_candidates(shared.where(F.col("n") <= dense), nodes, scheme)
     candidates = stored(candidates.where("a <> b").distinct(), "candidates")
-    crowded = shared.where(F.col("n") > dense).select("key", "node", "n")
+    crowded = shared.where(F.col("n") > dense).select("key", "node")
     named = (
         candidates.select(F.explode(F.array("a", "b")).alias("node"))
         .union(crowded.select("node")).distinct()
