@@ -192,9 +192,19 @@ def _calibrated(x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndar
     return w
 
 
-def fit_texts(toxic: list[str], ordinary: list[str], rate: float) -> ToxicityModel:
+#: Windows of ordinary text that train the dictionaries, and those for the shared part.
+PLAIN_WINDOWS, SHARED_WINDOWS = 120_000, 60_000
+
+
+def fit_texts(
+    toxic: list[str], ordinary: list[str], rate: float, *,
+    plain_windows: int = PLAIN_WINDOWS, shared_windows: int = SHARED_WINDOWS,
+) -> ToxicityModel:
     """Train the dictionary pairs and calibrate; ``rate``: the share of toxic documents.
 
+    Of the distinct windows of the ordinary texts ``plain_windows`` train, drawn at random:
+    ``shared_windows`` of them the part that both dictionaries share, the others the
+    ordinary part. Windows bound the training only; every text is scored whole.
     Without texts of both classes the model is the constant ``rate``.
     """
     prior = float(np.log((rate + 1e-6) / (1 - rate + 1e-6)))
@@ -206,12 +216,12 @@ def fit_texts(toxic: list[str], ordinary: list[str], rate: float) -> ToxicityMod
     words = _telling_words(bad[:cut_bad], _telling(bad[:cut_bad], good[:cut_good]))
     plain = list(dict.fromkeys(w for t in good[:cut_good] for w in windows(t)))
     order = np.random.default_rng(1).permutation(len(plain))
-    plain = [plain[i] for i in order[:120_000]]
-    base = _trained(SHARED_BYTES, plain[:60_000])
+    plain = [plain[i] for i in order[:plain_windows]]
+    base = _trained(SHARED_BYTES, plain[:shared_windows])
     pairs = []
     for k, size in enumerate(PAIR_BYTES):
         own = [words[i] for i in np.random.default_rng(k).permutation(len(words))]
-        ordinary_part = _trained(size, _joined(plain[60_000:] or plain, 2))
+        ordinary_part = _trained(size, _joined(plain[shared_windows:] or plain, 2))
         pairs.append((base + ordinary_part, base + _trained(size, _joined(own, 8))))
     raw = ToxicityModel(tuple(pairs), (), (), ())
     rest = [*bad[cut_bad:], *good[cut_good:]]
