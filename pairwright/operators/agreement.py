@@ -203,9 +203,10 @@ def entity_multiplicity(pairs: DataFrame) -> DataFrame:
             F.count("*").alias(f"unique_{name}s"),
             F.max("m").alias(f"max_{name}_multiplicity"),
             ratio(shared, F.sum("m")).alias(f"share_pairs_sharing_a_{name}"),
-            F.sum("m").alias("n_pairs"),
+            F.coalesce(F.sum("m"), F.lit(0)).alias("n_pairs"),
         )
 
+    # both sides count the same pairs, none included
     return side("source").join(side("target"), "n_pairs")
 
 

@@ -262,11 +262,7 @@ def cache_key_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.key_differences(finished, lines.filter("l_linestatus = 'O'").select(*keys))
 
 
-_TREE_SQL = """,
-l1 AS (SELECT pipeline, run, substr(h, 1, 5) AS b, sha256(string_agg(h, '' ORDER BY h)) AS h FROM lines GROUP BY 1, 2, 3),
-l2 AS (SELECT pipeline, run, substr(b, 1, 2) AS b2, sha256(string_agg(b || h, '' ORDER BY b || h)) AS h FROM l1 GROUP BY 1, 2, 3)
-SELECT pipeline, run, sha256(string_agg(b2 || h, '' ORDER BY b2 || h)) AS digest FROM l2 GROUP BY 1, 2
-"""
+_SUMS_SQL = " || '|' || ".join(f"sum(CAST('0x' || substr(h, {1 + 15 * k}, 15) AS BIGINT)::HUGEINT)" for k in range(4))
 
 
 @registered(
@@ -274,10 +270,10 @@ SELECT pipeline, run, sha256(string_agg(b2 || h, '' ORDER BY b2 || h)) AS digest
 lines AS (
   SELECT pipeline, run, sha256(source_id || chr(9) || target_id || chr(9) || verdict || chr(9) || tokens || chr(9)
          || CAST(parse_error AS INT) || chr(10)) AS h FROM decisions)
-""" + _TREE_SQL
+""" + f"SELECT pipeline, run, sha256(count(*) || '|' || {_SUMS_SQL}) AS digest FROM lines GROUP BY 1, 2"
 )
 def decision_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.tree_digest(B.decisions(spark, sf_dir), C.decision_line(), ["pipeline", "run"])
+    return C.multiset_digest(B.decisions(spark, sf_dir), C.decision_line(), ["pipeline", "run"])
 
 
 @registered(

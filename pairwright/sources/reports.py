@@ -149,7 +149,7 @@ def statistics_payload(decisions: DataFrame, labels: DataFrame) -> dict:
     """Every run-level statistic, as nested plain values."""
     from pairwright.operators.inference import bootstrap_effects, bootstrap_range, permutation_test
     from pairwright.session import checkpointed
-    from pairwright.sources.cache import decision_line, label_line, tree_digest, unique_labels
+    from pairwright.sources.cache import decision_line, label_line, multiset_digest, unique_labels
 
     patterns = checkpointed(G.pair_patterns(decisions, unique_labels(labels)))
     counts = G.pattern_counts(patterns)
@@ -169,9 +169,9 @@ def statistics_payload(decisions: DataFrame, labels: DataFrame) -> dict:
         "record_structure": G.entity_multiplicity(labels).first().asDict(),
         "permutation_test": permutation_test(runs).first().asDict(),
         "bootstrap": bootstrap_range(bootstrap_effects(patterns)).first().asDict(),
-        "key_label_digest": tree_digest(labels, label_line()).first()["digest"],
+        "key_label_digest": multiset_digest(labels, label_line()).first()["digest"],
         "decision_digests": [
-            r.asDict() for r in tree_digest(decisions, decision_line(), ["pipeline", "run"]).orderBy("pipeline", "run").collect()
+            r.asDict() for r in multiset_digest(decisions, decision_line(), ["pipeline", "run"]).orderBy("pipeline", "run").collect()
         ],
     }
 

@@ -118,8 +118,8 @@ def test_valid_records_and_key_check(spark, tmp_path):
 
 def test_digest_does_not_depend_on_the_partitions(spark):
     labels = spark.createDataFrame([("b", "1", 0), ("a", "2", 1), ("a", "10", 0)], "source_id string, target_id string, label int")
-    tree = C.tree_digest(labels, C.label_line()).first()["digest"]
-    assert tree == C.tree_digest(labels.repartition(3), C.label_line()).first()["digest"]
+    tree = C.multiset_digest(labels, C.label_line()).first()["digest"]
+    assert tree == C.multiset_digest(labels.repartition(3), C.label_line()).first()["digest"]
 
 
 def test_products_pairs_and_candidates(spark, tmp_path):

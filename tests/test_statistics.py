@@ -246,3 +246,8 @@ def test_bootstrap_takes_its_runs_from_the_data(spark):
         assert list(mine) == pytest.approx([other[c] for c in got[0].asDict()])
     with pytest.raises(ValueError, match="lack a decision"):
         I.bootstrap_effects(G.pair_patterns(decisions.limit(len(rows) - 1), labels), 2)
+
+
+def test_multiplicity_of_nothing_is_a_row(spark):
+    row = G.entity_multiplicity(spark.createDataFrame([], "source_id string, target_id string")).first()
+    assert (row["n_pairs"], row["unique_sources"], row["max_target_multiplicity"]) == (0, 0, None)
