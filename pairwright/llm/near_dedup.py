@@ -411,7 +411,8 @@ def _same_ids(members: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, scheme: Scheme = SCHEME, dense: int = DENSE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``.
 
-    1. Equal word sequences are one node, numbered; only nodes go on.
+    1. Equal word sequences are one node, numbered in the order of their smallest ids, so
+       that an original comes before its copies and is their hub; only nodes go on.
     2. Every node has a key for each chunk of its signature and each way of leaving
        values out; nodes that share a key are candidates.
     3. Pairs of a key of at most ``dense`` nodes are compared one by one, each pair once.
@@ -434,7 +435,7 @@ def near_duplicates(docs: DataFrame, *, scheme: Scheme = SCHEME, dense: int = DE
     nodes = stored(
         known.groupBy("digest")
         .agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
-        .withColumn("node", F.monotonically_increasing_id()),
+        .orderBy("doc_id", "digest").withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )
     keys = _keys(nodes, scheme)
