@@ -2,14 +2,15 @@
 
 Needleman-Wunsch and Smith-Waterman run one dynamic program for a whole Arrow
 batch: row ``i`` of every pair is one NumPy operation, and the left-gap
-recurrence becomes a running maximum because a gap costs exactly one. Spark
-partitions the pairs; the UDF only sees one bounded slice at a time.
+recurrence becomes a running maximum because a gap costs exactly one. Jaro-Winkler
+finds the matching letters of all pairs letter by letter in the same way, and
+Monge-Elkan compares each distinct pair of words of a batch once. Spark partitions
+the pairs; the UDF only sees one bounded slice at a time.
 """
 
 from __future__ import annotations
 
 import difflib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -95,53 +96,94 @@ def smith_waterman(a: pd.Series, b: pd.Series) -> pd.Series:
     return _align_batch(a, b, local=True)
 
 
-@lru_cache(maxsize=200_000)
-def _jaro_winkler(a: str, b: str) -> float:
-    if not a or not b:
-        return 0.0
-    window = max(len(a), len(b)) // 2 - 1
-    window = max(window, 0)
-    taken = [False] * len(b)
-    matched_a = []
-    for i, ch in enumerate(a):
-        for j in range(max(0, i - window), min(len(b), i + window + 1)):
-            if not taken[j] and b[j] == ch:
-                taken[j] = True
-                matched_a.append(ch)
+def _jaro_winkler_slice(left: list[str], right: list[str]) -> np.ndarray:
+    """Jaro-Winkler of non-empty strings, one NumPy step per letter of the longest left one."""
+    a, a_len = _code_points(left, -1)
+    b, b_len = _code_points(right, -2)
+    rows = np.arange(len(left))
+    window = np.maximum(np.maximum(a_len, b_len) // 2 - 1, 0)[:, None]
+    at = np.arange(b.shape[1])[None, :]
+    free = np.ones(b.shape, dtype=bool)
+    met = np.zeros(a.shape, dtype=bool)
+    for i in range(a.shape[1]):
+        fits = free & (b == a[:, i : i + 1]) & (np.abs(at - i) <= window)
+        first = fits.argmax(axis=1)
+        met[:, i] = fits[rows, first]
+        free[rows[met[:, i]], first[met[:, i]]] = False
+    common = met.sum(axis=1)
+    # The k-th letter met on one side stands against the k-th met on the other.
+    width = int(common.max())
+    of_a = np.take_along_axis(a, np.argsort(~met, axis=1, kind="stable")[:, :width], axis=1)
+    of_b = np.take_along_axis(b, np.argsort(free, axis=1, kind="stable")[:, :width], axis=1)
+    moved = ((of_a != of_b) & (np.arange(width)[None, :] < common[:, None])).sum(axis=1) // 2
+    shared = np.maximum(common, 1)
+    jaro = np.where(common > 0, (common / a_len + common / b_len + (common - moved) / shared) / 3.0, 0.0)
+    reach = min(JW_MAX_PREFIX, a.shape[1], b.shape[1])
+    prefix = np.logical_and.accumulate(a[:, :reach] == b[:, :reach], axis=1).sum(axis=1)
+    return np.where(jaro > JW_BOOST_ABOVE, jaro + prefix * JW_PREFIX_SCALE * (1.0 - jaro), jaro)
+
+
+def _jaro_winkler(left: list[str], right: list[str]) -> np.ndarray:
+    """Jaro-Winkler of any strings, in slices of like lengths; 0 where one is empty."""
+    result = np.zeros(len(left), dtype=np.float64)
+    order = sorted((i for i in range(len(left)) if left[i] and right[i]), key=lambda i: len(left[i]) + len(right[i]))
+    start = 0
+    while start < len(order):
+        # Sorted by length, so the last row of a slice is its widest.
+        stop = min(len(order), start + max(1, _SLICE_CELLS // (len(left[order[start]]) + len(right[order[start]]))))
+        while stop > start + 1:
+            last = order[stop - 1]
+            most = max(1, _SLICE_CELLS // (len(left[last]) + len(right[last])))
+            if stop - start <= most:
                 break
-    common = len(matched_a)
-    if not common:
-        return 0.0
-    matched_b = [ch for ch, used in zip(b, taken) if used]
-    swaps = sum(x != y for x, y in zip(matched_a, matched_b)) // 2
-    jaro = (common / len(a) + common / len(b) + (common - swaps) / common) / 3.0
-    if jaro <= JW_BOOST_ABOVE:
-        return jaro
-    prefix = 0
-    for x, y in zip(a[:JW_MAX_PREFIX], b[:JW_MAX_PREFIX]):
-        if x != y:
-            break
-        prefix += 1
-    return jaro + prefix * JW_PREFIX_SCALE * (1.0 - jaro)
+            stop = start + most
+        rows = order[start:stop]
+        result[rows] = _jaro_winkler_slice([left[i] for i in rows], [right[i] for i in rows])
+        start = stop
+    return result
 
 
 @F.pandas_udf(T.DoubleType())
 def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity of the lower-cased strings."""
-    return pd.Series([_jaro_winkler(x.lower(), y.lower()) for x, y in zip(a, b)], dtype="float64")
-
-
-def _monge_elkan(a: str, b: str) -> float:
-    left, right = a.lower().split(), b.lower().split()
-    if not left or not right:
-        return 1.0 if not left and not right else 0.0
-    return sum(max(_jaro_winkler(x, y) for y in right) for x in left) / len(left)
+    return pd.Series(_jaro_winkler([x.lower() for x in a], [y.lower() for y in b]))
+
+
+def _monge_elkan(left: list[list[str]], right: list[list[str]]) -> np.ndarray:
+    """Every distinct pair of words of the batch is compared once; rows only look it up.
+
+    Left words are taken in runs that meet a bounded number of right words in all.
+    """
+    vocabulary: dict[str, int] = {}
+    a = np.array([vocabulary.setdefault(w, len(vocabulary)) for words in left for w in words], dtype=np.int64)
+    b = np.array([vocabulary.setdefault(w, len(vocabulary)) for words in right for w in words], dtype=np.int64)
+    words = list(vocabulary)
+    n_left = np.fromiter(map(len, left), dtype=np.int64, count=len(left))
+    n_right = np.fromiter(map(len, right), dtype=np.int64, count=len(right))
+    # A text without words is like another one without words, and like nothing else.
+    result = ((n_left == 0) & (n_right == 0)).astype(np.float64)
+    row = np.repeat(np.arange(len(left)), n_left)
+    partners, begin = n_right[row], (np.cumsum(n_right) - n_right)[row]
+    best = np.zeros(len(a))
+    asked = np.flatnonzero(partners > 0)
+    run = np.cumsum(partners[asked]) // _SLICE_CELLS
+    for part in np.split(asked, np.flatnonzero(np.diff(run)) + 1) if len(asked) else []:
+        sizes = partners[part]
+        heads = np.cumsum(sizes) - sizes
+        other = b[np.repeat(begin[part] - heads, sizes) + np.arange(sizes.sum())]
+        distinct, where = np.unique(np.repeat(a[part], sizes) * len(words) + other, return_inverse=True)
+        first, second = np.divmod(distinct, len(words))
+        scores = _jaro_winkler([words[i] for i in first], [words[i] for i in second])
+        best[part] = np.maximum.reduceat(scores[where], heads)
+    both = (n_left > 0) & (n_right > 0)
+    result[both] = np.bincount(row, weights=best, minlength=len(left))[both] / n_left[both]
+    return result
 
 
 @F.pandas_udf(T.DoubleType())
 def monge_elkan(a: pd.Series, b: pd.Series) -> pd.Series:
     """Mean over the first text's words of the best Jaro-Winkler in the second."""
-    return pd.Series([_monge_elkan(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(_monge_elkan([x.lower().split() for x in a], [y.lower().split() for y in b]))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairwright.functions.similarity import DECIMAL
 from pairwright.operators.metrics import (
     KEYS,
     confusion_counts,
@@ -166,8 +167,9 @@ def disagreement_wins(both: DataFrame) -> DataFrame:
 
 
 def lenient_confidence(value: Column) -> Column:
-    """Confidence as a number, 0 where it is missing or unreadable."""
-    return F.coalesce(value.cast("string").try_cast("double"), F.lit(0.0))
+    """Confidence as a number, 0 where it is missing or not spelled as a decimal number."""
+    text = F.trim(value.cast("string"))
+    return F.coalesce(F.when(text.rlike(DECIMAL), text.try_cast("double")), F.lit(0.0))
 
 
 def calibration(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -127,3 +127,16 @@ def test_alignment_equals_cellwise_dynamic_program(spark):
     for row in rows:
         assert row["nw"] == _cells(row["a"], row["b"], False)
         assert row["sw"] == _cells(row["a"], row["b"], True)
+
+
+def test_word_pairs_in_slices_equal_one_by_one(monkeypatch):
+    from pairwright.functions import alignment as A
+
+    texts = ["", "martha dwayne", "marhta", "a  duane", "dixon dicksonx martha", "é", "xyz abc dwayne duane"]
+    left, right = zip(*[(x.split(), y.split()) for x in texts for y in texts])
+    whole = A._monge_elkan(list(left), list(right))
+    monkeypatch.setattr(A, "_SLICE_CELLS", 8)
+    assert list(A._monge_elkan(list(left), list(right))) == list(whole)
+    alone = [A._monge_elkan([x], [y])[0] for x, y in zip(left, right)]
+    assert alone == pytest.approx(list(whole))
+    assert A._jaro_winkler(["martha", "", "dwayne"], ["marhta", "x", "duane"]) == pytest.approx([0.961111, 0, 0.84], abs=1e-6)
