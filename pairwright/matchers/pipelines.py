@@ -5,6 +5,11 @@ replies and what follows from them are Column expressions. Only pairs without a
 decision are asked about. Their answers are written to the decision table before
 anything reads them, so no model call is repeated by a second action, a recomputed
 partition of a later stage, or a later run.
+
+The table grows by batches, folders that Spark commits as a whole. A batch is named by
+its number and a digest of the keys it answers, so a driver that repeats a batch replaces
+it instead of doubling it. Two drivers that ask for the same keys at once make two
+batches; readers keep the decision of the first of them.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from pairwright.operators.lookup import (
     take_pairs,
 )
 from pairwright.operators.metrics import KEYS
+from pairwright.session import checkpointed
+from pairwright.sources.cache import multiset_digest
 
 ClientFactory = Callable[[], ChatClient]
 
@@ -131,14 +138,35 @@ def agent_answers(pairs: DataFrame, sources: DataFrame, targets: DataFrame, fact
     return asked.unionByName(absent)
 
 
-def kept_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """The decision table, empty where none was written yet."""
+def kept_decisions(spark: SparkSession, path: str, of: dict[str, str] | None = None) -> DataFrame:
+    """The decision table, one decision a key, empty where none was written yet.
+
+    ``of`` names and types the folders above the batches, as ``{"run": "int"}`` for a
+    table of runs; they are part of the key.
+    """
+    above = "".join(f", {name} {kind}" for name, kind in (of or {}).items())
+    try:
+        rows = spark.read.schema(f"{DECISION}{above}, batch string").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        rows = spark.createDataFrame([], f"{DECISION}{above}, batch string")
+    said = F.struct(*[name for name in FIELDS if name not in KEYS])
+    first = rows.groupBy(*(of or {}), *KEYS).agg(F.min_by(said, "batch").alias("said"))
+    return first.select(*(of or {}), *KEYS, "said.*")
+
+
+def _next_batch(spark: SparkSession, path: str, misses: DataFrame) -> str:
+    """A number after those of all batches that hold a decision, and the digest of the keys."""
     try:
-        return spark.read.schema(DECISION).parquet(path)
+        last = spark.read.schema("source_id string, batch string").parquet(path).agg(F.max("batch")).first()[0]
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], DECISION)
+        last = None
+    key = F.concat_ws("|", *[F.hex(F.encode(k, "UTF-8")) for k in KEYS])
+    digest = multiset_digest(misses, key).first()["digest"]
+    return f"{int(last.split('-')[0]) + 1 if last else 0:09d}-{digest[:16]}"
 
 
 def match_with_replay(
@@ -152,7 +180,9 @@ def match_with_replay(
 ) -> DataFrame:
     """Decisions of all pairs: kept ones are replayed, the others asked and appended."""
     spark = pairs.sparkSession
-    wanted = take_pairs(pairs.select(*KEYS), max_pairs, KEYS)
-    misses = except_keys(wanted, kept_decisions(spark, path), KEYS)
-    answers(misses.distinct(), sources, targets, factory).write.mode("append").parquet(path)
+    wanted = take_pairs(pairs, max_pairs, KEYS).select(*KEYS)
+    misses = checkpointed(except_keys(wanted, kept_decisions(spark, path), KEYS).distinct())
+    if not misses.isEmpty():
+        batch = f"{path}/batch={_next_batch(spark, path, misses)}"
+        answers(misses, sources, targets, factory).write.mode("overwrite").parquet(batch)
     return wanted.join(kept_decisions(spark, path), KEYS)

@@ -146,7 +146,7 @@ def predict_matches(
     max_pairs: int | None = None,
 ) -> DataFrame:
     """Verdict and confidence of every candidate with both products."""
-    pairs = take_pairs(candidates.select(*KEYS), max_pairs, KEYS)
+    pairs = take_pairs(candidates, max_pairs, KEYS).select(*KEYS)
     scored = match_probability(matcher.model, assembled(pair_features(pairs, sources, targets)))
     return scored.select(
         *KEYS,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PRODUCT_FIELDS = ("name", "description", "price")
@@ -14,10 +14,11 @@ def rename_pair_keys(pairs: DataFrame) -> DataFrame:
 
 
 def pair_candidates(labeled: DataFrame) -> DataFrame:
-    """Labeled pairs without their label, ids as strings."""
+    """Labeled pairs without their label, ids as strings; where they stood stays with them."""
     return labeled.select(
         F.col("ltable_id").cast("string").alias("source_id"),
         F.col("rtable_id").cast("string").alias("target_id"),
+        *[c for c in ("position",) if c in labeled.columns],
     )
 
 
@@ -57,7 +58,7 @@ def label_lookup(labeled: DataFrame, order: Column | None = None) -> DataFrame:
 
 def ground_truth(labeled: DataFrame) -> DataFrame:
     """Distinct pair keys whose label is 1."""
-    return pair_candidates(labeled.filter(F.col("label") == 1)).distinct()
+    return pair_candidates(labeled.filter(F.col("label") == 1)).select("source_id", "target_id").distinct()
 
 
 def spread(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -109,9 +110,46 @@ def attach_labels(rows: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def input_position() -> Column:
+    """File, block and number of a row, to be selected right from a scan of files.
+
+    A task reads the rows of a block one after another, so within a block the numbers
+    follow each other without a gap.
+    """
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
+def first_in_input(rows: DataFrame, n: int) -> DataFrame:
+    """The first ``n`` rows in the order of files and of lines in them.
+
+    ``rows`` are all rows of a scan with their ``position``. Nothing is sorted: rows are
+    counted by block, sums over the blocks (a row for each split of the input, the only
+    thing one task sees whole) say how many each block gives, and the scan is filtered.
+    """
+    at = F.col("position")
+    blocks = rows.groupBy(at["file"].alias("_file"), at["block"].alias("_block")).agg(
+        F.count("*").alias("_held"), F.min(at["row"]).alias("_from")
+    )
+    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    giving = blocks.withColumn("_before", F.coalesce(F.sum("_held").over(earlier), F.lit(0))).filter(F.col("_before") < n)
+    met = rows.join(giving, (at["file"] == F.col("_file")) & (at["block"] == F.col("_block")))
+    return met.filter(at["row"] - F.col("_from") < n - F.col("_before")).select(*rows.columns)
+
+
 def take_pairs(pairs: DataFrame, max_pairs: int | None, order: list[str]) -> DataFrame:
-    """First ``max_pairs`` pairs by ``order``; ``None`` and 0 mean all of them."""
-    return pairs.orderBy(*order).limit(max_pairs) if max_pairs else pairs
+    """First ``max_pairs`` pairs; ``None`` and 0 mean all of them.
+
+    Pairs that know their position in the input are taken in that order, others by ``order``.
+    """
+    if not max_pairs:
+        return pairs
+    if "position" in pairs.columns:
+        return first_in_input(pairs, max_pairs)
+    return pairs.orderBy(*order).limit(max_pairs)
 
 
 def except_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

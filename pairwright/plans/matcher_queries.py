@@ -1,4 +1,4 @@
-"""Queries that run the model matchers with the offline client."""
+"""Queries over the model matchers: prompts, replay of kept decisions, the offline client."""
 
 from __future__ import annotations
 
@@ -6,11 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.matchers.clients import WordOverlapClient
-from pairwright.matchers.pipelines import agent_answers, single_answers
+from pairwright.matchers.pipelines import FIELDS, agent_answers, match_with_replay, single_answers
 from pairwright.matchers.prompts import pair_prompt
-from pairwright.operators.lookup import attach_products
+from pairwright.operators.lookup import attach_products, input_position, take_pairs
+from pairwright.operators.metrics import KEYS
 from pairwright.plans import standins as B
 from pairwright.plans.registry import registered
+from pairwright.session import scratch_path
+
+#: Confidence from which the earlier run's decisions are kept in the replay, and the pairs of a short run.
+SURE, FIRST = 0.75, 1000
 
 _OVERLAP_SQL = "WITH " + B.PAIRED_SQL + """,
 sets AS (
@@ -71,3 +76,50 @@ def pair_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     goods = B.products(spark, sf_dir)
     joined = attach_products(B.successor_pairs(spark, sf_dir), goods, goods)
     return joined.select("source_id", "target_id", F.md5(pair_prompt(True)).alias("prompt_md5"))
+
+
+@registered(
+    "WITH " + B.DECISIONS_SQL + f""",
+runs AS (SELECT * FROM decisions WHERE pipeline = 'single_llm'),
+sure AS (SELECT source_id, target_id FROM runs WHERE run = 0 AND confidence >= {SURE})
+SELECT source_id, target_id, run, verdict, confidence, parse_error, tokens
+FROM runs LEFT JOIN sure s USING (source_id, target_id)
+WHERE run = CASE WHEN s.source_id IS NULL THEN 1 ELSE 0 END
+"""
+)
+def replayed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sure decisions of run 0 are kept, run 1 answers what is missing, run 2 is never asked."""
+    runs = B.decisions(spark, sf_dir).filter("pipeline = 'single_llm'").withColumn("reasoning", F.col("run").cast("string"))
+    path = scratch_path(spark)
+
+    def answered(run: int, pairs: DataFrame) -> DataFrame:
+        def look_up(misses: DataFrame, *_: object) -> DataFrame:
+            found = runs.filter(F.col("run") == run).join(misses, KEYS, "left_semi")
+            return found.select(
+                *[(F.col(n) if n in found.columns else F.lit(None)).cast(kind).alias(n) for n, kind in FIELDS.items()]
+            )
+
+        return match_with_replay(look_up, pairs, None, None, None, path)
+
+    answered(0, runs.filter((F.col("run") == 0) & (F.col("confidence") >= SURE)))
+    every = B.decision_labels(spark, sf_dir)
+    answered(1, every)
+    return answered(2, every).select(
+        *KEYS, F.col("reasoning").cast("int").alias("run"), "verdict", "confidence", "parse_error", "tokens"
+    )
+
+
+@registered(
+    "SELECT CAST(l_orderkey AS VARCHAR) AS source_id, CAST(l_partkey AS VARCHAR) AS target_id, "
+    f"CAST(l_linenumber AS INT) AS line FROM lineitem LIMIT {FIRST}"
+)
+def first_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of a short run: those a sequential reader of the table meets first."""
+    rows = B.table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("ltable_id"), F.col("l_partkey").alias("rtable_id"), "l_linenumber",
+        input_position().alias("position"),
+    )
+    return take_pairs(rows, FIRST, ["ltable_id", "rtable_id"]).select(
+        F.col("ltable_id").cast("string").alias("source_id"), F.col("rtable_id").cast("string").alias("target_id"),
+        F.col("l_linenumber").cast("int").alias("line"),
+    )

@@ -55,6 +55,13 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new place in the shared checkpoint folder, deleted when the driver's process ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/pairwright-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
     """Cut the lineage of ``frame`` by writing it to the shared checkpoint folder.
 
@@ -63,7 +70,6 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     deleted when the driver's process ends.
     """
     spark = frame.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/pairwright-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     frame.write.parquet(path)
-    atexit.register(_remove, spark, path)
     return spark.read.schema(frame.schema).parquet(path)

@@ -6,8 +6,11 @@ import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from pairwright.operators.lookup import input_position
+
 # File names of a dataset directory.
 DATASET_FILES = {
     "sources": "tableA.csv",
@@ -33,10 +36,15 @@ class Dataset:
     test: DataFrame
 
 
-def _csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
-    """CSV by header name: quoted fields may hold commas, quotes and line breaks."""
-    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
-    return raw.select(*[F.col(name).cast(kind).alias(name) for name, kind in columns.items()])
+def _csv(spark: SparkSession, path: str, columns: dict[str, str], line_breaks: bool) -> DataFrame:
+    """CSV by header name, with the ``position`` of each row in the input.
+
+    Quoted fields may hold commas and quotes, and where ``line_breaks`` says so, line
+    breaks; such files are read by one task each, all others are split.
+    """
+    raw = spark.read.csv(path, header=True, multiLine=line_breaks, quote='"', escape='"', inferSchema=False)
+    typed = [F.col(name).cast(kind).alias(name) for name, kind in columns.items()]
+    return raw.select(*typed, input_position().alias("position"))
 
 
 def read_products(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +53,7 @@ def read_products(spark: SparkSession, path: str) -> DataFrame:
     Numeric prices are rendered as the number they are, as in ``199.0``;
     ``price_num`` keeps the number, null where there is none.
     """
-    raw = _csv(spark, path, _PRODUCT)
+    raw = _csv(spark, path, _PRODUCT, True)
     number = F.col("price").try_cast("double")
     return raw.select(
         "id",
@@ -56,19 +64,21 @@ def read_products(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    return _csv(spark, path, _PAIR)
+def read_pairs(spark: SparkSession, path: str, position: bool = False) -> DataFrame:
+    """Labeled pairs, on request with their place in the input; ids hold no line breaks, so files are split."""
+    pairs = _csv(spark, path, _PAIR, False)
+    return pairs if position else pairs.drop("position")
 
 
 def load_dataset(spark: SparkSession, directory: str) -> Dataset:
-    """The five tables of a dataset directory; missing files raise when read."""
+    """The five tables of a dataset directory, pairs with their ``position``; missing files raise when read."""
     at = {name: f"{directory.rstrip('/')}/{file}" for name, file in DATASET_FILES.items()}
     return Dataset(
         sources=read_products(spark, at["sources"]),
         targets=read_products(spark, at["targets"]),
-        train=read_pairs(spark, at["train"]),
-        valid=read_pairs(spark, at["valid"]),
-        test=read_pairs(spark, at["test"]),
+        train=read_pairs(spark, at["train"], position=True),
+        valid=read_pairs(spark, at["valid"], position=True),
+        test=read_pairs(spark, at["test"], position=True),
     )
 
 
@@ -87,19 +97,26 @@ def load_candidates(spark: SparkSession, path: str, file_format: str = "parquet"
     return spark.read.schema(_CANDIDATE).parquet(path)
 
 
+def save_text(spark: SparkSession, text: str, path: str) -> None:
+    """One small document, written by a task to wherever Spark can write."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path, lineSep="\n\n")
+
+
 def save_parameters(spark: SparkSession, result: dict, path: str) -> None:
     """Tuned parameters as one small JSON document on shared storage."""
-    text = json.dumps(result, indent=2, default=str)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path, lineSep="\n\n")
+    save_text(spark, json.dumps(result, indent=2, default=str), path)
 
 
 def load_parameters(spark: SparkSession, path: str) -> tuple[dict | None, float]:
-    """Tuned parameters and threshold, ``(None, 0.5)`` when there are none."""
-    from pyspark.errors import AnalysisException
+    """Tuned parameters and threshold, ``(None, 0.5)`` when there are none.
 
+    Only a missing path counts as none; whatever else goes wrong is raised.
+    """
     try:
         rows = spark.read.text(path, wholetext=True).collect()
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None, 0.5
     found = json.loads(rows[0]["value"])
     return found["best_params"], float(found.get("best_threshold", 0.5))

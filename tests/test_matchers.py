@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from pairwright.matchers import pipelines as P
 from pairwright.matchers.clients import Reply, ServiceClient, WordOverlapClient
@@ -46,6 +47,25 @@ def _goods(spark):
     return spark.createDataFrame(rows, "id string, name string, description string, price string")
 
 
+def test_repeated_and_concurrent_batches_do_not_double(spark, tmp_path):
+    goods = _goods(spark)
+    pairs = spark.createDataFrame([("1", "2"), ("1", "3"), ("1", "3")], "source_id string, target_id string")
+    path = str(tmp_path / "decisions")
+    assert P.match_with_replay(P.single_answers, pairs, goods, goods, WordOverlapClient, path).count() == 3
+    first = P.kept_decisions(spark, path)
+    assert first.count() == 2
+    # Another driver answers one of the keys otherwise, and a lost one is answered twice in a batch.
+    late = first.filter("target_id = '3'").selectExpr("* EXCEPT (verdict)", "'MATCH' AS verdict")
+    late.unionByName(late.withColumn("target_id", F.lit("4"))).write.parquet(path + "/batch=000000001-other")
+    kept = {r["target_id"]: r["verdict"] for r in P.kept_decisions(spark, path).collect()}
+    assert kept == {"2": "MATCH", "3": "NO MATCH", "4": "MATCH"} and P.kept_decisions(spark, path).count() == 3
+    # The folder of runs is read as one table.
+    P.match_with_replay(P.single_answers, pairs, goods, goods, WordOverlapClient, str(tmp_path / "many" / "run=0"))
+    P.match_with_replay(P.single_answers, pairs, goods, goods, WordOverlapClient, str(tmp_path / "many" / "run=1"))
+    runs = P.kept_decisions(spark, str(tmp_path / "many"), {"run": "int"})
+    assert runs.groupBy("run").count().orderBy("run").collect() == [(0, 2), (1, 2)]
+
+
 def _refuse():
     raise AssertionError("a kept decision must not be asked again")
 

@@ -196,3 +196,26 @@ def test_error_categories(spark, column, cases):
     frame = spark.createDataFrame([(i, *values) for i, (values, _) in enumerate(cases)], schema)
     rows = with_error_categories(frame).orderBy("i").collect()
     assert [r[column] for r in rows] == [expected for _, expected in cases]
+
+
+def test_first_pairs_are_those_of_a_sequential_reader(spark, tmp_path):
+    lines = {"a.csv": 3000, "b.csv": 500}
+    for name, n in lines.items():
+        rows = "".join(f"{name[0]}{n - i},t{i},1\n" for i in range(n))
+        (tmp_path / name).write_text("ltable_id,rtable_id,label\n" + rows)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        pairs = S.read_pairs(spark, str(tmp_path), position=True)
+        assert pairs.rdd.getNumPartitions() > 4
+        for n in (1, 2, 2999, 3001, 3400, 9999):
+            taken = take_pairs(pairs, n, ["ltable_id"]).select("ltable_id").collect()
+            expected = [f"a{3000 - i}" for i in range(3000)] + [f"b{500 - i}" for i in range(500)]
+            assert sorted(r[0] for r in taken) == sorted(expected[:n])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_unreadable_parameters_are_not_missing_ones(spark, tmp_path):
+    (tmp_path / "p").write_text("{}")
+    with pytest.raises(KeyError):
+        S.load_parameters(spark, str(tmp_path / "p"))
