@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import argparse
 import logging
-from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -12,9 +11,9 @@ from pairwright import evaluation as E
 from pairwright.matchers.clients import ServiceClient, WordOverlapClient
 from pairwright.session import ship_package
 from pairwright.sources.reports import evaluation_report, save_json
-from pairwright.sources.tables import load_dataset
+from pairwright.sources.tables import load_dataset, save_text
 
-PIPELINES = ("blocking", "single-llm", "multi-agent", "magellan", "magellan-tune", "evaluate-all")
+PIPELINES = ("blocking", "single-llm", "multi-agent", "magellan", "magellan-tune", "evaluate-all", "reports")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -47,9 +46,11 @@ def run(arguments: list[str] | None = None) -> dict:
         return E.run_tuning(data, parameters)
     if args.pipeline == "evaluate-all":
         results = E.run_evaluation(data, factory, f"{args.out}/decisions", args.runs, parameters)
-        save_json(results, f"{args.out}/evaluation_results.json")
-        Path(f"{args.out}/preliminary_results.md").write_text(evaluation_report(results))
+        save_json(spark, results, f"{args.out}/evaluation_results")
+        save_text(spark, evaluation_report(results), f"{args.out}/preliminary_results")
         return results
+    if args.pipeline == "reports":
+        return E.run_reports(data, f"{args.out}/decisions", f"{args.out}/reports")
     agents = args.pipeline == "multi-agent"
     kept = f"{args.out}/decisions/{args.pipeline.replace('-', '_')}"
     return E.run_model(data, agents, factory, kept, args.max_pairs)

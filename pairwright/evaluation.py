@@ -6,14 +6,17 @@ import time
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairwright.matchers.pipelines import (
     ClientFactory,
     agent_answers,
+    kept_decisions,
     match_with_replay,
     single_answers,
 )
 from pairwright.operators import blocking as K
+from pairwright.operators.agreement import PIPELINES
 from pairwright.operators.features import (
     FEATURE_NAMES,
     feature_summary,
@@ -28,10 +31,11 @@ from pairwright.operators.forest import (
     train_matcher,
     tune_forest,
 )
-from pairwright.operators.lookup import ground_truth, pair_candidates
+from pairwright.operators.lookup import ground_truth, label_lookup, pair_candidates
 from pairwright.operators.metrics import RUN_METRICS, match_metrics, run_mean_and_spread
 from pairwright.session import checkpointed
-from pairwright.sources.tables import Dataset, load_parameters, save_candidates, save_parameters
+from pairwright.sources import reports as R
+from pairwright.sources.tables import Dataset, load_parameters, save_candidates, save_parameters, save_text
 
 # Fixed value: the most evaluation runs.
 MAX_RUNS = 5
@@ -93,6 +97,42 @@ def run_model(
     return _scored(decided, data, started)
 
 
+def kept_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The kept decisions of both model matchers over all runs, agents side by side."""
+    frames = [
+        kept_decisions(spark, f"{folder}/{name}", {"run": "int"}).withColumn("pipeline", F.lit(name)) for name in PIPELINES
+    ]
+    agents = [
+        F.col(f"{agent}.{field}").alias(f"{agent[:3]}_{field}")
+        for agent in ("syntactic", "semantic") for field in ("verdict", "confidence")
+    ]
+    return frames[0].unionByName(frames[1]).select("*", *agents).drop("syntactic", "semantic")
+
+
+def run_reports(data: Dataset, folder: str, out: str) -> dict:
+    """Statistics and reports of the kept runs, each a small document below ``out``.
+
+    Keys are checked first: nothing is written from runs that don't fit the test split.
+    The errors themselves are written by executors, as CSV.
+    """
+    spark = data.test.sparkSession
+    decisions, labels = checkpointed(kept_runs(spark, folder)), label_lookup(data.test)
+    payload = R.statistics_payload(decisions, labels)
+    R.save_json(spark, payload, f"{out}/canonical_statistics")
+    written = {"statistics": R.statistics_report(payload)}
+    labeled = decisions.join(labels, ["source_id", "target_id"])
+    single, multi = (decisions.filter(F.col("pipeline") == name) for name in PIPELINES)
+    written["arbitration"] = R.arbitration_report(labeled.filter(F.col("pipeline") == PIPELINES[1]))
+    first = [rows.filter("run = 0") for rows in (single, multi)]
+    written["supplementary"] = R.supplementary_report(*first, labels)
+    for name in PIPELINES:
+        mine = labeled.filter((F.col("pipeline") == name) & (F.col("run") == 0))
+        written[f"errors_{name}"] = R.error_report(mine, data.sources, data.targets, f"{out}/errors_{name}_listing")
+    for name, text in written.items():
+        save_text(spark, text, f"{out}/{name}_report")
+    return {name: f"{out}/{name}_report" for name in written}
+
+
 def run_evaluation(
     data: Dataset, factory: ClientFactory, folder: str, runs: int = MAX_RUNS, parameters: str | None = None
 ) -> dict:

@@ -65,6 +65,43 @@ def key_gaps(decisions: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+#: What can be wrong with the rows of a run, in the order it is reported.
+RULES = ("missing key", "unlabeled key", "repeated key", "malformed verdict", "malformed tokens")
+
+
+def run_violations(decisions: DataFrame, labels: DataFrame) -> DataFrame:
+    """``pipeline, run, rule, keys``: how many keys of a run break a rule, rules kept left out.
+
+    Repeated labels are a row of pipeline ``labels`` without a run. Decisions are counted
+    by run and key first, so that nothing is gathered and repeated rows meet once.
+    """
+    bad_verdict = ~F.coalesce(F.col("verdict").isin("MATCH", "NO MATCH"), F.lit(False))
+    bad_tokens = ~F.coalesce(F.col("tokens") >= 0, F.lit(False))
+    held = decisions.groupBy("pipeline", "run", *KEYS).agg(
+        F.count("*").alias("rows"), F.max(bad_verdict).alias("bad_verdict"), F.max(bad_tokens).alias("bad_tokens")
+    )
+    known = labels.groupBy(*KEYS).agg(F.count("*").alias("labels"))
+    size = known.agg(F.count("*").alias("labeled"), count_if(F.col("labels") > 1).alias("keys"))
+    per_run = (
+        held.join(known, KEYS, "left").groupBy("pipeline", "run")
+        .agg(
+            count_if(F.col("labels").isNotNull()).alias("met"),
+            count_if(F.col("labels").isNull()).alias(RULES[1]),
+            count_if(F.col("rows") > 1).alias(RULES[2]),
+            count_if(F.col("bad_verdict")).alias(RULES[3]),
+            count_if(F.col("bad_tokens")).alias(RULES[4]),
+        )
+        .join(size.select("labeled"))
+        .withColumn(RULES[0], F.col("labeled") - F.col("met"))
+    )
+    of_runs = per_run.unpivot(["pipeline", "run"], list(RULES), "rule", "keys")
+    of_labels = size.select(
+        F.lit("labels").alias("pipeline"), F.lit(None).cast(decisions.schema["run"].dataType).alias("run"),
+        F.lit("repeated label").alias("rule"), "keys",
+    )
+    return of_runs.unionByName(of_labels).filter("keys > 0")
+
+
 def pattern_counts(patterns: DataFrame) -> DataFrame:
     seen = [c for c in ("single_seen", "multi_seen") if c in patterns.columns]
     return patterns.groupBy("label", "single_mask", "multi_mask", *seen).agg(F.count("*").alias("pairs"))

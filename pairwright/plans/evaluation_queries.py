@@ -185,6 +185,41 @@ def run_key_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.key_gaps(_uneven(spark, sf_dir), B.decision_labels(spark, sf_dir))
 
 
+# Runs with every fault: missing and repeated keys, odd verdicts and token counts; labels lack a part of the keys.
+_ODD_SQL = """CASE WHEN confidence = 0.5 THEN 'MAYBE' ELSE verdict END"""
+_UNLABELED = "CAST(source_id AS BIGINT) % 7 = 3"
+
+
+@registered(
+    "WITH " + B.DECISIONS_SQL + f""",
+flawed AS (
+  SELECT pipeline, run, source_id, target_id, {_ODD_SQL} AS verdict,
+         CASE WHEN confidence = 1.0 THEN -1 ELSE tokens END AS tokens, unnest(range(CASE WHEN parse_error THEN 2 ELSE 1 END))
+  FROM decisions WHERE {_HOLES}),
+known AS (SELECT DISTINCT source_id, target_id FROM decisions WHERE NOT {_UNLABELED}),
+held AS (
+  SELECT pipeline, run, source_id, target_id, count(*) AS n, max(verdict = 'MAYBE') AS odd, max(tokens < 0) AS negative
+  FROM flawed GROUP BY ALL),
+joined AS (SELECT h.*, k.source_id IS NOT NULL AS met FROM held h LEFT JOIN known k USING (source_id, target_id)),
+counted AS (
+  SELECT pipeline, run, (SELECT count(*) FROM known) - count(*) FILTER (met) AS "missing key",
+         count(*) FILTER (NOT met) AS "unlabeled key", count(*) FILTER (n > 1) AS "repeated key",
+         count(*) FILTER (odd) AS "malformed verdict", count(*) FILTER (negative) AS "malformed tokens"
+  FROM joined GROUP BY 1, 2)
+SELECT pipeline, run, rule, CAST(keys AS BIGINT) AS keys
+FROM (UNPIVOT counted ON COLUMNS(* EXCLUDE (pipeline, run)) INTO NAME rule VALUE keys) WHERE keys > 0
+"""
+)
+def run_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    copies = F.when(F.col("parse_error"), F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    flawed = _uneven(spark, sf_dir).select(
+        "pipeline", "run", *M.KEYS, F.expr(_ODD_SQL).alias("verdict"),
+        F.when(F.col("confidence") == 1.0, F.lit(-1)).otherwise(F.col("tokens")).alias("tokens"),
+        F.explode(copies).alias("copy"),
+    )
+    return G.run_violations(flawed, B.decision_labels(spark, sf_dir).filter(f"NOT {_UNLABELED}"))
+
+
 @registered(
     _RUNS_SQL + "SELECT pipeline, count(*) AS n, round(avg(f), 6) AS mean, round(stddev_samp(f), 6) AS sample_sd FROM runs GROUP BY 1"
 )

@@ -8,9 +8,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Sequence
-from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.functions.verdict import dollars, shortened
@@ -19,16 +18,18 @@ from pairwright.operators import decisions as D
 from pairwright.operators import metrics as M
 from pairwright.operators.lookup import PRODUCT_FIELDS
 from pairwright.operators.taxonomy import with_error_categories
+from pairwright.sources.cache import CacheValidationError
+from pairwright.sources.tables import save_text
 
 
 def canonical_json(payload: object) -> str:
     """Sorted keys and a final newline, so that equal results are equal bytes."""
-    return json.dumps(payload, indent=2, sort_keys=True) + "\n"
+    return json.dumps(payload, indent=2, sort_keys=True, default=str) + "\n"
 
 
-def save_json(payload: object, path: str | Path) -> None:
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(payload, indent=2))
+def save_json(spark: SparkSession, payload: object, path: str) -> None:
+    """Canonical JSON on shared storage, written by a task."""
+    save_text(spark, canonical_json(payload), path)
 
 
 def spread_cell(mean: float, std: float, digits: int = 4) -> str:
@@ -145,13 +146,51 @@ def arbitration_report(agents: DataFrame) -> str:
     return "\n".join(lines) + "\n"
 
 
+def supplementary_report(single: DataFrame, multi: DataFrame, labels: DataFrame) -> str:
+    """Combinations of the pipelines, agents alone, calibration and disagreements of one run of each."""
+    both = D.side_by_side(single, multi, labels)
+    agents = multi.join(labels.select(*M.KEYS, "label"), M.KEYS)
+    rates = ("tp", "fp", "fn", "tn", "precision", "recall", "f1")
+
+    def policies(frame: DataFrame) -> list[str]:
+        rows = [
+            [r["policy"], *(f"{r[c]:.4f}" if isinstance(r[c], float) else r[c] for c in rates)]
+            for r in frame.orderBy("policy").collect()
+        ]
+        return markdown_table(("Policy", *(c.upper() if len(c) == 2 else c.capitalize() for c in rates)), rows)
+
+    means = ("avg_all", "avg_correct", "avg_incorrect", "calibration_gap")
+    calibrated = []
+    for name, rows in (("Single", single), ("Multi", multi)):
+        row = D.calibration(rows.join(labels.select(*M.KEYS, "label"), M.KEYS), []).first()
+        calibrated.append([name, *(f"{row[c]:.4f}" for c in means)])
+    patterns = D.percentage_by(multi.select(D.override_pattern().alias("pattern")), "pattern")
+    parts = sorted((-r["rows"], r["pattern"], f"{r['percent']:.1f}%") for r in patterns.collect())
+    wins = D.disagreement_wins(both).first().asDict()
+    lines = ["# Supplementary Analysis", "", "## Ensembles", *policies(D.ensemble_policies(both))]
+    lines += ["", "## Agents alone", *policies(D.agent_counterfactual(agents))]
+    lines += ["", "## Calibration", *markdown_table(("Pipeline", "All", "Correct", "Wrong", "Gap"), calibrated)]
+    lines += ["", "## Overrides", *markdown_table(("Pattern", "Pairs", "%"), [(p, -n, share) for n, p, share in parts])]
+    lines += ["", "## Disagreements", *markdown_table(("Measure", "Pairs"), wins.items())]
+    return "\n".join(lines) + "\n"
+
+
+def checked_runs(decisions: DataFrame, labels: DataFrame) -> None:
+    """Raise with every broken rule of every run before anything is computed from them."""
+    found = G.run_violations(decisions, labels).orderBy("pipeline", "run", "rule").collect()
+    if found:
+        listed = "; ".join(f"{r['pipeline']} run {r['run']}: {r['keys']} x {r['rule']}" for r in found)
+        raise CacheValidationError(f"decisions and labels do not fit; {listed}")
+
+
 def statistics_payload(decisions: DataFrame, labels: DataFrame) -> dict:
-    """Every run-level statistic, as nested plain values."""
+    """Every run-level statistic, as nested plain values, of decisions that break no rule."""
     from pairwright.operators.inference import bootstrap_effects, bootstrap_range, permutation_test
     from pairwright.session import checkpointed
-    from pairwright.sources.cache import decision_line, label_line, multiset_digest, unique_labels
+    from pairwright.sources.cache import decision_line, label_line, multiset_digest
 
-    patterns = checkpointed(G.pair_patterns(decisions, unique_labels(labels)))
+    checked_runs(decisions, labels)
+    patterns = checkpointed(G.pair_patterns(decisions, labels))
     counts = G.pattern_counts(patterns)
     runs = checkpointed(G.confusion_by_run(counts))
     ordered = [r.asDict() for r in runs.orderBy("pipeline", "run").collect()]

@@ -1,9 +1,13 @@
 import json
 
+import pytest
+
 from pairwright import cli, evaluation
 from pairwright.matchers.clients import WordOverlapClient
+from pairwright.operators.lookup import label_lookup
 from pairwright.plans import standins as B
 from pairwright.sources import reports as R
+from pairwright.sources.cache import CacheValidationError
 from pairwright.sources.tables import load_dataset
 from pairwright.streaming.decision_log import follow_documents, running_confusion
 
@@ -36,6 +40,30 @@ def test_command_line_and_full_evaluation(spark, tmp_path):
     assert "| Precision |" in text and "+/-" in text
 
 
+def test_reports_of_kept_runs(spark, tmp_path):
+    data_dir, out = _dataset(tmp_path), str(tmp_path / "out")
+    data = load_dataset(spark, data_dir)
+    for run in range(5):
+        for agents, name in ((False, "single_llm"), (True, "multi_agent")):
+            evaluation.run_model(data, agents, WordOverlapClient, f"{out}/decisions/{name}/run={run}")
+    written = cli.run(["reports", "--data", data_dir, "--out", out])
+    assert set(written) == {"statistics", "arbitration", "supplementary", "errors_single_llm", "errors_multi_agent"}
+    payload = json.loads(spark.read.text(f"{out}/reports/canonical_statistics", wholetext=True).first()[0])
+    assert len(payload["per_run"]) == 10 and payload["agreement"]["n_pairings"] == 25
+    text = spark.read.text(written["supplementary"], wholetext=True).first()[0]
+    assert all(f"## {part}" in text for part in ("Ensembles", "Agents alone", "Calibration", "Overrides", "Disagreements"))
+    # A run that lacks a pair stops the reports before anything is computed.
+    runs = evaluation.kept_runs(spark, f"{out}/decisions")
+    labels = label_lookup(data.test)
+    lost = runs.filter("NOT (run = 3 AND source_id = 'a0')")
+    with pytest.raises(CacheValidationError, match="run 3: .* missing key"):
+        R.statistics_payload(lost, labels)
+    with pytest.raises(CacheValidationError, match="repeated label"):
+        R.checked_runs(runs, labels.unionByName(labels.limit(1)))
+    empty = runs.limit(0)
+    assert evaluation.R.G.run_violations(empty, labels.limit(0)).count() == 0
+
+
 def test_registered_sql_functions(spark):
     from pairwright.functions.sql import register_functions
 
