@@ -94,13 +94,19 @@ def _review(agents: tuple[str, ...]) -> Column:
 def agent_answers(pairs: DataFrame, sources: DataFrame, targets: DataFrame, factory: ClientFactory) -> DataFrame:
     """Two agents and an orchestrator per pair; a missing product is an unreadable NO MATCH.
 
+    Each agent gets what its tools measure with the question, as Spark computes it.
     Where the orchestrator's reply can't be read, the agents' consensus stands in.
     """
     flagged = attach_products_or_flag(pairs.select(*KEYS), sources, targets)
     known = spread(flagged.filter(~F.col("missing_product")), *KEYS)
-    rows = known.select(*KEYS, P.pair_prompt(False).alias("question"))
-    rows = _asked(rows, factory, P.SYNTACTIC_INSTRUCTIONS, F.col("question"), "syntactic")
-    rows = _asked(rows, factory, P.SEMANTIC_INSTRUCTIONS, F.col("question"), "semantic")
+    rows = known.select(
+        *KEYS,
+        P.pair_prompt(False).alias("question"),
+        P.syntactic_results().alias("measured"),
+        P.semantic_results().alias("priced"),
+    )
+    rows = _asked(rows, factory, P.SYNTACTIC_INSTRUCTIONS, F.concat("question", "measured"), "syntactic").drop("measured")
+    rows = _asked(rows, factory, P.SEMANTIC_INSTRUCTIONS, F.concat("question", "priced"), "semantic").drop("priced")
     rows = _asked(rows, factory, P.ORCHESTRATOR_INSTRUCTIONS, _review(("syntactic", "semantic")), "final")
     named = rows.withColumns(
         {f"{short}_{n}": F.col(f"{agent}.{n}") for short, agent in (("syn", "syntactic"), ("sem", "semantic")) for n in ("verdict", "confidence")}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairwright.functions.similarity import display_price
+from pairwright.functions.alignment import tool_edit_distance
+from pairwright.functions.similarity import compare_prices, display_price, tool_bm25, tool_jaccard
 
 # Instructions and layouts the models are given.
 SINGLE_INSTRUCTIONS = """You are an expert at entity resolution. Your task is to determine whether two product listings refer to the same real-world product.
@@ -75,6 +76,22 @@ REVIEW_LAYOUT = (
 )
 
 
+#: What each agent's measurements say, put after the question instead of a round of tool calls.
+SYNTACTIC_LAYOUT = "\n\nTool results:\n  Edit distance: %.4f\n  Jaccard similarity: %.4f\n  BM25 relevance: %.4f"
+SEMANTIC_LAYOUT = "\n\nTool results:\n  Price comparison: %s\n  Embedding cosine similarity: not available"
+
+
+def syntactic_results() -> Column:
+    """The three string measures of the two names."""
+    names = F.col("source_name"), F.col("target_name")
+    return F.format_string(SYNTACTIC_LAYOUT, tool_edit_distance(*names), tool_jaccard(*names), tool_bm25(*names))
+
+
+def semantic_results() -> Column:
+    """The price comparison as JSON; no encoder is bundled, and the agent is told so."""
+    return F.format_string(SEMANTIC_LAYOUT, F.to_json(compare_prices(F.col("source_price"), F.col("target_price"))))
+
+
 def pair_prompt(clean_prices: bool) -> Column:
     """The question about one pair; the single call hides missing prices, the agents see them."""
 

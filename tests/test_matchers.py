@@ -36,6 +36,26 @@ def test_orchestrator_fallback_and_agent_errors(spark):
     assert (row["prediction"], row["parse_error"]) == (1, True)
 
 
+def test_agents_see_what_their_tools_measure(spark):
+    pairs = spark.createDataFrame([("1", "2"), ("1", "3")], "source_id string, target_id string")
+    reply_of, syntactic, semantic = Reply, P.P.SYNTACTIC_INSTRUCTIONS, P.P.SEMANTIC_INSTRUCTIONS
+    answer = _verdict("MATCH")
+
+    class Reading:
+        def complete(self, messages):
+            told, question = (m["content"] for m in messages)
+            if told == syntactic:
+                assert all(f"  {name}: " in question for name in ("Edit distance", "Jaccard similarity", "BM25 relevance"))
+            elif told == semantic:
+                assert "Price comparison: {" in question and "Edit distance" not in question
+            else:
+                assert "Tool results" not in question
+            return reply_of(answer, 1)
+
+    rows = P.agent_answers(pairs, _goods(spark), _goods(spark), lambda: Reading()).collect()
+    assert [(r["verdict"], r["parse_error"]) for r in rows] == [("MATCH", False)] * 2
+
+
 def test_service_client_needs_a_key(monkeypatch):
     monkeypatch.delenv("OPENAI_API_KEY", raising=False)
     with pytest.raises(ValueError):
