@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.functions.verdict import dollars, parse_verdict, shortened
-from pairwright.operators.lookup import attach_products, rename_pair_keys, spread
-from pairwright.operators.taxonomy import color_words, model_numbers, with_error_categories
+from pairwright.operators.lookup import rename_pair_keys, spread
+from pairwright.operators.taxonomy import COLORS, color_words, model_numbers, with_error_categories
 from pairwright.plans import standins as B
 from pairwright.plans.registry import registered
 from pairwright.sources import cache as C
@@ -54,15 +54,9 @@ def replies_without_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("event_id", "p.*")
 
 
-_COLOR_LIST = (
-    "black|white|silver|red|blue|green|gold|pink|gray|grey|purple|brown|orange|yellow|beige|ivory|chrome|graphite|"
-    "titanium|platinum|midnight|space gray|rose gold|matte|glossy"
-)
-
-
 def _colors_sql(text: str) -> str:
     ascii_only = f"regexp_replace(lower({text}), '[^\\x00-\\x7F]', 'x', 'g')"
-    return f"list_sort(list_distinct(regexp_extract_all({ascii_only}, '\\b({_COLOR_LIST})\\b', 1)))"
+    return f"list_sort(list_distinct(regexp_extract_all({ascii_only}, '\\b({'|'.join(COLORS)})\\b', 1)))"
 
 
 @registered(
@@ -96,25 +90,38 @@ def _taxonomy_sql() -> str:
     def hints(groups: dict[str, tuple[str, ...]]) -> str:
         return " ".join(f"WHEN {_any(words, 'why')} THEN '{category}'" for category, words in groups.items())
 
+    def models(name: str) -> str:
+        return f"list_sort(list_distinct(regexp_extract_all({name}, '\\b([a-z]{{1,5}}-?[0-9]{{2,}}[a-z]?)\\b', 1)))"
+
+    half = "(least(length(x), length(y)) // 2)"
+    akin = f"{half} >= 2 AND x[1:{half}] = y[1:{half}]"
     return (
-        "WITH " + B.PAIRED_SQL + f""",
+        "WITH " + B.EXPLAINED_SQL + f""",
 low AS (
   SELECT source_id, target_id, lower(source_name) AS sn, lower(target_name) AS tn, lower(source_description) AS sd,
-         lower(target_description) AS td, lower(source_name || ' or ' || target_name || ' at price ' || source_price) AS why
-  FROM paired),
+         lower(target_description) AS td, lower(reasoning) AS why, source_number AS sp, target_number AS tp
+  FROM explained),
 facts AS (
   SELECT *, {_colors_sql("sn || ' ' || sd")} AS sc, {_colors_sql("tn || ' ' || td")} AS tc,
          {forms('sn', 'sd')} AS sf, {forms('tn', 'td')} AS tf,
          {_any(X.ACCESSORIES, 'sn', 'sd')} AS sa, {_any(X.ACCESSORIES, 'tn', 'td')} AS ta,
          {_any(X.GENERIC, 'sn', 'sd')} AS sg, {_any(X.GENERIC, 'tn', 'td')} AS tg,
-         list_distinct(string_split(sn, ' ')) AS sw, list_distinct(string_split(tn, ' ')) AS tw
+         list_distinct(string_split(sn, ' ')) AS sw, list_distinct(string_split(tn, ' ')) AS tw,
+         {models('sn')} AS sm, {models('tn')} AS tm
   FROM low)
 SELECT source_id, target_id,
        CASE WHEN len(sc) > 0 AND len(tc) > 0 AND sc <> tc THEN 'color variant'
             WHEN len(sf) > 0 AND len(tf) > 0 AND sf <> tf THEN 'form factor'
-            WHEN sa <> ta THEN 'accessory confusion' WHEN sg <> tg THEN 'generic vs specific'
+            WHEN sa <> ta THEN 'accessory confusion'
+            WHEN len(sm) > 0 AND len(tm) > 0 AND sm <> tm
+                 AND len(list_filter(sm, lambda x: len(list_filter(tm, lambda y: {akin})) > 0)) > 0 THEN 'model variant'
+            WHEN sg <> tg THEN 'generic vs specific'
             {hints(X.FALSE_POSITIVE_HINTS)} ELSE 'other' END AS fp_category,
        CASE WHEN length(sd) < 10 OR length(td) < 10 THEN 'sparse description'
+            WHEN sp > 0 AND tp > 0 AND greatest(sp, tp) / least(sp, tp) > 1.5 AND {_any(X.PRICE_WORDS, 'why')} THEN 'price mismatch'
+            WHEN len(sm) > 0 AND len(tm) > 0 AND sm <> tm
+                 AND len(list_intersect(list_transform(sm, lambda x: replace(x, '-', '')), list_transform(tm, lambda x: replace(x, '-', '')))) > 0
+                 THEN 'model number format'
             WHEN len(list_intersect(sw, tw)) / greatest(len(sw), len(tw)) < 0.3 THEN 'name mismatch'
             {hints(X.FALSE_NEGATIVE_HINTS)} ELSE 'other' END AS fn_category
 FROM facts
@@ -123,12 +130,7 @@ FROM facts
 
 
 def _categorized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    goods = B.products(spark, sf_dir)
-    joined = spread(attach_products(B.successor_pairs(spark, sf_dir), goods, goods), "source_id", "target_id")
-    reasoning = F.concat(
-        F.col("source_name"), F.lit(" or "), F.col("target_name"), F.lit(" at price "), F.col("source_price")
-    )
-    return with_error_categories(joined.withColumn("reasoning", reasoning))
+    return with_error_categories(B.explained_pairs(spark, sf_dir))
 
 
 @registered(_taxonomy_sql())
@@ -163,12 +165,20 @@ def shown_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "part").select("p_partkey", dollars(F.col("p_retailprice")).alias("shown"))
 
 
+_CACHES = ("pipeline", "run")
+
+
+def _all_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions of all runs; keys are spread while small, as each makes ten documents."""
+    return B.key_decisions(spread(B.decision_keys(spark, sf_dir), "p", "s"))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cache documents of run 0, a few percent of them with one defect each."""
-    rows = B.decisions(spark, sf_dir).filter("run = 0 AND pipeline = 'single_llm'")
+    """Cache documents of all runs, a few percent of them with one defect each."""
+    rows = _all_decisions(spark, sf_dir)
     p, s = F.col("source_id").cast("bigint"), F.col("target_id").cast("bigint")
     defect = F.col("defect")
-    rows = rows.withColumn("defect", (p * 7 + s * 13) % 100)
+    rows = rows.withColumn("defect", (p * 7 + s * 13 + F.col("run") * 3) % 100)
     prediction = F.struct(
         F.when(defect != 2, F.col("source_id")).alias("source_id"),
         "target_id",
@@ -184,61 +194,63 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.when(defect == 0, "{not json").otherwise(body)
     suffixes = F.when(defect == 7, F.array(F.lit(".json"), F.lit("_again.json"))).otherwise(F.array(F.lit(".json")))
     stem = F.concat_ws("_", "source_id", "target_id").alias("stem")
-    bodies = rows.select(stem, suffixes.alias("suffixes"), body.alias("body"))
-    return bodies.select("stem", F.explode("suffixes").alias("suffix"), "body").select(
-        F.concat("stem", "suffix").alias("file"), "body"
+    bodies = rows.select(*_CACHES, stem, suffixes.alias("suffixes"), body.alias("body"))
+    return bodies.select(*_CACHES, "stem", F.explode("suffixes").alias("suffix"), "body").select(
+        *_CACHES, F.concat("stem", "suffix").alias("file"), "body"
     )
 
 
 _DOCUMENT_SQL = "WITH " + B.DECISIONS_SQL + """,
-one_run AS (
-  SELECT *, (CAST(source_id AS BIGINT) * 7 + CAST(target_id AS BIGINT) * 13) % 100 AS defect, source_id || '_' || target_id AS stem
-  FROM decisions WHERE run = 0 AND pipeline = 'single_llm')
+kept AS (
+  SELECT *, (CAST(source_id AS BIGINT) * 7 + CAST(target_id AS BIGINT) * 13 + run * 3) % 100 AS defect,
+         source_id || '_' || target_id AS stem
+  FROM decisions)
 """
 
 
 @registered(
     _DOCUMENT_SQL + """
-SELECT CASE WHEN defect = 7 THEN stem || '.json, ' || stem || '_again.json' ELSE stem || '.json' END AS file,
+SELECT pipeline, run, CASE WHEN defect = 7 THEN stem || '.json, ' || stem || '_again.json' ELSE stem || '.json' END AS file,
        CASE defect WHEN 0 THEN 'invalid json' WHEN 1 THEN 'malformed verdict' WHEN 2 THEN 'missing source_id' WHEN 3 THEN 'missing tokens'
             WHEN 4 THEN 'malformed tokens' WHEN 5 THEN 'malformed confidence' WHEN 6 THEN 'mirror contradicts verdict' ELSE 'duplicate key' END AS rule,
        CASE defect WHEN 0 THEN '' WHEN 1 THEN 'MAYBE' WHEN 7 THEN '(''' || source_id || ''', ''' || target_id || ''')' ELSE verdict END AS value
-FROM one_run WHERE defect <= 7
+FROM kept WHERE defect <= 7
 """
 )
 def cache_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.violations(_documents(spark, sf_dir))
+    return C.violations(_documents(spark, sf_dir), _CACHES)
 
 
 @registered(
     _DOCUMENT_SQL + """
-SELECT stem || suffix AS file, source_id, target_id, verdict, confidence, parse_error, tokens
-FROM one_run, (SELECT unnest(['.json', '_again.json']) AS suffix) WHERE defect >= 7 AND (suffix = '.json' OR defect = 7)
+SELECT pipeline, run, stem || suffix AS file, source_id, target_id, verdict, confidence, parse_error, tokens
+FROM kept, (SELECT unnest(['.json', '_again.json']) AS suffix) WHERE defect >= 7 AND (suffix = '.json' OR defect = 7)
 """
 )
 def cache_strict_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.strict_records(_documents(spark, sf_dir))
+    return C.strict_records(_documents(spark, sf_dir), _CACHES)
 
 
 @registered(
     "WITH " + B.DECISIONS_SQL + """
-SELECT source_id, target_id, verdict, confidence, parse_error, tokens, syn_verdict, syn_confidence,
+SELECT pipeline || '_' || run || '_' || source_id || '_' || target_id AS file, source_id, target_id, verdict, confidence, parse_error, tokens,
+       coalesce(syn_verdict, 'NO MATCH') AS syn_verdict, coalesce(syn_confidence, 0.0::DOUBLE) AS syn_confidence,
        'NO MATCH' AS sem_verdict, 0.0::DOUBLE AS sem_confidence
-FROM decisions WHERE run = 0 AND pipeline = 'multi_agent'
+FROM decisions
 """
 )
 def cache_lenient_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that lack the semantic agent read as if it had said NO MATCH."""
-    rows = B.decisions(spark, sf_dir).filter("run = 0 AND pipeline = 'multi_agent'")
+    """Documents of all runs; agents that they lack read as if they had said NO MATCH."""
+    rows = _all_decisions(spark, sf_dir)
     agent = F.struct(F.col("syn_verdict").alias("verdict"), F.col("syn_confidence").alias("confidence"))
     prediction = F.struct(
         "source_id", "target_id", "verdict", "confidence", "parse_error", agent.alias("syntactic")
     )
     documents = rows.select(
-        F.concat_ws("_", "source_id", "target_id").alias("file"),
+        F.concat_ws("_", *_CACHES, "source_id", "target_id").alias("file"),
         F.to_json(F.struct(prediction.alias("prediction"), "tokens")).alias("body"),
     )
-    return C.lenient_records(documents).drop("file", "reasoning")
+    return C.lenient_records(documents).drop("reasoning")
 
 
 @registered(
@@ -299,12 +311,12 @@ def labeled_split_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TIMED_SQL = """
 WITH timed AS (
   SELECT CASE event_type WHEN 'click' THEN 'magellan_rf' WHEN 'view' THEN 'single_llm' ELSE 'multi_agent' END AS name,
-         value AS seconds FROM events WHERE value > 0)
+         abs(value) + 1 AS seconds FROM events)
 """
 
 
 def _timing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = B.table(spark, sf_dir, "events").filter("value > 0")
+    events = B.table(spark, sf_dir, "events").withColumn("value", F.abs("value") + 1)
     prefix = (
         F.when(F.col("event_type") == "click", "- Magellan run")
         .when(F.col("event_type") == "view", "- Single LLM run")
@@ -332,15 +344,15 @@ def runtime_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered(
     "WITH " + B.DECISIONS_SQL + "," + B.PRODUCTS_SQL + """
-SELECT d.source_id, d.target_id, coalesce(a.name, '?') AS source_name, coalesce(b.name, '?') AS target_name,
+SELECT d.pipeline, d.run, d.source_id, d.target_id, coalesce(a.name, '?') AS source_name, coalesce(b.name, '?') AS target_name,
        CASE WHEN a.price = 'nan' THEN 'N/A' ELSE printf('$%.2f', CAST(a.price AS DOUBLE)) END AS source_price
 FROM decisions d LEFT JOIN products a ON a.id = d.source_id LEFT JOIN products b ON b.id = d.target_id
-WHERE run = 0 AND pipeline = 'single_llm' AND (verdict = 'MATCH') <> (label = 1)
+WHERE (verdict = 'MATCH') <> (label = 1)
 """
 )
 def described_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Wrongly decided pairs with the products behind them."""
+    """Wrongly decided pairs of all runs with the products behind them."""
     names = B.named_products(spark, sf_dir)
-    decided = B.decisions(spark, sf_dir).filter("run = 0 AND pipeline = 'single_llm'")
-    listed = error_listing(decided.withColumn("reasoning", F.lit("")), names, names)
-    return listed.select("source_id", "target_id", "source_name", "target_name", "source_price")
+    decided = B.decisions(spark, sf_dir).withColumn("reasoning", F.lit(""))
+    listed = error_listing(decided, names, names, _CACHES)
+    return listed.select(*_CACHES, "source_id", "target_id", "source_name", "target_name", "source_price")

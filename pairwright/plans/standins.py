@@ -13,6 +13,8 @@ bound to a whole table that has its shape:
 * decisions: two pipelines times five runs over those keys, where hashes of the
   ids decide which verdicts are wrong, so that both engines derive the same rows;
 * a bootstrap that SQL can follow: the same decisions over (supplier, nation);
+* explained pairs: the successors with model words in the names, two price levels and
+  a reasoning by part key, so that every rule of the error taxonomies applies somewhere;
 * text pairs: every document with its successor, whole texts.
 """
 
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.functions.mixing import MASK, mixed, mixed_sql
-from pairwright.operators.lookup import spread
+from pairwright.operators.lookup import attach_products, spread
 
 RUNS = 5
 #: Factors of the sums that are hashed to decide what goes wrong.
@@ -34,24 +36,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _names_and_prices() -> list[Column]:
+    price = F.when(F.col("p_size") == 50, "nan").otherwise(F.col("p_retailprice").cast("string"))
+    return [F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("name"), price.alias("price")]
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     texts = table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("p_partkey"), F.col("text")
     )
+    name, price = _names_and_prices()
     return part.join(texts, "p_partkey", "left").select(
-        F.col("p_partkey").cast("string").alias("id"),
-        F.concat_ws(" ", "p_brand", "p_name", "p_type").alias("name"),
-        F.coalesce("text", F.lit("")).alias("description"),
-        F.when(F.col("p_size") == 50, "nan")
-        .otherwise(F.col("p_retailprice").cast("string"))
-        .alias("price"),
+        F.col("p_partkey").cast("string").alias("id"), name, F.coalesce("text", F.lit("")).alias("description"), price
     )
 
 
 def named_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products without the long description, for name-only operators."""
-    return products(spark, sf_dir).select("id", "name", F.lit("").alias("description"), "price")
+    name, price = _names_and_prices()
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("id"), name, F.lit("").alias("description"), price
+    )
 
 
 def successor_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +84,36 @@ def labeled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: What is said of a pair, by part key: a hint of every kind, and one that hints at nothing.
+REASONS = (
+    "the colour is another", "another version of it", "compact against full size", "one is an adapter",
+    "one is expensive", "the price is far off", "a different brand", "another identifier", "a sparse listing",
+    "unlike in every way", "cost in $ differs",
+)
+
+
+def explained_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Successor pairs with their products and a reasoning."""
+    goods = products(spark, sf_dir)
+    key = F.col("id").cast("bigint")
+    series, place = (100 + F.floor(key / 8)).cast("string"), key % 8
+    model = (
+        F.when(place.isin(0, 6, 7), F.concat(F.lit("TX-"), series, F.lit("A")))
+        .when(place == 1, F.concat(F.lit("TX-"), series, F.lit("B")))
+        .when(place == 2, F.concat(F.lit("QR"), series))
+        .when(place == 3, F.concat(F.lit("QR-"), series))
+        .when(place == 5, "oem")
+    )
+    dear = F.when(F.col("price") == "nan", "nan").otherwise((F.col("price").cast("double") * 2).cast("string"))
+    goods = goods.withColumns(
+        {"name": F.concat_ws(" ", "name", model), "price": F.when(key % 3 == 0, dear).otherwise(F.col("price"))}
+    )
+    joined = spread(attach_products(successor_pairs(spark, sf_dir), goods, goods), "source_id", "target_id")
+    said = F.array(*map(F.lit, REASONS))
+    turn = (F.col("source_id").cast("bigint") * 7 % len(REASONS)).cast("int")
+    return joined.withColumn("reasoning", F.get(said, turn))
+
+
 def shop_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("id"),
@@ -201,6 +237,25 @@ paired AS MATERIALIZED (
 """
 )
 
+def _explained_sql(side: str) -> str:
+    key, series = f"{side}_key", f"(100 + {side}_key // 8)"
+    return f"""
+  {side}_name || coalesce(' ' || CASE WHEN {key} % 8 IN (0, 6, 7) THEN 'TX-' || {series} || 'A' WHEN {key} % 8 = 1 THEN 'TX-' || {series} || 'B'
+    WHEN {key} % 8 = 2 THEN 'QR' || {series} WHEN {key} % 8 = 3 THEN 'QR-' || {series} WHEN {key} % 8 = 5 THEN 'oem' END, '') AS {side}_name,
+  CASE WHEN {side}_price <> 'nan' THEN CAST({side}_price AS DOUBLE) * CASE WHEN {key} % 3 = 0 THEN 2 ELSE 1 END END AS {side}_number,
+  {side}_description"""
+
+
+EXPLAINED_SQL = (
+    PAIRED_SQL
+    + f""",
+explained AS (
+  SELECT source_id, target_id, {_explained_sql("source")}, {_explained_sql("target")},
+         ({list(REASONS)})[source_key * 7 % {len(REASONS)} + 1] AS reasoning
+  FROM (SELECT *, CAST(source_id AS BIGINT) AS source_key, CAST(target_id AS BIGINT) AS target_key FROM paired))
+"""
+)
+
 TEXT_PAIRS_SQL = """
 text_pairs AS (
   SELECT a.doc_id, a.text AS text_a, b.text AS text_b

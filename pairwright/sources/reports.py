@@ -89,15 +89,19 @@ def describe_products(rows: DataFrame, sources: DataFrame, targets: DataFrame) -
     return rows.fillna(fill)
 
 
-def error_listing(decided: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+def error_listing(
+    decided: DataFrame, sources: DataFrame, targets: DataFrame, runs: tuple[str, ...] = ()
+) -> DataFrame:
     """Every wrongly decided pair with its category and its whole names, ready to be written.
 
-    ``decided`` has the pair keys, verdict, confidence, reasoning and label.
+    ``decided`` has the pair keys, verdict, confidence, reasoning and label, and the columns
+    ``runs`` where it holds several runs.
     """
     matched, actual = M.is_match(F.col("verdict")), F.col("label") == 1
     errors = describe_products(decided.filter(matched != actual), sources, targets)
     errors = with_error_categories(errors.withColumn("reasoning", F.coalesce("reasoning", F.lit(""))))
     return errors.select(
+        *runs,
         F.when(matched, "False Positives").otherwise("False Negatives").alias("kind"),
         F.when(matched, F.col("fp_category")).otherwise(F.col("fn_category")).alias("category"),
         *M.KEYS,

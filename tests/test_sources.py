@@ -116,6 +116,16 @@ def test_valid_records_and_key_check(spark, tmp_path):
     assert [r["confidence"] for r in lenient] == [0.9, 0.0] and lenient[0]["sem_verdict"] == "NO MATCH"
 
 
+def test_several_caches_are_checked_in_one_pass(spark):
+    body = json.dumps({"prediction": {"source_id": "1", "target_id": "2", "verdict": "MATCH"}, "tokens": 3})
+    rows = [("a", 0, "x.json", body), ("a", 1, "x.json", body), ("b", 0, "y.json", body), ("b", 0, "z.json", body), ("b", 1, "w.json", "{")]
+    documents = spark.createDataFrame(rows, "pipeline string, run int, file string, body string")
+    found = {tuple(r) for r in C.violations(documents, ("pipeline", "run")).collect()}
+    assert found == {("b", 0, "y.json, z.json", "duplicate key", "('1', '2')"), ("b", 1, "w.json", "invalid json", "")}
+    sound = C.strict_records(documents, ("pipeline", "run")).select("pipeline", "run", "file").collect()
+    assert sorted(map(tuple, sound)) == [(*r[:3],) for r in rows[:4]]
+
+
 def test_digest_does_not_depend_on_the_partitions(spark):
     labels = spark.createDataFrame([("b", "1", 0), ("a", "2", 1), ("a", "10", 0)], "source_id string, target_id string, label int")
     tree = C.multiset_digest(labels, C.label_line()).first()["digest"]
