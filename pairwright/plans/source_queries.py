@@ -169,8 +169,11 @@ _CACHES = ("pipeline", "run")
 
 
 def _all_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions of all runs; keys are spread while small, as each makes ten documents."""
-    return B.key_decisions(spread(B.decision_keys(spark, sf_dir), "p", "s"))
+    """Decisions of all runs; keys are spread while small, as each makes ten documents.
+
+    By the keys alone Spark would drop the exchange, as they are grouped by those already.
+    """
+    return B.key_decisions(spread(B.decision_keys(spark, sf_dir), "p", "s", "label"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
