@@ -12,7 +12,9 @@ from pairwright.plans import standins as B
 from pairwright.plans.registry import registered
 from pairwright.sources import cache as C
 from pairwright.sources import timings as W
+from pairwright.session import scratch_path
 from pairwright.sources.reports import error_listing
+from pairwright.sources.tables import read_products
 
 
 @registered(
@@ -45,6 +47,28 @@ def parsed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed.select("conv_id", "turn", "p.*")
 
 
+@registered(
+    "WITH " + B.PRODUCTS_SQL + """
+SELECT id, name || ', "' || chr(10) || '"' AS name, description || chr(10) || name || chr(10) AS description,
+       price, CASE WHEN price <> 'nan' THEN CAST(price AS DOUBLE) END AS price_num
+FROM products
+"""
+)
+def products_through_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products written as CSV, with quotes, commas and line breaks in their fields, and read again."""
+    goods = B.products(spark, sf_dir).select(
+        "id",
+        F.concat("name", F.lit(', "\n"')).alias("name"),
+        F.concat("description", F.lit("\n"), "name", F.lit("\n")).alias("description"),
+        F.nullif("price", F.lit("nan")).alias("price"),
+    )
+    path = scratch_path(spark)
+    goods.write.csv(
+        path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    return read_products(spark, path)
+
+
 @registered(
     "SELECT event_id, 'NO MATCH' AS verdict, 0.0::DOUBLE AS confidence, '' AS reasoning, false AS parse_error FROM events"
 )

@@ -1,4 +1,6 @@
+import csv
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +148,27 @@ def test_products_pairs_and_candidates(spark, tmp_path):
         assert S.load_candidates(spark, str(tmp_path / kind), kind).collect() == pairs.collect()
 
 
+def test_records_over_many_splits_are_those_of_a_sequential_reader(spark, tmp_path):
+    rng = random.Random(7)
+    marks = ['"', ",", "\n", "\r\n", "a", "", " b", "\n\n"]
+    rows = {}
+    for name, count in (("a.csv", 400), ("b.csv", 30), ("c.csv", 0)):
+        mine = [(f"{name}{i}", *("x" + "".join(rng.choices(marks, k=rng.randint(0, 40))) + "y" for _ in range(2)), "1.5") for i in range(count)]
+        with open(tmp_path / name, "w", newline="") as out:
+            csv.writer(out, lineterminator="\n").writerows([("id", "name", "description", "price"), *mine])
+        rows.update({r[0]: r for r in mine})
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "900")
+    try:
+        read = [tuple(r)[:4] for r in S.read_products(spark, str(tmp_path)).collect()]
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(read) == len(rows) and {r[0]: r for r in read} == rows
+    (tmp_path / "c.csv").write_text('id,name,description,price\n1,5" disk,,\n')
+    with pytest.raises(ValueError, match="c.csv: quotes are not paired"):
+        S.read_products(spark, str(tmp_path))
+
+
 def test_parameters_round_trip(spark, tmp_path):
     assert S.load_parameters(spark, str(tmp_path / "absent")) == (None, 0.5)
     S.save_parameters(spark, {"best_params": {"max_depth": None}, "best_threshold": 0.35}, str(tmp_path / "p"))
