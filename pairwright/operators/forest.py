@@ -81,22 +81,27 @@ def balanced_weights(rows: DataFrame) -> DataFrame:
     return rows.withColumn("class_weight", weight)
 
 
-def fit_forest(rows: DataFrame, params: dict | None = None, seed: int = DEFAULT_SEED) -> RandomForestClassificationModel:
-    """Fit on assembled feature rows with a ``label`` column."""
+def forest_settings(params: dict | None = None) -> tuple[dict, bool]:
+    """What Spark is asked for, and whether classes are weighted.
+
+    Parameters that Spark cannot tell apart give equal settings.
+    """
     params = {**DEFAULT_PARAMS, **(params or {})}
-    strategy = {"sqrt": "sqrt", "log2": "log2", None: "all"}[params["max_features"]]
-    forest = RandomForestClassifier(
-        featuresCol="vector",
-        labelCol="label",
-        numTrees=params["n_estimators"],
-        maxDepth=min(params["max_depth"] or _MAX_DEPTH, _MAX_DEPTH),
+    settings = {
+        "numTrees": params["n_estimators"],
+        "maxDepth": min(params["max_depth"] or _MAX_DEPTH, _MAX_DEPTH),
         # A split of k rows needs k/2 on each side at best; the nearest setting Spark has.
-        minInstancesPerNode=max(1, params["min_samples_split"] // 2),
-        featureSubsetStrategy=strategy,
-        maxMemoryInMB=512,
-        seed=seed,
-    )
-    if params["class_weight"] is None:
+        "minInstancesPerNode": max(1, params["min_samples_split"] // 2),
+        "featureSubsetStrategy": {"sqrt": "sqrt", "log2": "log2", None: "all"}[params["max_features"]],
+    }
+    return settings, params["class_weight"] is not None
+
+
+def fit_forest(rows: DataFrame, params: dict | None = None, seed: int = DEFAULT_SEED) -> RandomForestClassificationModel:
+    """Fit on assembled feature rows with a ``label`` column."""
+    settings, weighted = forest_settings(params)
+    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", maxMemoryInMB=512, seed=seed, **settings)
+    if not weighted:
         return forest.fit(rows)
     return forest.setWeightCol("class_weight").fit(balanced_weights(rows))
 
@@ -172,7 +177,11 @@ def tune_forest(
     grid: dict | None = None,
     seed: int = DEFAULT_SEED,
 ) -> dict:
-    """Grid search on a fixed train/valid split by F1, then the best threshold."""
+    """Grid search on a fixed train/valid split by F1, then the best threshold.
+
+    The first of equally good parameters wins. Each forest that Spark can tell apart is
+    fitted once, and the best one is kept for its threshold.
+    """
     grid = grid or PARAM_GRID
     fold = {
         name: checkpointed(assembled(training_rows(split, sources, targets)))
@@ -181,16 +190,23 @@ def tune_forest(
     for name, rows in fold.items():
         if rows.isEmpty():
             raise RuntimeError(f"no {name} pairs could have features extracted")
-    best: tuple[float, dict] | None = None
+    best: tuple[float, dict, RandomForestClassificationModel] | None = None
+    fitted = set()
     for values in itertools.product(*grid.values()):
         params = dict(zip(grid, values))
-        scored = match_probability(fit_forest(fold["train"], params, seed), fold["valid"])
+        settings, weighted = forest_settings(params)
+        asked = (*settings.values(), weighted)
+        if asked in fitted:  # as good as an earlier one, which won the tie
+            continue
+        fitted.add(asked)
+        model = fit_forest(fold["train"], params, seed)
+        scored = match_probability(model, fold["valid"])
         counts = scored.agg(*confusion_counts(F.col("score") > 0.5, F.col("label") == 1))
         f1 = with_rates(counts).first()["f1"]
         if best is None or f1 > best[0]:
-            best = (f1, params)
-    valid_f1, params = best
-    scored = match_probability(fit_forest(fold["train"], params, seed), fold["valid"])
+            best = (f1, params, model)
+    valid_f1, params, model = best
+    scored = match_probability(model, fold["valid"])
     threshold, threshold_f1 = best_threshold(scored)
     return {
         "best_params": params,

@@ -1,8 +1,13 @@
+import itertools
+
 import pytest
 
 from pairwright.operators.features import FEATURE_NAMES
+from pairwright.operators import forest as forest_module
 from pairwright.operators.forest import (
+    PARAM_GRID,
     feature_importances,
+    forest_settings,
     predict_matches,
     train_matcher,
     tune_forest,
@@ -51,3 +56,21 @@ def test_registered_forest_trains_with_the_default_parameters(spark, monkeypatch
     with pytest.raises(StopIteration):
         forest_queries.forest_metrics(spark, "/root/testdata/sf0.001")
     assert asked == [None]
+
+
+def test_no_forest_of_the_grid_is_fitted_twice(spark, monkeypatch):
+    fits = []
+    fit = forest_module.fit_forest
+
+    def counted(rows, params=None, seed=0):
+        fits.append(params)
+        return fit(rows, params, seed)
+
+    monkeypatch.setattr("pairwright.operators.forest.fit_forest", counted)
+    goods, pairs = _goods(spark), _pairs(spark)
+    grid = {"n_estimators": [2], "max_depth": [None, 30, 3], "class_weight": ["balanced", "balanced_subsample", None]}
+    tuned = tune_forest(pairs.filter("ltable_id < '5'"), pairs.filter("ltable_id >= '5'"), goods, goods, grid)
+    assert len(fits) == 4 and tuned["best_params"] in fits
+    every = [dict(zip(PARAM_GRID, values)) for values in itertools.product(*PARAM_GRID.values())]
+    distinct = {(*settings.values(), weighted) for settings, weighted in map(forest_settings, every)}
+    assert len(every) == 540 and len(distinct) == 270
