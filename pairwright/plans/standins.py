@@ -12,7 +12,7 @@ bound to a whole table that has its shape:
   a quantity of 46 or more was ever ordered;
 * decisions: two pipelines times five runs over those keys, where hashes of the
   ids decide which verdicts are wrong, so that both engines derive the same rows;
-* a bootstrap that SQL can follow: the same decisions over (supplier, nation);
+* a bootstrap that SQL can follow: the same decisions over (supplier, return flag);
 * explained pairs: the successors with model words in the names, two price levels and
   a reasoning by part key, so that every rule of the error taxonomies applies somewhere;
 * text pairs: every document with its successor, whole texts.
@@ -141,10 +141,14 @@ def decision_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supplier_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labeled (supplier, nation) keys, few enough to follow a bootstrap in SQL."""
-    return table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("p"), F.col("s_nationkey").alias("s"),
-        (F.col("s_acctbal") >= 4000).cast("int").alias("label"),
+    """Labeled (supplier, return flag) keys, few enough to follow a bootstrap in SQL.
+
+    Suppliers meet all flags and most labels are 1, as F1 is undefined for a draw without any.
+    """
+    return (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_suppkey").alias("p"), F.ascii("l_returnflag").cast("bigint").alias("s"))
+        .agg((F.sum("l_orderkey") % 10 < 8).cast("int").alias("label"))
     )
 
 
@@ -270,7 +274,8 @@ decision_keys AS (
 
 SUPPLIER_KEYS_SQL = """
 decision_keys AS (
-  SELECT s_suppkey AS p, s_nationkey AS s, CAST(s_acctbal >= 4000 AS INT) AS label FROM supplier)
+  SELECT l_suppkey AS p, CAST(ascii(l_returnflag) AS BIGINT) AS s, CAST(sum(l_orderkey) % 10 < 8 AS INT) AS label
+  FROM lineitem GROUP BY 1, 2)
 """
 
 _CHANCES_SQL = ", ".join(f"{mixed_sql(f'x{what}')} % 1000 AS h{what}" for what in range(4))
