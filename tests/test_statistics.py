@@ -251,3 +251,8 @@ def test_bootstrap_takes_its_runs_from_the_data(spark):
 def test_multiplicity_of_nothing_is_a_row(spark):
     row = G.entity_multiplicity(spark.createDataFrame([], "source_id string, target_id string")).first()
     assert (row["n_pairs"], row["unique_sources"], row["max_target_multiplicity"]) == (0, 0, None)
+
+
+def test_bootstrap_counts_are_not_broadcast(spark):
+    plan = I.bootstrap_effects(_graph(spark), 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2
