@@ -252,3 +252,37 @@ def test_unreadable_parameters_are_not_missing_ones(spark, tmp_path):
     (tmp_path / "p").write_text("{}")
     with pytest.raises(KeyError):
         S.load_parameters(spark, str(tmp_path / "p"))
+
+
+def test_strict_reading_looks_fields_up_together(spark):
+    bodies = [
+        '{"prediction": {"source_id": "1", "target_id": "2", "verdict": "MATCH", "confidence": 0.25, "parse_error": true}, "tokens": 7}',
+        '{"prediction": {"source_id": null, "target_id": 3, "verdict": "NO MATCH", "confidence": null, "prediction": false}, "tokens": 0}',
+        '{"prediction": {"source_id": "1", "target_id": "2", "verdict": ["MATCH"]}, "tokens": 7}',
+        '{"prediction": {"source_id": "1", "target_id": "2", "verdict": null}, "tokens": 7}',
+        '{"prediction": {"source_id": "1", "target_id": "2", "verdict": "MATCH", "confidence": "0.5"}, "tokens": 7}',
+        '{"prediction": {"source_id": "1", "target_id": "2", "verdict": "MATCH", "confidence": true}, "tokens": 7.5}',
+        '{"prediction": [], "tokens": 7}', '{"prediction": null}', '[]', 'null', None,
+        '{"prediction": {"source_id": "1", "target_id": "4", "verdict": "MATCH", "prediction": 0}, "tokens": 7}',
+        '{"prediction": {"source_id": "1", "verdict": "MATCH"}, "tokens": 7}',
+    ]
+    documents = spark.createDataFrame([(f"{i:02}", b) for i, b in enumerate(bodies)], "file string, body string")
+    records = C.strict_records(documents)
+    assert [tuple(r) for r in records.orderBy("file").collect()] == [
+        ("00", "1", "2", "MATCH", 0.25, True, 7), ("01", "None", "3", "NO MATCH", None, False, 0),
+    ]
+    found = {r["file"]: (r["rule"], r["value"]) for r in C.violations(documents).collect()}
+    assert found == {
+        "02": ("malformed verdict", '["MATCH"]'), "03": ("malformed verdict", ""), "04": ("malformed confidence", "MATCH"),
+        "05": ("malformed tokens", "MATCH"), "06": ("prediction is not an object", ""), "07": ("prediction is not an object", ""),
+        "08": ("missing prediction", ""), "09": ("missing prediction", ""), "10": ("invalid json", ""),
+        "11": ("mirror contradicts verdict", "MATCH"), "12": ("missing target_id", "MATCH"),
+    }
+    plan = records._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.count("variant_get(") for line in plan.splitlines() if "Generate" in line) <= 5
+    twice = C.violations(documents.union(documents)).groupBy("file", "rule").count()
+    assert {(r["file"], r["rule"], r["count"]) for r in twice.collect()} == {
+        (f, rule, 2) for f, (rule, _) in found.items()
+    } | {("00, 00", "duplicate key", 1), ("01, 01", "duplicate key", 1)}
+    plan = C.violations(documents)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_parse_json") + plan.count("parse_json(") <= 2
