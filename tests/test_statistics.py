@@ -256,3 +256,15 @@ def test_multiplicity_of_nothing_is_a_row(spark):
 def test_bootstrap_counts_are_not_broadcast(spark):
     plan = I.bootstrap_effects(_graph(spark), 5)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") == 2
+
+
+def test_key_gaps_place_the_decisions_once(spark):
+    decisions = spark.createDataFrame(
+        [("a", 0, "1", "1"), ("a", 0, "1", "1"), ("a", 0, "9", "9"), ("a", 0, None, "2"), ("a", 1, "1", "1"), ("a", 1, "2", "2"), ("b", 0, "9", "9")],
+        "pipeline string, run int, source_id string, target_id string",
+    )
+    labels = spark.createDataFrame([("1", "1", 1), ("2", "2", 0)], "source_id string, target_id string, label int")
+    gaps = G.key_gaps(decisions, labels)
+    assert {tuple(r) for r in gaps.collect()} == {("a", 0, 1, 1), ("a", 1, 0, 0), ("b", 0, 2, 1)}
+    plan = gaps._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("pipeline" in line for line in plan.splitlines() if "LocalRelation" in line or "LogicalRDD" in line) == 1
