@@ -28,3 +28,12 @@ def test_query(spark, duck, name):
         assert compare(frame, duck, oracle_sql()[name]) == ""
     else:
         assert frame.count() > 0
+
+
+def test_decisions_compute_key_columns_before_keys_become_rows(spark):
+    from pairwright.plans import standins as B
+
+    plan = B.decisions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    generated = [i for i, line in enumerate(plan) if "Generate explode" in line]
+    cast = [i for i, line in enumerate(plan) if "AS source_id" in line]
+    assert min(cast) > max(generated)
