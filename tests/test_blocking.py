@@ -81,6 +81,26 @@ def test_summary_and_recall_without_expansion(spark):
     assert (recall["found"], recall["true_matches"]) == (1, 2)  # an empty name matches nothing
 
 
+def test_classes_hold_every_pair_without_expanding_copies(spark):
+    names = _names()
+    left = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(names * 5)], "id string, name string")
+    right = spark.createDataFrame([(f"t{i}", n) for i, n in enumerate(names * 5)], "id string, name string")
+    rows = K.candidate_classes(left, right).collect()
+    of = {side: {} for side in ("source", "target")}
+    for row in rows:
+        if row["kind"] != "pair":
+            of[row["kind"]].setdefault(row["left_id"], []).append(row["right_id"])
+    links = [row for row in rows if row["kind"] == "pair"]
+    expanded = sorted(
+        (s, t, round(link["similarity_score"], 9))
+        for link in links for s in of["source"][link["left_id"]] for t in of["target"][link["right_id"]]
+    )
+    asked = K.candidate_pairs(left, right).collect()
+    assert expanded == sorted((r["source_id"], r["target_id"], round(r["similarity_score"], 9)) for r in asked)
+    distinct = len(set(names))
+    assert len(rows) <= 2 * 5 * len(names) + distinct * distinct < len(expanded)
+
+
 def test_zero_threshold_is_rejected(spark):
     frame = spark.createDataFrame([("a", "b")], "id string, name string")
     with pytest.raises(ValueError):
