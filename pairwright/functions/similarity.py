@@ -9,23 +9,13 @@ digits it meets.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pairwright.functions.text import is_blank, let, merge_token_runs, qgrams, terms, words
-
-# Okapi BM25 constants, and the corpus of two texts plus three
-# empty ones, in which a shared word has document frequency two.
-BM25_K1 = 1.5
-BM25_B = 0.75
-BM25_DOCS = 5
-BM25_SHARED_IDF = math.log((BM25_DOCS - 2 + 0.5) / (2 + 0.5))
-
-# Smoothed inverse document frequency over a two-text corpus.
-TFIDF_UNSHARED_IDF = math.log(3.0 / 2.0) + 1.0
+from pairwright.functions.bags import bm25, cosine_tfidf, cosine_tokens, jaccard_qgrams  # noqa: F401
+from pairwright.functions.text import let, words
 
 # Fixed value: price ratio from which two prices are similar.
 PRICE_SIMILAR_RATIO = 0.8
@@ -49,80 +39,14 @@ def jaccard_tokens(a: Column, b: Column) -> Column:
     return _set_jaccard(words(a), words(b), 1.0)
 
 
-def jaccard_qgrams(a: Column, b: Column, q: int = 3) -> Column:
-    return _set_jaccard(qgrams(a, q), qgrams(b, q), 1.0)
-
-
 def tool_jaccard(a: Column, b: Column) -> Column:
     return _set_jaccard(words(a), words(b), 0.0)
 
 
-def _cosine(parts: Column) -> Column:
-    norm = F.sqrt(parts["na"]) * F.sqrt(parts["nb"])
-    return F.coalesce(F.try_divide(parts["dot"], norm), F.lit(0.0))
-
-
-def cosine_tokens(a: Column, b: Column) -> Column:
-    """Cosine of raw word counts; 0 when either text has no word."""
-    parts = merge_token_runs(
-        words(a),
-        words(b),
-        {
-            "dot": lambda x, y: x * y,
-            "na": lambda x, y: x * x,
-            "nb": lambda x, y: y * y,
-        },
-    )
-    return _bound({"parts": parts}, lambda v: _cosine(v["parts"]))
-
-
-def cosine_tfidf(a: Column, b: Column) -> Column:
-    """TF-IDF cosine in the corpus made of just these two texts."""
-
-    def idf(x: Column, y: Column) -> Column:
-        return F.when((x > 0) & (y > 0), F.lit(1.0)).otherwise(F.lit(TFIDF_UNSHARED_IDF))
-
-    parts = merge_token_runs(
-        terms(a),
-        terms(b),
-        {
-            "dot": lambda x, y: x * y,
-            "na": lambda x, y: (x * idf(x, y)) * (x * idf(x, y)),
-            "nb": lambda x, y: (y * idf(x, y)) * (y * idf(x, y)),
-        },
-    )
-    score = _bound({"parts": parts}, lambda v: _cosine(v["parts"]))
-    return F.when(is_blank(a) | is_blank(b), F.lit(0.0)).otherwise(score)
-
-
 def tool_bm25(a: Column, b: Column) -> Column:
     """Symmetric BM25 of two names, squashed to [0, 1) and rounded to 4 digits."""
-    ta, tb = words(a), words(b)
-    average = (F.size(ta) + F.size(tb)) / F.lit(float(BM25_DOCS))
-
-    def length_norm(tokens: Column) -> Column:
-        relative = F.coalesce(F.try_divide(F.size(tokens), average), F.lit(0.0))
-        return BM25_K1 * (1.0 - BM25_B + BM25_B * relative)
-
-    def cross(freq: Column, query: Column, norm: Column) -> Column:
-        return query * BM25_SHARED_IDF * freq * (BM25_K1 + 1.0) / (freq + norm)
-
-    parts = merge_token_runs(
-        ta,
-        tb,
-        {
-            "ab": lambda x, y, norm_a, norm_b: cross(x, y, norm_a),
-            "ba": lambda x, y, norm_a, norm_b: cross(y, x, norm_b),
-        },
-        {"norm_a": length_norm(ta), "norm_b": length_norm(tb)},
-    )
-
-    def squash(v: Column) -> Column:
-        score = (v["parts"]["ab"] + v["parts"]["ba"]) / 2.0
-        return F.when(score > 0, F.round(score / (score + 1.0), 4)).otherwise(0.0)
-
-    blank = is_blank(a) | is_blank(b)
-    return F.when(blank, F.lit(0.0)).otherwise(_bound({"parts": parts}, squash))
+    score = bm25(a, b)
+    return F.when(score > 0, F.round(score / (score + 1.0), 4)).otherwise(0.0)
 
 
 def lev_dist(a: Column, b: Column) -> Column:

@@ -1,9 +1,7 @@
-"""Tokenizers and the sorted token merge used by every bag-of-words similarity.
+"""Tokenizers as Column expressions.
 
-Everything here is a Column expression. No expression is quadratic in the
-length of a text: q-grams come from one regex scan (``substring`` would rescan
-the UTF-8 bytes for every position) and token frequencies come from sorting the
-two token lists together and walking the runs once.
+No expression is quadratic in the length of a text: q-grams come from one regex
+scan (``substring`` would rescan the UTF-8 bytes for every position).
 """
 
 from __future__ import annotations
@@ -54,65 +52,3 @@ def is_blank(text: Column) -> Column:
 def strip(text: Column) -> Column:
     """Remove leading and trailing whitespace of every kind."""
     return F.regexp_replace(text, rf"^{WHITESPACE}|{WHITESPACE}$", "")
-
-
-def merge_token_runs(
-    left: Column,
-    right: Column,
-    sums: dict[str, Callable[..., Column]],
-    constants: dict[str, Column] | None = None,
-) -> Column:
-    """Sum ``f(count_in_left, count_in_right)`` over the distinct tokens of two lists.
-
-    The two lists are tagged with their side, sorted together, and folded once;
-    a run of equal tokens contributes when the next token starts (and at the
-    end). Returns a struct with one DOUBLE field per entry of ``sums``.
-
-    ``constants`` are evaluated once per row and passed to every function by
-    keyword. Naming a row-level expression inside a function instead would
-    evaluate it again for every token.
-    """
-    constants = constants or {}
-    tagged = F.array_sort(
-        F.concat(
-            F.transform(left, lambda t: F.struct(t.alias("tok"), F.lit(0).alias("side"))),
-            F.transform(right, lambda t: F.struct(t.alias("tok"), F.lit(1).alias("side"))),
-        )
-    )
-    zero = F.struct(
-        F.lit(None).cast("string").alias("tok"),
-        F.lit(0.0).alias("a"),
-        F.lit(0.0).alias("b"),
-        *[F.lit(0.0).alias(name) for name in sums],
-        *[value.cast("double").alias(name) for name, value in constants.items()],
-    )
-
-    def kept(acc: Column) -> list[Column]:
-        return [acc[name].alias(name) for name in constants]
-
-    def flushed(acc: Column) -> list[Column]:
-        fixed = {name: acc[name] for name in constants}
-        return [
-            (acc[name] + f(acc["a"], acc["b"], **fixed)).alias(name) for name, f in sums.items()
-        ]
-
-    def step(acc: Column, item: Column) -> Column:
-        in_left = F.when(item["side"] == 0, 1.0).otherwise(0.0)
-        same = acc["tok"].eqNullSafe(item["tok"])
-        grown = F.struct(
-            acc["tok"].alias("tok"),
-            (acc["a"] + in_left).alias("a"),
-            (acc["b"] + 1.0 - in_left).alias("b"),
-            *[acc[name].alias(name) for name in sums],
-            *kept(acc),
-        )
-        restarted = F.struct(
-            item["tok"].alias("tok"),
-            in_left.alias("a"),
-            (F.lit(1.0) - in_left).alias("b"),
-            *flushed(acc),
-            *kept(acc),
-        )
-        return F.when(same, grown).otherwise(restarted)
-
-    return F.aggregate(tagged, zero, step, lambda acc: F.struct(*flushed(acc)))

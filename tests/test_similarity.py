@@ -140,3 +140,32 @@ def test_word_pairs_in_slices_equal_one_by_one(monkeypatch):
     alone = [A._monge_elkan([x], [y])[0] for x, y in zip(left, right)]
     assert alone == pytest.approx(list(whole))
     assert A._jaro_winkler(["martha", "", "dwayne"], ["marhta", "x", "duane"]) == pytest.approx([0.961111, 0, 0.84], abs=1e-6)
+
+
+def test_bags_in_slices_equal_one_by_one(monkeypatch):
+    import pandas as pd
+
+    from pairwright.functions import bags as B
+
+    texts = ["", " ", "a", "ab", "abc abc x", "b😀 c😀　x x", "éa éa bc\x1cde", "abcabcabc"]
+    left, right = map(list, zip(*[(x, y) for x in texts for y in texts]))
+    grams = [{s[i : i + 3] for i in range(max(len(s) - 2, min(len(s), 1)))} for s in left + right]
+    expected = [len(a & b) / len(a | b) if a | b else 1.0 for a, b in zip(grams, grams[len(left) :])]
+    assert list(B._qgram_jaccard(left, right, 3)) == pytest.approx(expected)
+    # Grams of any length stay exact: they are numbered anew where 63 bits would not hold them.
+    same = [float(x == y) for x, y in zip(left, right)]
+    assert list(B._qgram_jaccard(left, right, 30)) == same
+    for score in (B._cosine_tokens, B._cosine_tfidf, B._bm25):
+        whole = list(score(left, right))
+        monkeypatch.setattr(B, "_SLICE_CHARS", 9)
+        assert list(B._in_slices(pd.Series(left), pd.Series(right), score)) == pytest.approx(whole)
+        assert [score([x], [y])[0] for x, y in zip(left, right)] == pytest.approx(whole)
+    assert len(B._in_slices(pd.Series([], dtype=object), pd.Series([], dtype=object), B._bm25)) == 0
+
+
+@pytest.mark.parametrize("function", [S.cosine_tokens, S.cosine_tfidf, S.tool_bm25, S.jaccard_qgrams])
+def test_no_lambda_walks_the_tokens_of_a_text(spark, function):
+    rows = spark.createDataFrame([("a", "b"), (None, "b")], "a string, b string")
+    scored = rows.select(function(F.col("a"), F.col("b")).alias("v"))
+    assert "lambda" not in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["v"] for r in scored.collect()] == [0.0, 0.0]
