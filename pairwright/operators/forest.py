@@ -100,7 +100,11 @@ def forest_settings(params: dict | None = None) -> tuple[dict, bool]:
 def fit_forest(rows: DataFrame, params: dict | None = None, seed: int = DEFAULT_SEED) -> RandomForestClassificationModel:
     """Fit on assembled feature rows with a ``label`` column."""
     settings, weighted = forest_settings(params)
-    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", maxMemoryInMB=512, seed=seed, **settings)
+    # A row keeps the node it has reached in each tree; without, every level of the trees
+    # would walk all rows down from the roots again, with the trees sent to all tasks.
+    forest = RandomForestClassifier(
+        featuresCol="vector", labelCol="label", maxMemoryInMB=512, cacheNodeIds=True, seed=seed, **settings
+    )
     if not weighted:
         return forest.fit(rows)
     return forest.setWeightCol("class_weight").fit(balanced_weights(rows))

@@ -74,3 +74,21 @@ def test_no_forest_of_the_grid_is_fitted_twice(spark, monkeypatch):
     every = [dict(zip(PARAM_GRID, values)) for values in itertools.product(*PARAM_GRID.values())]
     distinct = {(*settings.values(), weighted) for settings, weighted in map(forest_settings, every)}
     assert len(every) == 540 and len(distinct) == 270
+
+
+def test_rows_keep_their_nodes_and_the_trees_stay_the_same(spark):
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import functions as F
+
+    numbers = spark.range(400, numPartitions=3).select(
+        F.pmod(F.xxhash64("id"), F.lit(97)).cast("double").alias("x"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(89)).cast("double").alias("y"),
+        F.pmod(F.xxhash64("id", F.lit(2)), F.lit(2)).cast("int").alias("label"),
+    )
+    rows = VectorAssembler(inputCols=["x", "y"], outputCol="vector").transform(numbers)
+    params = {"n_estimators": 3, "class_weight": None}
+    model = forest_module.fit_forest(rows, params)
+    settings, _ = forest_module.forest_settings(params)
+    plain = RandomForestClassifier(featuresCol="vector", labelCol="label", maxMemoryInMB=512, seed=forest_module.DEFAULT_SEED, **settings).fit(rows)
+    assert model.getCacheNodeIds()
+    assert [t.toDebugString.split("\n", 1)[1] for t in model.trees] == [t.toDebugString.split("\n", 1)[1] for t in plain.trees]
