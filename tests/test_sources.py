@@ -286,3 +286,20 @@ def test_strict_reading_looks_fields_up_together(spark):
     } | {("00, 00", "duplicate key", 1), ("01, 01", "duplicate key", 1)}
     plan = C.violations(documents)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("try_parse_json") + plan.count("parse_json(") <= 2
+
+
+def test_digest_takes_in_every_bit_of_every_line(spark):
+    import hashlib
+
+    rows = [("a", 1, "x"), ("a", None, "y"), ("a", 1, "x"), ("b", 2, None), ("b", 2, "é"), ("a", 1, "z")]
+    frame = spark.createDataFrame(rows, "p string, run int, line string").repartition(3)
+
+    def expected(lines):
+        hashes = [hashlib.sha256(x.encode()).hexdigest() if x is not None else "0" * 64 for x in lines]
+        sums = [sum(int(h[8 * k : 8 * k + 8], 16) for h in hashes) for k in range(8)]
+        return hashlib.sha256("|".join(map(str, [len(lines), *sums])).encode()).hexdigest()
+
+    got = {(r["p"], r["run"]): r["digest"] for r in C.multiset_digest(frame, F.col("line"), ["p", "run"]).collect()}
+    assert got == {k: expected([x for p, r, x in rows if (p, r) == k]) for k in {(p, r) for p, r, _ in rows}}
+    assert C.multiset_digest(frame, F.col("line")).first()["digest"] == expected([x for *_, x in rows])
+    assert C.multiset_digest(frame.filter("false"), F.col("line")).first()["digest"] == expected([])
