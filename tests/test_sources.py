@@ -303,3 +303,25 @@ def test_digest_takes_in_every_bit_of_every_line(spark):
     assert got == {k: expected([x for p, r, x in rows if (p, r) == k]) for k in {(p, r) for p, r, _ in rows}}
     assert C.multiset_digest(frame, F.col("line")).first()["digest"] == expected([x for *_, x in rows])
     assert C.multiset_digest(frame.filter("false"), F.col("line")).first()["digest"] == expected([])
+
+
+def test_lenient_reading_does_not_interpret_what_makes_the_body(spark):
+    made = spark.range(3).select(
+        F.col("id").cast("string").alias("file"), F.concat(F.lit('{"tokens":'), F.col("id").cast("string"), F.lit("}")).alias("body")
+    )
+    read = C.lenient_records(made)
+    assert sorted(r["tokens"] for r in read.collect()) == [0, 1, 2]
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    parsing = [line for line in plan.splitlines() if "from_json(" in line]
+    assert parsing and not any("concat(" in line for line in parsing)
+
+
+def test_documents_of_decisions_are_what_to_json_writes(spark):
+    from pairwright.plans.source_queries import agent_body
+    from pairwright.plans.standins import key_decisions
+
+    rows = key_decisions(spark.range(200).selectExpr("id * 7 AS p", "id % 9 AS s", "CAST(id % 2 AS INT) AS label"))
+    agent = F.struct(F.col("syn_verdict").alias("verdict"), F.col("syn_confidence").alias("confidence"))
+    prediction = F.struct("source_id", "target_id", "verdict", "confidence", "parse_error", agent.alias("syntactic"))
+    wanted = F.to_json(F.struct(prediction.alias("prediction"), "tokens"))
+    assert rows.count() == 2000 and rows.filter(~agent_body().eqNullSafe(wanted)).isEmpty()
