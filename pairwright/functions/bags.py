@@ -22,6 +22,14 @@ from pyspark.sql import types as T
 # Characters of both sides in one NumPy slice; a longer pair is a slice of its own.
 _SLICE_CHARS = 1_000_000
 
+# Grams are ticked off in a table of rows and codes where that has no more cells than this for
+# each gram, and sorted otherwise; codes are numbered through a table up to so many cells.
+_TABLE_SHARE = 16
+_TABLE_CELLS = 1 << 22
+
+# What parts the terms of a TF-IDF vectorizer, as far as it is ASCII.
+_TERM_BYTES = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+
 # Okapi BM25 constants, and the corpus of two texts plus three
 # empty ones, in which a shared word has document frequency two.
 BM25_K1 = 1.5
@@ -85,8 +93,18 @@ def _cosine_tokens(left: list[str], right: list[str]) -> np.ndarray:
     return _quotient(bags.left(bags.x * bags.left_y), norm, 0.0)
 
 
+def _parted(text: str) -> str:
+    """The text with a blank for whatever is neither letter, number nor underscore."""
+    parted = text.encode().translate(_TERM_BYTES).decode()
+    if not text.isascii():
+        for letter in set(parted):
+            if letter > "\x7f" and not letter.isalnum():
+                parted = parted.replace(letter, " ")
+    return parted
+
+
 def _cosine_tfidf(left: list[str], right: list[str]) -> np.ndarray:
-    bags = _bags(left, right, 2)
+    bags = _bags(*[[_parted(text) for text in side] for side in (left, right)], 2)
     x = bags.x * np.where(bags.left_y > 0, 1.0, TFIDF_UNSHARED_IDF)
     y = bags.y * np.where(bags.right_x > 0, 1.0, TFIDF_UNSHARED_IDF)
     norm = np.sqrt(bags.left(x * x)) * np.sqrt(bags.right(y * y))
@@ -106,6 +124,12 @@ def _bm25(left: list[str], right: list[str]) -> np.ndarray:
     return bags.left(met / (x + norm(n_left)[row]) + np.where(y > 0, met, 0.0) / (y + norm(n_right)[row])) / 2.0
 
 
+def _sorted_distinct(keys: np.ndarray) -> np.ndarray:
+    """As ``numpy.unique``, which hashes whole numbers and is slow on keys that lie close together."""
+    keys = np.sort(keys)
+    return keys[np.diff(keys, prepend=-1) != 0]
+
+
 def _qgram_jaccard(left: list[str], right: list[str], q: int) -> np.ndarray:
     """Shared over all distinct q-grams; a shorter text is its own gram, two empty ones are alike."""
     rows, texts = len(left), [*left, *right]
@@ -118,10 +142,8 @@ def _qgram_jaccard(left: list[str], right: list[str], q: int) -> np.ndarray:
     letters = np.concatenate([number[points], np.zeros(q, dtype=np.int64)])
     base = int(number[-1]) + 1
     grams = np.where(size >= q, size - q + 1, np.minimum(size, 1))
-    text = np.repeat(np.arange(len(texts)), grams)
-    at = np.repeat(np.cumsum(size) - size - (np.cumsum(grams) - grams), grams) + np.arange(len(text))
-    short = np.flatnonzero(size[text] < q)
-    code, bound = letters[at], base
+    ends = np.cumsum(size)
+    code, bound = letters[: len(points)], base
 
     def numbered(code: np.ndarray, bound: int, factor: int) -> tuple[np.ndarray, int]:
         """Codes in fewer numbers, where a product with ``factor`` would not fit 63 bits."""
@@ -130,18 +152,35 @@ def _qgram_jaccard(left: list[str], right: list[str], q: int) -> np.ndarray:
         distinct, code = np.unique(code, return_inverse=True)
         return code, len(distinct)
 
+    # A code for every letter, as if a gram began there; then those go that reach into the next text.
     for j in range(1, q):
         code, bound = numbered(code, bound, base)
-        following = letters[at + j]
-        following[short[size[text[short]] <= j]] = 0
+        following = letters[j : j + len(points)].copy()
+        lacking = (size > 0) & (size <= j)
+        following[(ends - size)[lacking]] = 0
         code, bound = code * base + following, bound * base
+    begins = np.ones(len(points), dtype=bool)
+    for k in range(1, q):
+        begins[(ends - k)[size - k >= grams]] = False
+    code = code[begins]
+    if bound <= _TABLE_CELLS:
+        occurs = np.zeros(bound, dtype=bool)
+        occurs[code] = True
+        number = np.cumsum(occurs)
+        code, bound = number[code] - 1, max(1, int(number[-1]))
     code, bound = numbered(code, bound, rows)
-    key = text % rows * bound + code
+    key = np.repeat(np.arange(len(texts)) % rows, grams) * bound + code
     cut = int(grams[:rows].sum())
-    a, b = np.unique(key[:cut]), np.unique(key[cut:])
-    n_a, n_b, shared = (
-        np.bincount(keys // bound, minlength=rows) for keys in (a, b, np.intersect1d(a, b, assume_unique=True))
-    )
+    if rows * bound <= _TABLE_SHARE * len(key):
+        in_a, in_b = np.zeros((2, rows * bound), dtype=bool)
+        in_a[key[:cut]] = True
+        in_b[key[cut:]] = True
+        n_a, n_b, shared = (np.count_nonzero(x.reshape(rows, bound), axis=1) for x in (in_a, in_b, in_a & in_b))
+    else:
+        a, b = _sorted_distinct(key[:cut]), _sorted_distinct(key[cut:])
+        n_a, n_b, shared = (
+            np.bincount(keys // bound, minlength=rows) for keys in (a, b, np.intersect1d(a, b, assume_unique=True))
+        )
     return _quotient(shared.astype(np.float64), n_a + n_b - shared, 1.0)
 
 
@@ -191,8 +230,7 @@ def cosine_tokens(a: Column, b: Column) -> Column:
 
 def cosine_tfidf(a: Column, b: Column) -> Column:
     """TF-IDF cosine in the corpus made of just these two texts."""
-    # What a word is stays with Spark's expressions; a run of other characters parts words.
-    return _cosine_tfidf_udf(*[F.regexp_replace(_lowered(t), r"[^\p{L}\p{N}_]+", " ") for t in (a, b)])
+    return _cosine_tfidf_udf(_lowered(a), _lowered(b))
 
 
 def bm25(a: Column, b: Column) -> Column:

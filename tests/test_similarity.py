@@ -1,9 +1,13 @@
 import math
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from pairwright.functions import alignment as A
+from pairwright.functions import bags
 from pairwright.functions import similarity as S
 from pairwright.functions import text as X
 
@@ -169,3 +173,35 @@ def test_no_lambda_walks_the_tokens_of_a_text(spark, function):
     scored = rows.select(function(F.col("a"), F.col("b")).alias("v"))
     assert "lambda" not in scored._jdf.queryExecution().optimizedPlan().toString()
     assert [r["v"] for r in scored.collect()] == [0.0, 0.0]
+
+
+def test_qgrams_are_the_same_by_table_and_by_sorting(monkeypatch):
+    rng = random.Random(3)
+
+    def text(letters: str) -> str:
+        return "".join(rng.choice(letters) for _ in range(rng.choice((0, 1, 2, 3, 40))))
+
+    def grams(value: str, q: int) -> set[str]:
+        return {value[i : i + q] for i in range(len(value) - q + 1)} or ({value} if value else set())
+
+    for letters in ("ab", "abcdefgh 1,", "é漢𝒳a_ ."):
+        left, right = [text(letters) for _ in range(60)], [text(letters) for _ in range(60)]
+        for q in (1, 2, 3, 5):
+            sets = [(grams(a, q), grams(b, q)) for a, b in zip(left, right)]
+            wanted = [len(a & b) / len(a | b) if a | b else 1.0 for a, b in sets]
+            for share, cells in ((16, 1 << 22), (0, 0), (0, 1 << 22)):
+                monkeypatch.setattr(bags, "_TABLE_SHARE", share)
+                monkeypatch.setattr(bags, "_TABLE_CELLS", cells)
+                assert list(bags._qgram_jaccard(left, right, q)) == wanted
+
+
+def test_terms_are_parted_without_a_regular_expression_of_the_engine(spark):
+    left, right = "Ab-c 12.5—été…ÉTÉ_x 　漢字 ²", "ab été_x 12 漢字… c²"
+    frame = spark.createDataFrame([(left, right)], "a string, b string").select(S.cosine_tfidf(F.col("a"), F.col("b")).alias("s"))
+    a, b = (Counter(re.findall(r"\w{2,}", text.lower())) for text in (left, right))
+
+    def norm(bag, other):
+        return math.sqrt(sum((n if w in other else n * bags.TFIDF_UNSHARED_IDF) ** 2 for w, n in bag.items()))
+
+    assert math.isclose(frame.first()["s"], sum(a[w] * b[w] for w in a) / (norm(a, b) * norm(b, a)))
+    assert "regexp_replace" not in frame._jdf.queryExecution().executedPlan().toString()
