@@ -20,6 +20,11 @@ from pyspark.sql import types as T
 # Bounds the padded character matrix of one NumPy slice.
 _SLICE_CELLS = 4_000_000
 
+# Length from which ``difflib`` leaves frequent letters out; pairs and cells of a slice of its blocks.
+_AUTOJUNK = 200
+_BLOCK_ROWS = 4096
+_BLOCK_CELLS = 65_536
+
 # Jaro-Winkler prefix scale, longest rewarded prefix and the
 # similarity above which the prefix counts.
 JW_PREFIX_SCALE = 0.1
@@ -186,10 +191,76 @@ def monge_elkan(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(_monge_elkan([x.lower().split() for x in a], [y.lower().split() for y in b]))
 
 
+def _longest_blocks(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start on both sides and size of each column's longest common block, the earliest of several.
+
+    ``a`` and ``b`` hold a text a column, padded with letters that never meet.
+    """
+    width, columns = b.shape
+    place = np.arange(width - 1, -1, -1, dtype=np.int32)[:, None]
+    run = np.zeros((width + 1, columns), dtype=np.int32)
+    best, end_a, end_b = (np.zeros(columns, dtype=np.int64) for _ in range(3))
+    for i, letter in enumerate(a):
+        run[1:] = (run[:-1] + 1) * (b == letter)
+        # One maximum finds the longest run and the first place where it ends.
+        size, where = np.divmod((run[1:] * width + place).max(axis=0), width)
+        longer = np.flatnonzero(size > best)
+        best[longer], end_a[longer], end_b[longer] = size[longer], i + 1, width - where[longer]
+    return end_a - best, end_b - best, best
+
+
+def _matched_letters(left: list[str], right: list[str]) -> np.ndarray:
+    """Letters in the matching blocks of ``difflib``, for right texts under its 200 letters of autojunk.
+
+    The parts beside the blocks of all pairs are one list, worked off in slices of like lengths.
+    """
+    a, a_len = _code_points(left, -1)
+    b, b_len = _code_points(right, -2)
+    # A column of padding, which every place beyond a part reads.
+    a, b = np.pad(a, ((0, 0), (0, 1)), constant_values=-1), np.pad(b, ((0, 0), (0, 1)), constant_values=-2)
+    matched = np.zeros(len(left), dtype=np.int64)
+    zeros = np.zeros(len(left), dtype=np.int64)
+    parts = np.stack([np.arange(len(left)), zeros, a_len, zeros, b_len])
+    while parts.size:
+        parts = parts[:, (parts[2] > parts[1]) & (parts[4] > parts[3])]
+        n_a, n_b = parts[2] - parts[1], parts[4] - parts[3]
+        parts = parts[:, np.lexsort((n_b, np.ceil(np.log2(n_a))))]
+        found, start = [], 0
+        while start < parts.shape[1]:
+            ahead = parts[:, start : start + _BLOCK_CELLS]
+            widest = np.maximum.accumulate(ahead[4] - ahead[3])
+            fits = int(np.searchsorted(widest * np.arange(1, len(widest) + 1), _BLOCK_CELLS, "right"))
+            row, a_from, a_to, b_from, b_to = part = ahead[:, : max(1, fits)]
+            start += part.shape[1]
+            at_a = a_from + np.arange((a_to - a_from).max())[:, None]
+            at_b = b_from + np.arange((b_to - b_from).max())[:, None]
+            in_a, in_b, size = _longest_blocks(
+                a[row, np.where(at_a < a_to, at_a, a.shape[1] - 1)], b[row, np.where(at_b < b_to, at_b, b.shape[1] - 1)]
+            )
+            met = size > 0
+            row, a_from, a_to, b_from, b_to = part[:, met]
+            size, in_a, in_b = size[met], a_from + in_a[met], b_from + in_b[met]
+            np.add.at(matched, row, size)
+            found += [np.stack([row, a_from, in_a, b_from, in_b]), np.stack([row, in_a + size, a_to, in_b + size, b_to])]
+        parts = np.concatenate(found, axis=1) if found else np.zeros((5, 0), dtype=np.int64)
+    return matched
+
+
+def _ratcliff_obershelp(left: list[str], right: list[str]) -> np.ndarray:
+    """The ratio of ``difflib.SequenceMatcher``, which is asked itself where texts are long."""
+    result = np.ones(len(left), dtype=np.float64)
+    short = [i for i in range(len(left)) if len(right[i]) < _AUTOJUNK and len(left[i]) < _AUTOJUNK]
+    for start in range(0, len(short), _BLOCK_ROWS):
+        rows = short[start : start + _BLOCK_ROWS]
+        x, y = [left[i] for i in rows], [right[i] for i in rows]
+        total = np.fromiter((len(s) + len(t) for s, t in zip(x, y)), dtype=np.int64, count=len(rows))
+        result[rows] = np.divide(2.0 * _matched_letters(x, y), total, out=np.ones(len(rows)), where=total > 0)
+    for i in set(range(len(left))).difference(short):
+        result[i] = difflib.SequenceMatcher(None, left[i], right[i]).ratio()
+    return result
+
+
 @F.pandas_udf(T.DoubleType())
 def tool_edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     """One minus the Ratcliff-Obershelp ratio; case-sensitive."""
-    return pd.Series(
-        [1.0 - difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)],
-        dtype="float64",
-    )
+    return pd.Series(1.0 - _ratcliff_obershelp(list(a), list(b)))

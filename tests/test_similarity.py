@@ -205,3 +205,22 @@ def test_terms_are_parted_without_a_regular_expression_of_the_engine(spark):
 
     assert math.isclose(frame.first()["s"], sum(a[w] * b[w] for w in a) / (norm(a, b) * norm(b, a)))
     assert "regexp_replace" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matching_blocks_are_those_of_difflib(monkeypatch):
+    rng = random.Random(5)
+    asked = []
+    plain = A.difflib.SequenceMatcher
+
+    def counted(*args):
+        asked.append(args)
+        return plain(*args)
+
+    for letters, longest in (("ab", 30), ("abc d", 60), ("é漢😀xyz", 40), ("abcdefghijk", 240)):
+        sides = [["".join(rng.choice(letters) for _ in range(rng.choice((0, 1, 2, rng.randint(0, longest))))) for _ in range(200)] for _ in "ab"]
+        wanted = [plain(None, a, b).ratio() for a, b in zip(*sides)]
+        monkeypatch.setattr(A.difflib, "SequenceMatcher", counted)
+        assert list(A._ratcliff_obershelp(*sides)) == wanted
+        monkeypatch.setattr(A.difflib, "SequenceMatcher", plain)
+    # Only long texts are left to the step that goes letter by letter.
+    assert all(max(len(a), len(b)) >= 200 for _, a, b in asked)
