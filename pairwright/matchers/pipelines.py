@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions.verdict import parse_verdict
@@ -34,7 +34,6 @@ from pairwright.operators.lookup import (
 )
 from pairwright.operators.metrics import KEYS
 from pairwright.session import checkpointed
-from pairwright.sources.cache import multiset_digest
 
 ClientFactory = Callable[[], ChatClient]
 
@@ -51,7 +50,6 @@ FIELDS = {
     "semantic": _AGENT,
     "tokens": "bigint",
 }
-DECISION = ", ".join(f"{name} {kind}" for name, kind in FIELDS.items())
 
 
 def _asked(rows: DataFrame, factory: ClientFactory, instructions: str, question: Column, name: str) -> DataFrame:
@@ -144,34 +142,40 @@ def agent_answers(pairs: DataFrame, sources: DataFrame, targets: DataFrame, fact
     return asked.unionByName(absent)
 
 
+def _written(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """These columns and the batch of all rows of all batches, empty where none was written yet."""
+    columns = columns | {"batch": "string"}
+    try:
+        return spark.read.schema(", ".join(f"{name} {kind}" for name, kind in columns.items())).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # A limit of 0 tells the planner that there is nothing to join with.
+        return spark.range(1).select(*[F.lit(None).cast(kind).alias(name) for name, kind in columns.items()]).limit(0)
+
+
 def kept_decisions(spark: SparkSession, path: str, of: dict[str, str] | None = None) -> DataFrame:
     """The decision table, one decision a key, empty where none was written yet.
 
     ``of`` names and types the folders above the batches, as ``{"run": "int"}`` for a
-    table of runs; they are part of the key.
+    table of runs; they are part of the key. Rows are sorted once, behind the shuffle, in
+    an order that joins by the key go on with.
     """
-    above = "".join(f", {name} {kind}" for name, kind in (of or {}).items())
-    try:
-        rows = spark.read.schema(f"{DECISION}{above}, batch string").parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        rows = spark.createDataFrame([], f"{DECISION}{above}, batch string")
-    said = F.struct(*[name for name in FIELDS if name not in KEYS])
-    first = rows.groupBy(*(of or {}), *KEYS).agg(F.min_by(said, "batch").alias("said"))
-    return first.select(*(of or {}), *KEYS, "said.*")
+    key = [*(of or {}), *KEYS]
+    sooner = Window.partitionBy(*key).orderBy("batch").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    numbered = _written(spark, path, FIELDS | (of or {})).withColumn("_place", F.count(F.lit(1)).over(sooner))
+    return numbered.filter("_place = 1").select(*key, *[name for name in FIELDS if name not in KEYS])
 
 
 def _next_batch(spark: SparkSession, path: str, misses: DataFrame) -> str:
-    """A number after those of all batches that hold a decision, and the digest of the keys."""
-    try:
-        last = spark.read.schema("source_id string, batch string").parquet(path).agg(F.max("batch")).first()[0]
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        last = None
-    key = F.concat_ws("|", *[F.hex(F.encode(k, "UTF-8")) for k in KEYS])
-    digest = multiset_digest(misses, key).first()["digest"]
+    """A number after those of all batches that hold a decision, and a digest of the keys.
+
+    The digest is of the count and of two sums of 64 bits a key, whatever their order.
+    """
+    last = _written(spark, path, {}).agg(F.max("batch")).first()[0]
+    hashed = [F.xxhash64(F.lit(salt), KEYS[0], F.lit("|"), KEYS[1]) for salt in range(2)]
+    sums = [F.sum(h.cast("decimal(20,0)")).cast("string") for h in hashed]
+    digest = misses.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *sums), 256)).first()[0]
     return f"{int(last.split('-')[0]) + 1 if last else 0:09d}-{digest[:16]}"
 
 
@@ -187,7 +191,9 @@ def match_with_replay(
     """Decisions of all pairs: kept ones are replayed, the others asked and appended."""
     spark = pairs.sparkSession
     wanted = take_pairs(pairs, max_pairs, KEYS).select(*KEYS)
-    misses = checkpointed(except_keys(wanted, kept_decisions(spark, path), KEYS).distinct())
+    # Keys alone are read: the planner takes them for as large as the files, and does not broadcast a long table.
+    known = _written(spark, path, {name: FIELDS[name] for name in KEYS})
+    misses = checkpointed(except_keys(wanted, known, KEYS).distinct())
     if not misses.isEmpty():
         batch = f"{path}/batch={_next_batch(spark, path, misses)}"
         answers(misses, sources, targets, factory).write.mode("overwrite").parquet(batch)

@@ -154,4 +154,4 @@ def take_pairs(pairs: DataFrame, max_pairs: int | None, order: list[str]) -> Dat
 
 def except_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``left`` whose key does not occur in ``right``."""
-    return left.join(right.select(*keys).distinct(), keys, "left_anti")
+    return left.join(right.select(*keys), keys, "left_anti")

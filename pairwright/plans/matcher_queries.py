@@ -12,7 +12,7 @@ from pairwright.operators.lookup import attach_products, input_position, take_pa
 from pairwright.operators.metrics import KEYS
 from pairwright.plans import standins as B
 from pairwright.plans.registry import registered
-from pairwright.session import scratch_path
+from pairwright.session import bucketed, scratch_path
 
 #: Confidence from which the earlier run's decisions are kept in the replay, and the pairs of a short run.
 SURE, FIRST = 0.75, 1000
@@ -88,21 +88,28 @@ WHERE run = CASE WHEN s.source_id IS NULL THEN 1 ELSE 0 END
 """
 )
 def replayed_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sure decisions of run 0 are kept, run 1 answers what is missing, run 2 is never asked."""
-    runs = B.decisions(spark, sf_dir).filter("pipeline = 'single_llm'").withColumn("reasoning", F.col("run").cast("string"))
+    """Sure decisions of run 0 are kept, run 1 answers what is missing, run 2 is never asked.
+
+    The keys are met six times: they are made once and lie in buckets. A run answers for
+    the misses alone.
+    """
+    every = bucketed(B.decision_labels(spark, sf_dir), B.key_parts(spark, sf_dir), *KEYS)
     path = scratch_path(spark)
 
+    def decided(run: int, keys: DataFrame) -> DataFrame:
+        numbered = keys.withColumns({"p": F.col("source_id").cast("bigint"), "s": F.col("target_id").cast("bigint")})
+        return B.key_decisions(numbered, [B.PIPELINES.index("single_llm")], [run]).withColumn("reasoning", F.col("run").cast("string"))
+
     def answered(run: int, pairs: DataFrame) -> DataFrame:
         def look_up(misses: DataFrame, *_: object) -> DataFrame:
-            found = runs.filter(F.col("run") == run).join(misses, KEYS, "left_semi")
+            found = decided(run, every.join(misses, KEYS, "left_semi"))
             return found.select(
                 *[(F.col(n) if n in found.columns else F.lit(None)).cast(kind).alias(n) for n, kind in FIELDS.items()]
             )
 
         return match_with_replay(look_up, pairs, None, None, None, path)
 
-    answered(0, runs.filter((F.col("run") == 0) & (F.col("confidence") >= SURE)))
-    every = B.decision_labels(spark, sf_dir)
+    answered(0, decided(0, every).filter(F.col("confidence") >= SURE))
     answered(1, every)
     return answered(2, every).select(
         *KEYS, F.col("reasoning").cast("int").alias("run"), "verdict", "confidence", "parse_error", "tokens"

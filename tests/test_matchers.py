@@ -101,3 +101,34 @@ def test_second_run_asks_nothing(spark, tmp_path, answers, expected):
     known = pairs.filter("target_id <> '9'")
     again = P.match_with_replay(answers, known, goods, goods, _refuse, path)
     assert again.count() == 2
+
+
+def test_kept_decisions_are_sorted_once(spark, tmp_path):
+    path = str(tmp_path / "decisions")
+    goods = _goods(spark)
+    pairs = spark.createDataFrame([("1", "2"), ("1", "3")], "source_id string, target_id string")
+    P.match_with_replay(P.single_answers, pairs, goods, goods, WordOverlapClient, path)
+    plan = P.kept_decisions(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "Aggregate" not in plan
+    assert P.kept_decisions(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_batches_are_named_by_their_keys_in_any_order(spark, tmp_path):
+    def name(*keys):
+        pairs = spark.createDataFrame(list(keys), "source_id string, target_id string")
+        return P._next_batch(spark, str(tmp_path / "none"), pairs)
+
+    first = name(("1", "2"), ("3", "4"))
+    assert first.startswith("000000000-") and len(first) == 26
+    assert first == name(("3", "4"), ("1", "2"))
+    assert len({first, name(("1", "2")), name(("1", "4"), ("3", "2")), name(("2", "1"), ("3", "4")), name(("12", ""), ("3", "4"))}) == 5
+
+
+def test_replay_makes_its_keys_once(spark):
+    from pairwright.plans.matcher_queries import replayed_decisions
+
+    frame = replayed_decisions(spark, "/root/testdata/sf0.001")
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "l_partkey" not in plan
+    # The keys lie in buckets: only the kept decisions are shuffled.
+    assert plan.count("Exchange hashpartitioning(source_id") == 1
