@@ -8,6 +8,47 @@ import numpy as np
 
 WINDOW = 12
 LANES = 512
+#: Where all logits of a row may lie this far below the bound, its largest one is sought instead.
+_SPAN = 60
+
+
+def _order(numbers: np.ndarray, most: int) -> np.ndarray:
+    """The stable order of numbers up to ``most``; short ones are sorted by their digits."""
+    return np.argsort(numbers.astype(np.min_scalar_type(most)), kind="stable")
+
+
+def _placed(values: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """``values`` that lie in ``order``, back in their places."""
+    out = np.empty_like(values)
+    out[order] = values
+    return out
+
+
+def _bounds(weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What no logit of a class exceeds, and whether each row of states has a
+    logit so close to it that it can be taken off in the place of the largest one.
+
+    States lie within -1 and 1, which bounds the logits of all of them.
+    """
+    reach = np.abs(weights).sum(-1)
+    most = (bias + reach).max(-1)
+    return most, most - (bias - reach).max(-1) < _SPAN
+
+
+def _softened(
+    logit: np.ndarray, bias: np.ndarray, most: float, close: bool, rows: np.ndarray, at: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Turns logits into exponentials, up to a factor of the row; gives their sums, and the
+    natural log probability of the column ``at`` of each row."""
+    if close:
+        logit += bias - most
+    else:
+        logit += bias
+        logit -= logit.max(1, keepdims=True)
+    picked = logit[rows, at]
+    np.exp(logit, out=logit)
+    total = logit @ np.ones(logit.shape[1], np.float32)
+    return total, picked - np.log(total)
 
 
 class Network:
@@ -62,13 +103,20 @@ class Network:
         kept = []
         for t, codes in enumerate(inputs):
             h = h * (codes != self.start)[:, None]
-            x = self.table[codes]
+            x = self.table.take(codes, axis=0)
             u = h @ self.recurrent
-            gates = 1 / (1 + np.exp(-(x[:, : 2 * n] + u[:, : 2 * n])))
+            gates = x[:, : 2 * n] + u[:, : 2 * n]
+            np.exp(np.negative(gates, out=gates), out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
             r, z = gates[:, :n], gates[:, n:]
-            new = np.tanh(x[:, 2 * n :] + r * u[:, 2 * n :])
+            new = r * u[:, 2 * n :]
+            new += x[:, 2 * n :]
+            np.tanh(new, out=new)
             kept.append((h, r, z, new, u[:, 2 * n :]))
-            h = new + z * (h - new)
+            h = h - new
+            h *= z
+            h += new
             states[t] = h
         return states, kept
 
@@ -77,62 +125,73 @@ class Network:
         negative log likelihood and returns that of the states."""
         word = target < self.words
         cls = np.where(word, target // self.per_class, target - self.words + self.heads)
-        logit = h @ self.out + self.out_bias
-        logit -= logit.max(1, keepdims=True)
-        p = np.exp(logit)
-        total = p.sum(1, keepdims=True)
+        # Rows lie by class, so that those of one class are a slice.
+        order = _order(cls, self.heads + len(self.out_bias))
+        h, target, cls = h.take(order, axis=0), target[order], cls[order]
         rows = np.arange(len(h))
-        log = logit[rows, cls] - np.log(total[:, 0])
+        p = h @ self.out
+        total, log = _softened(p, self.out_bias, *_bounds(self.out.T, self.out_bias), rows, cls)
         back = None
         if grads is not None:
-            p /= total
+            p *= (1 / total)[:, None]
             p[rows, cls] -= 1
             grads["out"] += h.T @ p
-            grads["out_bias"] += p.sum(0)
+            grads["out_bias"] += np.ones(len(p), np.float32) @ p
             back = p @ self.out.T
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.heads + 1))
+        cuts = np.searchsorted(cls, np.arange(self.heads + 1))
+        most, close = _bounds(
+            self.within.reshape(self.heads, self.per_class, -1), self.within_bias.reshape(self.heads, -1)
+        )
         for c in range(self.heads):
-            mine = order[cuts[c] : cuts[c + 1]]
-            if not len(mine):
+            mine = slice(cuts[c], cuts[c + 1])
+            if cuts[c] == cuts[c + 1]:
                 continue
             part = slice(c * self.per_class, (c + 1) * self.per_class)
             w, hm = self.within[part], h[mine]
-            inner = hm @ w.T + self.within_bias[part]
-            inner -= inner.max(1, keepdims=True)
-            q = np.exp(inner)
-            total = q.sum(1, keepdims=True)
-            at = target[mine] - c * self.per_class
-            each = np.arange(len(mine))
-            log[mine] += inner[each, at] - np.log(total[:, 0])
+            each, at = rows[: len(hm)], target[mine] - c * self.per_class
+            q = hm @ w.T
+            total, inner = _softened(q, self.within_bias[part], most[c], close[c], each, at)
+            log[mine] += inner
             if grads is not None:
-                q /= total
+                q *= (1 / total)[:, None]
                 q[each, at] -= 1
                 grads["within"][part] += q.T @ hm
-                grads["within_bias"][part] += q.sum(0)
+                grads["within_bias"][part] += np.ones(len(at), np.float32) @ q
                 back[mine] += q @ w
-        return log, back
+        return _placed(log, order), None if back is None else _placed(back, order)
 
     def backward(self, inputs: np.ndarray, kept: list, back: np.ndarray, grads: dict) -> None:
         """Truncated backpropagation: through the steps of this window only."""
         n = self.hidden
         carry = np.zeros_like(back[0])
-        wide = np.empty((len(inputs), inputs.shape[1], 3 * n), np.float32)
+        wide = np.empty((*inputs.shape, 3 * n), np.float32)
+        deep, before = np.empty_like(wide), np.empty((*inputs.shape, n), np.float32)
         for t in range(len(inputs) - 1, -1, -1):
             h, r, z, new, un = kept[t]
             g = back[t] + carry
-            dn = g * (1 - z) * (1 - new * new)
-            dz = g * (h - new) * z * (1 - z)
-            dr = dn * un * r * (1 - r)
+            gz = g * z
+            dn = g - gz
+            dz = h - new
+            dz *= dn
+            dz *= z
+            dn *= 1 - new * new
+            dr = dn * un
+            dr *= r
+            dr *= 1 - r
             wide[t, :, :n], wide[t, :, n : 2 * n], wide[t, :, 2 * n :] = dr, dz, dn
-            du = wide[t].copy()
-            du[:, 2 * n :] *= r
-            grads["recurrent"] += h.T @ du
-            carry = (g * z + du @ self.recurrent.T) * (inputs[t] != self.start)[:, None]
+            du = deep[t]
+            du[:, : 2 * n] = wide[t, :, : 2 * n]
+            np.multiply(dn, r, out=du[:, 2 * n :])
+            before[t] = h
+            carry = du @ self.recurrent.T
+            carry += gz
+            carry *= (inputs[t] != self.start)[:, None]
+        grads["recurrent"] += before.reshape(-1, n).T @ deep.reshape(-1, 3 * n)
         codes = inputs.ravel()
-        order = np.argsort(codes, kind="stable")
-        seen, first = np.unique(codes[order], return_index=True)
-        grads["table"] = (seen, np.add.reduceat(wide.reshape(-1, 3 * n)[order], first, axis=0))
+        order = _order(codes, self.start)
+        codes = codes[order]
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        grads["table"] = (codes[first], np.add.reduceat(wide.reshape(-1, 3 * n).take(order, axis=0), first, axis=0))
 
 
 class Trainer:

@@ -371,3 +371,29 @@ def test_lm_spelling_learns_from_all_words(spark):
     cube += 4 * pairs
     wanted = np.log10(cube / cube.sum(2, keepdims=True)).ravel()
     assert np.allclose(model.logs[:, 0], wanted, atol=1e-4)
+
+
+@pytest.mark.parametrize("scale, close", [(1.0, True), (400.0, False)])
+def test_network_takes_off_bounds_only_where_no_probability_vanishes(scale, close):
+    net = gru.Network(6, 2, 3, 4)
+    net.start_from(np.arange(1, 9, dtype=float))
+    net.within *= scale * 10
+    net.out *= scale * 10
+    rng = np.random.default_rng(3)
+    h, target = rng.uniform(-1, 1, (40, 4)).astype(np.float32), rng.integers(0, 8, 40)
+    found = gru._bounds(net.within.reshape(2, 3, 4), net.within_bias.reshape(2, 3))[1]
+    assert (found == close).all()
+
+    def log_softmax(logit):
+        top = logit.max()
+        return logit - top - np.log(np.exp(logit - top).sum())
+
+    wanted = []
+    for state, code in zip(h.astype(float), target):
+        of_class = log_softmax(state @ net.out + net.out_bias)
+        if code >= 6:
+            wanted.append(of_class[2 + code - 6])
+        else:
+            part = slice(code // 3 * 3, code // 3 * 3 + 3)
+            wanted.append(of_class[code // 3] + log_softmax(net.within[part] @ state + net.within_bias[part])[code % 3])
+    assert np.allclose(net.score(h, target)[0], wanted, rtol=1e-4, atol=1e-3)
