@@ -101,6 +101,29 @@ def test_classes_hold_every_pair_without_expanding_copies(spark):
     assert len(rows) <= 2 * 5 * len(names) + distinct * distinct < len(expanded)
 
 
+def test_query_gives_every_pair_of_ids(spark, tmp_path):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql, queries
+
+    goods = ["tv black", "tv white", "lamp", "radio set", "tv black"]
+    rows = [(i, f"Brand#{i % 2}", goods[i % 5], 10 if i % 3 else 30) for i in range(40)] + [(39, "Brand#1", "lamp", 30)]
+    parts = spark.createDataFrame(rows, "p_partkey bigint, p_brand string, p_name string, p_size int")
+    parts.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    shops = [[(str(k), f"{b} {n}") for k, b, n, size in rows if (size <= 25) == first] for first in (True, False)]
+    names = [[n for _, n in shop] for shop in shops]
+    expected = _brute_force(*[[(n, n) for n in found] for found in names], 0.2)
+    wanted = sorted(
+        (s, t, round(expected[a, b], 6)) for s, a in shops[0] for t, b in shops[1] if (a, b) in expected
+    )
+    got = queries()["blocking_candidates"](spark, str(tmp_path))
+    assert got.columns == ["source_id", "target_id", "similarity_score"]
+    assert sorted(map(tuple, got.collect())) == wanted
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    assert sorted(duck.execute(oracle_sql()["blocking_candidates"]).fetchall()) == wanted
+
+
 def test_zero_threshold_is_rejected(spark):
     frame = spark.createDataFrame([("a", "b")], "id string, name string")
     with pytest.raises(ValueError):
