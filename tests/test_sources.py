@@ -325,3 +325,57 @@ def test_documents_of_decisions_are_what_to_json_writes(spark):
     prediction = F.struct("source_id", "target_id", "verdict", "confidence", "parse_error", agent.alias("syntactic"))
     wanted = F.to_json(F.struct(prediction.alias("prediction"), "tokens"))
     assert rows.count() == 2000 and rows.filter(~agent_body().eqNullSafe(wanted)).isEmpty()
+
+
+def test_documents_as_they_are_kept_are_not_parsed(spark):
+    kept = '{"prediction": {"source_id": "1", "target_id": "é 2", "verdict": "MATCH", "confidence": 0.97, "reasoning": "a \\"b\\": c,", "parse_error": true}, "tokens": 642}'
+    tight = '{"prediction":{"source_id":"1","target_id":"2","verdict":"NO MATCH","confidence":null},"tokens":0}'
+    sound = {
+        kept: ("1", "é 2", "MATCH", 0.97, True, 642),
+        tight: ("1", "2", "NO MATCH", None, False, 0),
+        tight.replace('"2"', '""').replace("null", "12345678.25"): ("1", "", "NO MATCH", 12345678.25, False, 0),
+        "\n " + json.dumps(json.loads(kept), indent=2) + "\t": ("1", "é 2", "MATCH", 0.97, True, 642),
+        json.dumps(json.loads(kept), sort_keys=True): ("1", "é 2", "MATCH", 0.97, True, 642),
+        tight.replace('"1"', '"\\u0041"').replace("null", "-0.0"): ("A", "2", "NO MATCH", 0.0, False, 0),
+        kept.replace("c,", "\\n" * 5000): ("1", "é 2", "MATCH", 0.97, True, 642),
+    }
+    broken = {
+        tight.replace('"tokens":0', '"tokens":0,"tokens":0'): "invalid json", tight.replace('"2"', '"2\t"'): "invalid json",
+        tight.replace('"source_id"', '"target_id":"2","source_id"'): "invalid json", tight[:-1]: "invalid json",
+        "\x1e\x1f1\x1f2\x1fMATCH\x1f\x1f\x1f3": "invalid json", "\x1e" + tight: "invalid json", tight.replace("null", "01"): "invalid json",
+        tight.replace('"tokens":0', '"tokens":-1'): "malformed tokens", tight.replace('"tokens":0', '"tokens":9223372036854775808'): "malformed tokens",
+        tight.replace("NO MATCH", "NO  MATCH"): "malformed verdict", tight.replace("}", ',"prediction":1}', 1): "mirror contradicts verdict",
+    }
+    documents = spark.createDataFrame([(f"{i:02}", b) for i, b in enumerate([*sound, *broken])], "file string, body string")
+    records = C.strict_records(documents)
+    assert [tuple(r)[1:] for r in records.orderBy("file").collect()] == list(sound.values())
+    rules = {r["file"]: r["rule"] for r in C.violations(documents).filter("rule <> 'duplicate key'").collect()}
+    assert [rules[f] for f in sorted(rules)] == list(broken.values())
+    plan = records._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    parsing = [line for line in plan if "parseJson(" in line]
+    assert len(parsing) == 1 and "CASE WHEN NOT plain" in parsing[0]
+
+
+def test_cache_documents_are_joined_from_their_parts(spark, tmp_path):
+    from pairwright.plans import source_queries as Q
+
+    lines = [(p, s, q) for p in (None, *range(1, 60)) for s in (None, 3, 8) for q in (None, 50.0)]
+    frame = spark.createDataFrame(lines, "l_partkey bigint, l_suppkey bigint, l_quantity double")
+    frame.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = Q._all_decisions(spark, str(tmp_path))
+    defect = F.expr("(CAST(source_id AS BIGINT) * 7 + CAST(target_id AS BIGINT) * 13 + run * 3) % 100")
+    prediction = F.struct(
+        F.when(defect != 2, F.col("source_id")).alias("source_id"), "target_id",
+        F.when(defect == 1, "MAYBE").otherwise(F.col("verdict")).alias("verdict"), F.when(defect == 5, "high").alias("_text"),
+        F.when(defect != 5, F.col("confidence")).alias("confidence"), "parse_error",
+        F.when(defect == 6, F.when(F.col("verdict") == "MATCH", 0).otherwise(1)).alias("prediction"),
+    )
+    tokens = F.when(defect == 4, -5).when(defect != 3, F.col("tokens")).alias("tokens")
+    body = F.replace(F.to_json(F.struct(prediction.alias("prediction"), tokens)), F.lit('"_text"'), F.lit('"confidence"'))
+    body = F.when(defect == 0, "{not json").otherwise(body)
+    wanted = rows.select("pipeline", "run", body.alias("body"), F.when(defect == 7, 2).otherwise(1).alias("n")).collect()
+    documents = Q._documents(spark, str(tmp_path))
+    got = [(r["pipeline"], r["run"], r["body"]) for r in documents.collect()]
+    assert sorted(got) == sorted((r["pipeline"], r["run"], r["body"]) for r in wanted for _ in range(r["n"]))
+    plan = documents._jdf.queryExecution().executedPlan().toString()
+    assert len({r["n"] for r in wanted}) == 2 and "json" not in plan.replace(".json", "").replace("{not json", "").lower()
