@@ -379,3 +379,17 @@ def test_cache_documents_are_joined_from_their_parts(spark, tmp_path):
     assert sorted(got) == sorted((r["pipeline"], r["run"], r["body"]) for r in wanted for _ in range(r["n"]))
     plan = documents._jdf.queryExecution().executedPlan().toString()
     assert len({r["n"] for r in wanted}) == 2 and "json" not in plan.replace(".json", "").replace("{not json", "").lower()
+
+
+def test_defects_are_shuffled_and_sorted_once(spark):
+    sound = '{"prediction":{"source_id":"%s","target_id":"2","verdict":"MATCH"},"tokens":0}'
+    rows = [(i % 2, f"{i:03}.json", sound % (i % 60)) for i in range(70)] + [(0, None, "{")] * 3 + [(None, "a", sound % 1), (None, "b", sound % 1)]
+    documents = spark.createDataFrame(rows, "run int, file string, body string").repartition(5)
+    found = C.violations(documents, ("run",))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and plan.count("- Sort [") == plan.count("- Sort [placed") == 1
+    assert plan.index("- Sort [placed") < plan.index("Exchange hashpartitioning(placed")
+    wanted = [(0, None, "invalid json", "")] * 3 + [(None, "a, b", "duplicate key", "('1', '2')")] + [
+        (i % 2, f"{i:03}.json, {i + 60:03}.json", "duplicate key", f"('{i}', '2')") for i in range(10)
+    ]
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, wanted))
