@@ -393,3 +393,6 @@ def test_defects_are_shuffled_and_sorted_once(spark):
         (i % 2, f"{i:03}.json, {i + 60:03}.json", "duplicate key", f"('{i}', '2')") for i in range(10)
     ]
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, wanted))
+    parted = C.violations(documents, ("run",), 7)
+    assert ", 7), REPARTITION_BY_NUM" in parted._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(repr, map(tuple, parted.collect()))) == sorted(map(repr, wanted))
